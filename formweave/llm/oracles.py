@@ -21,7 +21,7 @@ d AS (
          min(page_id) OVER (PARTITION BY body) AS owner
   FROM p),
 b AS (
-  SELECT *, array_to_string(list_transform(range(32), i ->
+  SELECT *, array_to_string(list_transform(range(32), lambda i:
            substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
                   1 + ((('0x' || substr(h, 1 + 5 * (i // 4), 5))::INTEGER >> (15 - 5 * (i % 4))) & 31)::INTEGER, 1)), '') AS payload_digest
   FROM d)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, huffman, packing, warc
+from . import exact_dedup, huffman, packing, quality, toxicity, warc
 
 JSON_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 RANK_VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -28,9 +28,17 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.token_round_trip(_table(spark, sf_dir, "documents"), JSON_VOCABULARY)
 
 
 def queries() -> dict:
-    return {"op1_packing": op1_packing, "op4_exact_dedup": op4_exact_dedup, "op7_warc": op7_warc, "op10_token_ids": op10_token_ids}
+    return {"op1_packing": op1_packing, "op4_exact_dedup": op4_exact_dedup, "op7_warc": op7_warc, "op8_quality": op8_quality, "op9_toxicity": op9_toxicity, "op10_token_ids": op10_token_ids}
