@@ -94,7 +94,8 @@ def parse(member: bytes) -> dict:
 
 
 def planned(pages: DataFrame, min_payload: int = 0, runs: int = 32) -> DataFrame:
-    """Pages with ``owner``: the smallest page_id of those with the same payload.
+    """Pages and, before them, a row per page and payload with ``owner``: the smallest page_id of
+    those with the same payload.  Rows of a page lie in one partition, sorted.
 
     The smallest ids are found on digests alone, first within ``runs`` shares of a payload's rows
     and then over the shares, and go back the same way; html moves once, dealt by page_id.
@@ -106,12 +107,12 @@ def planned(pages: DataFrame, min_payload: int = 0, runs: int = 32) -> DataFrame
     shares = keys.groupBy("digest", "size", "run").agg(first)
     owners = shares.groupBy("digest", "size").agg(F.min("first").alias("owner"))
     back = shares.select("digest", "size", "run").join(owners, ["digest", "size"])
-    small = F.col("size") < F.lit(min_payload)
+    shared = (F.col("size") >= F.lit(min_payload)) & ~F.col("owner.no_id")
     plan = (keys.join(back, ["digest", "size", "run"])
-            .select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), F.when(~small, F.col("owner.id")).alias("owner"), (~small & (F.col("owner.no_id") == False)).alias("shared")))  # noqa: E712
-    keyed = base.withColumn("_d", F.unhex(F.sha2("html", 256)))
-    return (keyed.join(plan, keyed.page_id.eqNullSafe(F.col("_id")) & (F.col("_d") == F.col("_digest")))
-            .select("page_id", "url", "html", F.col("_d").alias("digest"), "owner", "shared"))
+            .select("page_id", "digest", F.lit(0).alias("kind"), F.col("owner.id").alias("owner"), shared.alias("shared"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html")))
+    rows = base.select("page_id", F.unhex(F.sha2("html", 256)).alias("digest"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("owner"), F.lit(None).cast("boolean").alias("shared"), "url", "html")
+    return (plan.unionByName(rows).repartition("page_id", F.when(F.col("page_id").isNull(), F.col("digest")))
+            .sortWithinPartitions("page_id", "digest", "kind", "url"))
 
 
 def write_warc(pages: DataFrame, folder: str, min_payload: int = 0) -> DataFrame:
@@ -126,9 +127,12 @@ def write_warc(pages: DataFrame, folder: str, min_payload: int = 0) -> DataFrame
         import pyarrow as pa
         from pyspark import TaskContext
 
-        out, name, count, size, last = None, None, 0, 0, None
+        out, name, count, size, owner, shared, again = None, None, 0, 0, None, False, False
         for batch in batches:
             for row in batch.to_pylist():
+                if row["kind"] == 0:
+                    owner, shared, again = row["owner"], row["shared"], False
+                    continue
                 if out is None:
                     fs, top = open_fs(folder)
                     fs.create_dir(top, recursive=True)
@@ -136,17 +140,15 @@ def write_warc(pages: DataFrame, folder: str, min_payload: int = 0) -> DataFrame
                     name = f"part-{task.partitionId():05d}-{uuid.uuid4().hex[:12]}.warc.gz"
                     out = fs.open_output_stream(f"{top}/{name}", compression=None)
                 payload = row["html"].encode()
-                again = row["shared"] and row["owner"] == row["page_id"] and last == (row["page_id"], row["digest"])
-                revisit = row["shared"] and (again or row["owner"] != row["page_id"])
-                data = record(row["page_id"], row["url"], payload, base32_sha1(payload), (row["owner"],) if revisit else None)
+                revisit = shared and (again or owner != row["page_id"])
+                data = record(row["page_id"], row["url"], payload, base32_sha1(payload), (owner,) if revisit else None)
                 out.write(data)
-                count, size, last = count + 1, size + len(data), (row["page_id"], row["digest"])
+                count, size, again = count + 1, size + len(data), True
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "records": [count], "bytes": [size]})
 
-    rows = planned(pages, min_payload).repartition("page_id").sortWithinPartitions("page_id", "digest", "url")
-    return written(rows.mapInArrow(write, MANIFEST), "warc-manifest")
+    return written(planned(pages, min_payload).mapInArrow(write, MANIFEST), "warc-manifest")
 
 
 def read_warc(manifest: DataFrame) -> DataFrame:
