@@ -69,7 +69,7 @@ class Lines:
             if "\0" in lines or any(s in lines for s in self.special):
                 continue
             found = self.pattern.findall(lines)
-            self._learn(set(found) - self.known.keys())
+            self._learn(set(found).difference(self.known))
             ends = [i for i, w in enumerate(found) if w == "\n"]
             if len(ends) != len(rows) - 1:
                 continue

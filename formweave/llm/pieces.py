@@ -52,8 +52,8 @@ class Memo:
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [t.replace("\n", " \n").split(" ") for t in texts]
         heads, tails = _distinct(parts)
-        odd = {t for known, seen in ((self.first, heads), (self.rest, tails)) for t in seen - known.keys() if t.split() != [t] and ragged(t)}
-        odd |= {t for t in heads - self.first.keys() if t[:1] == "\n"}
+        odd = {t for known, seen in ((self.first, heads), (self.rest, tails)) for t in seen.difference(known) if t.split() != [t] and ragged(t)}
+        odd |= {t for t in heads.difference(self.first) if t[:1] == "\n"}
         if odd:
             parts = [p if odd.isdisjoint(p) else cut(t) for p, t in zip(parts, texts, strict=True)]
             heads, tails = _distinct(parts)
@@ -61,7 +61,7 @@ class Memo:
             self.rest.clear()
         if len(self.first) > self.limit // 8:
             self.first.clear()
-        new, more = list(heads - self.first.keys()), list(tails - self.rest.keys())
+        new, more = list(heads.difference(self.first)), list(tails.difference(self.rest))
         self.first.update(zip(new, self.encode_many(new, ""), strict=True))
         fed = [t for t in more if t[:1] == "\n" and not ragged(t)]
         self.rest.update((t, self.feed + x) for t, x in zip(fed, self.encode_many([t[1:] for t in fed], ""), strict=True))

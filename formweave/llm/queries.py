@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, huffman, packing, quality, toxicity, warc
+from . import bpe, exact_dedup, forest, huffman, packing, quality, toxicity, warc
 
 JSON_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 RANK_VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -20,6 +20,14 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), JSON_VOCABULARY)
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.nearest(_table(spark, sf_dir, "embeddings"))
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.bpe_round_trip(_table(spark, sf_dir, "documents"), RANK_VOCABULARY, public_tokenizers.PATTERN)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -41,4 +49,4 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_packing": op1_packing, "op4_exact_dedup": op4_exact_dedup, "op7_warc": op7_warc, "op8_quality": op8_quality, "op9_toxicity": op9_toxicity, "op10_token_ids": op10_token_ids}
+    return {"op1_packing": op1_packing, "op2_nearest": op2_nearest, "op3_bpe": op3_bpe, "op4_exact_dedup": op4_exact_dedup, "op7_warc": op7_warc, "op8_quality": op8_quality, "op9_toxicity": op9_toxicity, "op10_token_ids": op10_token_ids}

@@ -252,7 +252,7 @@ class Scorer:
         if len(self.known) > 300_000:
             self.known.clear()
         words = words_of(text)
-        for w in words - self.known.keys():
+        for w in words.difference(self.known):
             self.known[w] = self.weight(w)
         return math.fsum(map(self.known.__getitem__, words)), len(words)
 
