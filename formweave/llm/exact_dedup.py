@@ -12,10 +12,10 @@ Texts never leave the scan.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import without, written
 
 #: The characters of [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
@@ -68,7 +68,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null text counts as empty and empty texts are one group.  Ties in length go to the smaller id.
     Rows that repeat an id are rows of their own; if the id stays, all rows with that id, that text
-    and that length are marked kept (see :func:`kept_documents`, which keeps one of them).  Null
+    and that length are marked kept (:func:`kept_documents` keeps one of them).  Null
     ids lose ties.  Other columns are ignored; an empty table gives an empty result.
     """
     entries = written(digests(docs, id_col, text_col), "digests")
@@ -79,9 +79,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of identical kept rows one stays."""
-    kept = exact_dedup(docs).filter("kept").groupBy("doc_id", "text_sha256").agg(F.lit(1).alias("_one"))
-    keyed = docs.withColumn("_sha", F.sha2(normalised(F.col("text")), 256)).withColumn("_chars", F.length(F.coalesce("text", F.lit(""))))
-    near = keyed.join(kept.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_k")),
-                      keyed.doc_id.eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_k")), "left_semi")
-    return near.select(*docs.columns)
+    """The rows of ``docs`` that stay, unchanged; of identical rows one stays.
+
+    Only the keys of rows that go, or that repeat, move; they are broadcast if few.
+    """
+    fate = written(exact_dedup(docs).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n")), "fate")
+    key = ["doc_id", "_fw_sha"]
+    keyed = docs.withColumn("_fw_sha", F.sha2(normalised(F.col("text")), 256))
+    gone = fate.filter(~F.col("stays")).withColumnRenamed("text_sha256", "_fw_sha")
+    repeated = written(fate.filter("stays AND n > 1").select("doc_id", F.col("text_sha256").alias("_fw_sha")), "repeated")
+    if repeated.limit(1).count() == 0:
+        return without(keyed, gone, key).drop("_fw_sha")
+    once = without(keyed, gone.select(*key).unionByName(repeated), key)
+    order = Window.partitionBy(*key).orderBy(F.desc(F.length(F.coalesce("text", F.lit("")))))
+    again = (keyed.join(repeated.select(F.col("doc_id").alias("_fw_id"), F.col("_fw_sha").alias("_fw_key")), keyed.doc_id.eqNullSafe(F.col("_fw_id")) & (keyed._fw_sha == F.col("_fw_key")), "left_semi")
+             .withColumn("_fw_k", F.row_number().over(order)).filter("_fw_k = 1").drop("_fw_k"))
+    return once.unionByName(again).drop("_fw_sha")

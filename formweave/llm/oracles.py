@@ -32,5 +32,28 @@ FROM b
 """
 
 
+OP6 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(words) >= 4
+           THEN list_distinct(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')))
+           WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END AS items
+  FROM w),
+x AS (SELECT doc_id, len(items) AS n, unnest(items) AS item FROM s),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb
+  FROM x a JOIN x b ON a.item = b.item AND a.doc_id <> b.doc_id AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n GROUP BY ALL),
+link AS (SELECT a, b FROM common WHERE 100 * c >= 85 * (na + nb - c)),
+reach AS (
+  SELECT a, b FROM link
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
+SELECT doc_id, len(items) AS n_shingles, least(doc_id, (SELECT min(b) FROM reach WHERE a = doc_id)) AS component_id
+FROM s
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4, "op7_warc": OP7}
+    return {"op4_exact_dedup": OP4, "op6_jaccard": OP6, "op7_warc": OP7}

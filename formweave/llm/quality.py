@@ -14,7 +14,7 @@ import re
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .labelled import fold, sample
@@ -126,9 +126,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000) -> dict:
     return fit([np.frombuffer(bytes(r.x), np.uint32) for r in got], np.array([r.y for r in got], np.int64))
 
 
-def scored(docs: DataFrame, model: dict) -> DataFrame:
-    """``docs`` with ``score`` and ``predicted`` added (such columns are replaced)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def scorer(spark: SparkSession, model: dict):
+    """A column function from text to score."""
+    shared = spark.sparkContext.broadcast(model)  # 2 ** BITS weights: fixed size
 
     @F.pandas_udf("double")
     def score(texts):
@@ -139,7 +139,7 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
         margin = np.array([w[features(t or "")].sum(dtype=np.float64) + b for t in texts])
         return pd.Series(1 / (1 + np.exp(-np.clip(m["slope"] * margin + m["offset"], -40, 40))))
 
-    return docs.withColumn("score", score(F.col("text").cast("string"))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return lambda text: score(text.cast("string"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, max_rows: int = 8000) -> DataFrame:
@@ -148,5 +148,12 @@ def classify(docs: DataFrame, labels: DataFrame, max_rows: int = 8000) -> DataFr
     Null texts score like empty ones.  A null doc_id counts as held out.  Without labels of both
     kinds every text has the share of label 1 (or 0.5) as its tendency.  Other columns are ignored.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return scored(rows, train(docs, labels, max_rows)).select("doc_id", F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(True)).alias("held_out"), "score", "predicted")
+    score = scorer(docs.sparkSession, train(docs, labels, max_rows))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), score(F.col("text")).alias("score"))
+    return rows.select("doc_id", F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, max_rows: int = 8000) -> DataFrame:
+    """The rows of ``docs`` whose score is at least 0.5, unchanged."""
+    score = scorer(docs.sparkSession, train(docs, labels, max_rows))
+    return docs.filter(score(F.col("text")) >= 0.5)

@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,6 +58,19 @@ def written_at(df: DataFrame, tag: str, codec: str = "zstd") -> tuple[DataFrame,
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def without(rows: DataFrame, dropped: DataFrame, columns: list[str], limit: int = 1_000_000) -> DataFrame:
+    """``rows`` whose values in ``columns`` (nulls equal) are not among those of ``dropped``.
+
+    ``dropped`` is stored and counted first: up to ``limit`` of its rows are broadcast, so that
+    texts stay where they are; more make it a shuffled join.
+    """
+    named = dropped.select(*(F.col(c).alias(f"_without_{c}") for c in columns)).distinct()
+    named = written(named, "dropped")
+    if named.count() <= limit:
+        named = F.broadcast(named)
+    return rows.join(named, reduce(and_, (rows[c].eqNullSafe(F.col(f"_without_{c}")) for c in columns)), "left_anti")
+
+
 def open_fs(uri: str):
     """pyarrow filesystem and path of a URI (``file``, ``hdfs``, ``s3``, ``gs``) or plain path."""
     from pyarrow import fs

@@ -12,10 +12,11 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .labelled import fold, sample
@@ -304,12 +305,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> dict:
     return {"grams": grams, "weights": weights, "slope": slope, "price": price, "offset": offset}
 
 
-def scored(docs: DataFrame, model: dict) -> DataFrame:
-    """``docs`` with ``score`` and ``predicted`` added (such columns are replaced)."""
-    import uuid
-
+def scorer(spark: SparkSession, model: dict):
+    """A column function from text to score."""
     key = uuid.uuid4().hex
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(model)  # bounded by the alphabet and by `max_marks`
 
     @F.pandas_udf("double")
     def score(texts):
@@ -320,7 +319,7 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
         s = np.array([total(t or "") for t in texts], np.float64).reshape(-1, 2)
         return pd.Series(1 / (1 + np.exp(-np.clip(m["slope"] * s[:, 0] + m["price"] * s[:, 1] / 100 + m["offset"], -40, 40))))
 
-    return docs.withColumn("score", score(F.col("text").cast("string"))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return lambda text: score(text.cast("string"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> DataFrame:
@@ -329,5 +328,12 @@ def classify(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> Data
     Null texts score like empty ones.  A null doc_id counts as held out.  Without labels of both
     kinds nothing is toxic.  Other columns are ignored.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return scored(rows, train(docs, labels, max_rows)).select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(True)).alias("held_out"), "score", "predicted")
+    score = scorer(docs.sparkSession, train(docs, labels, max_rows))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), score(F.col("text")).alias("score"))
+    return rows.select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def clean_documents(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> DataFrame:
+    """The rows of ``docs`` whose score is below 0.5, unchanged."""
+    score = scorer(docs.sparkSession, train(docs, labels, max_rows))
+    return docs.filter(score(F.col("text")) < 0.5)
