@@ -95,14 +95,18 @@ def scan(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
         names = ["doc_id", "n", "sid", "part", "counts"]
         for batch in batches:
-            n, sid = [], []
+            n, sid, held, size = [], [], [], 0
             for text in batch.column(1).to_pylist():
                 s = shingles(text, words)
                 n.append(len(s))
                 sid.append(set_id(s))
-                sketch += np.bincount(_bucket(s), minlength=len(sketch)) if len(s) > 20_000 else 0
-                if 0 < len(s) <= 20_000:
-                    np.add.at(sketch, _bucket(s), 1)
+                held.append(s)
+                size += len(s)
+                if size > 500_000:
+                    sketch += np.bincount(_bucket(np.concatenate(held)), minlength=len(sketch))
+                    held, size = [], 0
+            if size:
+                sketch += np.bincount(_bucket(np.concatenate(held)), minlength=len(sketch))
             k = len(n)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(sid, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
         parts = [sketch[i:i + share].astype("<i8").tobytes() for i in range(0, len(sketch), share)]
@@ -161,67 +165,112 @@ def may_link(n1, n2, p1, p2, num: int, den: int):
     return np.minimum(n1 - p1, n2 - p2) >= need
 
 
+def _may(x: tuple, y: tuple, num: int, den: int) -> bool:
+    """:func:`may_link` of two rows (sid, n, pos)."""
+    return min(x[1] - x[2], y[1] - y[2]) >= -(-num * (x[1] + y[1]) // (num + den))
+
+
+class _Region:
+    """Joins a region's rows, which come one by one, to its first; holds at most ``SMALL`` of them."""
+
+    def __init__(self, num: int, den: int):
+        self.num, self.den, self.key, self.rows, self.large = num, den, None, [], False
+        self.out: list[tuple] = []
+        self.recent: set = set()
+
+    def _pair(self, x: tuple, y: tuple) -> None:
+        if (x[0], y[0]) not in self.recent and _may(x, y, self.num, self.den):
+            if len(self.recent) > 200_000:
+                self.recent.clear()
+            self.recent.add((x[0], y[0]))
+            self.out.append((0, self.key, x[0], y[0], 0, 0))
+
+    def _member(self, x: tuple) -> None:
+        self.out.append((1, self.key, x[0], x[0], x[1], x[2]))
+
+    def add(self, key: int, row: tuple) -> None:
+        if key != self.key:
+            self.close()
+            self.key, self.rows, self.large, self.last = key, [row], False, row[0]
+            return
+        if row[0] == self.last:
+            return  # the same class from another task
+        self.last = row[0]
+        self._pair(self.rows[0], row)
+        if self.large:
+            self._member(row)
+            return
+        self.rows.append(row)
+        if len(self.rows) > SMALL:
+            for x in self.rows[1:]:
+                self._member(x)
+            self.rows, self.large = self.rows[:1], True
+
+    def close(self) -> None:
+        """Members that may have a partner besides the first row go to the recursion."""
+        rest = self.rows[1:]
+        if self.large or len(rest) < 2:
+            return
+        for i, x in enumerate(rest):
+            if any(_may(x, y, self.num, self.den) for j, y in enumerate(rest) if j != i):
+                self._member(x)
+
+
 def first_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Joins every region's classes to its first one.  ``kind`` 0: a pair to verify; 1: a member of a
-    region of three or more, for the recursion.  Regions stream by; none is held."""
+    """Joins every region's classes to its first one.  ``kind`` 0: a pair to verify; 1: a member that
+    may have other partners in its region, for the recursion.  Regions stream by; none is held."""
     def run(batches):
         import pyarrow as pa
 
-        pivot: list | None = None  # key, sid, n, pos, members so far, the second member's row
-        last_sid, recent = None, set()
+        region = _Region(num, den)
+
+        def taken():
+            cols = zip(*region.out, strict=True) if region.out else [()] * 6
+            region.out = []
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["kind", "key", "a", "b", "n", "pos"])
+
         for batch in batches:
             key, sid, n, pos = (c.to_numpy() for c in batch.columns)
-            if pivot is None and len(key):
-                pivot = [None, 0, 0, 0, 0, None]
             # only rows that share a key with a neighbour (or with the open region) matter
             same = np.flatnonzero(key[1:] == key[:-1])
             use = np.zeros(len(key), bool)
             use[same] = use[same + 1] = True
             if len(key):
-                use |= key == pivot[0]
                 use[-1] = True
-            out: list[tuple] = []
-            for k, s, m, p in zip(key[use].tolist(), sid[use].tolist(), n[use].tolist(), pos[use].tolist(), strict=True):
-                if k != pivot[0]:
-                    pivot, last_sid = [k, s, m, p, 1, None], s
-                    continue
-                if s == last_sid:
-                    continue  # the same class from another task
-                last_sid = s
-                pivot[4] += 1
-                if (pivot[1], s) not in recent and may_link(pivot[2], m, pivot[3], p, num, den):
-                    if len(recent) > 200_000:
-                        recent.clear()
-                    recent.add((pivot[1], s))
-                    out.append((0, k, pivot[1], s, 0, 0))
-                if pivot[4] == 2:
-                    pivot[5] = (1, k, s, s, m, p)
-                else:
-                    if pivot[5]:
-                        out += [(1, k, pivot[1], pivot[1], pivot[2], pivot[3]), pivot[5]]
-                        pivot[5] = None
-                    out.append((1, k, s, s, m, p))
-            cols = zip(*out, strict=True) if out else [()] * 6
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["kind", "key", "a", "b", "n", "pos"])
+                if region.key is not None:
+                    use |= key == region.key
+            for k, row in zip(key[use].tolist(), zip(sid[use].tolist(), n[use].tolist(), pos[use].tolist(), strict=True), strict=True):
+                region.add(k, row)
+            yield taken()
+        region.close()
+        yield taken()
 
     return rows.repartition("key").sortWithinPartitions("key", "pos", "sid").mapInArrow(run, "kind int, key long, a long, b long, n int, pos int")
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, sids: DataFrame, words: int) -> DataFrame:
-    """The whole sets of the classes in ``sids``, one row each, from the documents in ``ids``."""
+def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """``members`` (the whole set) and ``cells`` of the classes in ``wanted`` (``sid``, ``whole``: whether
+    the set itself is needed), one row each, from one document of each class."""
+    ids = wanted.join(classes.filter("rep IS NOT NULL"), "sid").groupBy(F.col("rep").alias("_id")).agg(F.max("whole").alias("_whole"))
+
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            found = [(set_id(s), s.tobytes(), cells_of(s).tobytes()) for s in (shingles(t, words) for t in batch.column(1).to_pylist()) if len(s)]
+            found = []
+            for text, whole in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                s = shingles(text, words)
+                if len(s):
+                    found.append((set_id(s), s.tobytes() if whole else None, cells_of(s).tobytes()))
             a, b, c = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.binary()), pa.array(c, pa.binary())], ["sid", "members", "cells"])
 
     ids = written(ids, "wanted-ids")
-    near = F.broadcast(ids) if ids.count() <= 1_000_000 else ids  # ids of 8 bytes; beyond that a shuffled join
-    rows = docs.join(near.withColumnRenamed("doc_id", "_id"), docs.doc_id == F.col("_id"), "left_semi").mapInArrow(run, "sid long, members binary, cells binary")
-    return rows.join(sids, "sid", "left_semi").groupBy("sid").agg(F.first("members").alias("members"), F.first("cells").alias("cells"))
+    near = F.broadcast(ids) if ids.count() <= 1_000_000 else ids  # rows of 9 bytes; beyond that a shuffled join
+    rows = docs.join(near, docs.doc_id == F.col("_id")).select("text", "_whole").mapInArrow(run, "sid long, members binary, cells binary")
+    # rows that repeat an id may have other texts: only the classes asked for stay
+    return rows.join(wanted.select("sid"), "sid", "left_semi").groupBy("sid").agg(F.max("members").alias("members"), F.max("cells").alias("cells"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -337,8 +386,9 @@ def similar_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     pairs = met.filter("kind = 0").select("a", "b").distinct()
     members = met.filter("kind = 1").select("key", F.col("a").alias("sid"), "n", "pos").distinct()
     pairs, members = written(pairs, "pairs"), written(members, "members")
-    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("sid")).unionByName(members.select("sid")).distinct(), "wanted")
-    sets = written(sets_of(base, wanted.join(classes, "sid").select(F.col("rep").alias("doc_id")).filter("doc_id IS NOT NULL").distinct(), wanted, words), "whole-sets")
+    ends = lambda p, whole: p.select(F.explode(F.array("a", "b")).alias("sid"), F.lit(whole).alias("whole"))
+    wanted = ends(pairs, True).unionByName(members.select("sid", F.lit(False).alias("whole"))).groupBy("sid").agg(F.max("whole").alias("whole"))
+    sets = written(sets_of(base, classes, written(wanted, "wanted"), words), "sets-of-classes")
     links = written(verified(pairs, sets, num, den), "links")
 
     labels = components(links)
@@ -347,7 +397,8 @@ def similar_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
     left = placed.join(open_keys, "key", "left_semi").join(sets.select("sid", "cells"), "sid")
     more = written(second_pairs(left, num, den).distinct().join(pairs, ["a", "b"], "left_anti"), "more-pairs")
-    links = links.unionByName(written(verified(more, sets, num, den), "more-links"))
+    late = written(ends(more, True).distinct(), "late")
+    links = links.unionByName(written(verified(more, sets_of(base, classes, late, words), num, den), "more-links"))
 
     name = classes.filter("rep IS NOT NULL")
     ends = (links.join(name.select(F.col("sid").alias("a"), F.col("rep").alias("ra")), "a")
