@@ -1,4 +1,12 @@
-"""The `tokenizers` library over Arrow batches: whole texts to ids, memoised by piece."""
+"""The `tokenizers` library over Arrow batches: whole texts to ids, each distinct piece once.
+
+In the vocabulary's pattern a single blank between two characters that are not white space begins
+a new pre-token, and a single line feed there is one of its own.  Most texts have no other white
+space: Arrow cuts those at blanks and line feeds and numbers the distinct pieces; new pieces are cut
+into pre-tokens by the pattern and go to the library's own BPE model, spelt in the vocabulary's
+letters, one word each; and the ids of all texts are gathered from that table.  All other texts,
+and all texts if the file is of another kind, go to the library's tokenizer as they are.
+"""
 
 from __future__ import annotations
 
@@ -9,9 +17,12 @@ from array import array
 import numpy as np
 import public_tokenizers
 
-from .pieces import Memo, chunks
+_LOADED: dict = {}
 
-_LOADED: dict[int, Memo] = {}
+#: Texts that are not cut: runs of white space or white space at an end, other white space than a
+#: blank or a line feed, control characters.
+_ODD = "[ \\n][ \\n]|^[ \\n]|[ \\n]$|[\\x{00}-\\x{09}\\x{0B}-\\x{1F}\\x{7F}-\\x{A0}\\x{1680}\\x{180E}\\x{2000}-\\x{200F}\\x{2028}-\\x{202F}\\x{205F}-\\x{206F}\\x{3000}\\x{FEFF}]"
+_CUT = "\x01"
 
 
 def read_vocabulary(path: str) -> bytes:
@@ -31,84 +42,119 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-class Lines:
-    """Encodes many short texts per library call.
-
-    The texts become lines of one text, which is cut by the vocabulary's pattern here; new
-    pre-tokens are spelt in the vocabulary's letters and given to the library's own BPE model, one
-    word each.  The line feed, always a pre-token of its own between such lines, marks where each
-    ends.  Texts with white space inside, a zero byte or the text of a special token go to the
-    unchanged tokenizer, as does everything if the file is of another kind.
-    """
+class Encoder:
+    """Encodes Arrow string arrays; remembers up to ``limit`` pieces between calls."""
 
-    def __init__(self, content: str, pattern: str, per_call: int = 20_000, limit: int = 300_000):
+    def __init__(self, content: str, pattern: str, limit: int = 500_000):
         import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
         whole = Tokenizer.from_str(content)
         self.whole = getattr(whole, "encode_batch_fast", whole.encode_batch)
-        self.per_call, self.limit, self.pattern = per_call, limit, regex.compile(pattern)
-        self.known: dict[str, bytes] = {}
+        self.limit = limit
         spec = json.loads(content)
         self.special = [t["content"] for t in spec.get("added_tokens") or []]
         pre = spec.get("pre_tokenizer") or {}
-        self.plain_kind = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
-        if self.plain_kind:
+        self.plain = pattern == public_tokenizers.PATTERN and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
+        if self.plain:
+            self.pattern = regex.compile(pattern)
             words = Tokenizer.from_str(json.dumps({**spec, "pre_tokenizer": None, "post_processor": None, "decoder": None, "added_tokens": []}))
             words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-            self.words = words.encode_batch
+            self.words = getattr(words, "encode_batch_fast", words.encode_batch)
             self.letters = {**byte_letters(), 0: " "}
-
-    def __call__(self, texts: list[str], lead: str = "") -> list[bytes]:
-        """Id bytes of ``lead + text`` for each text."""
-        out: list[bytes | None] = [None] * len(texts)
-        plain = [i for i, t in enumerate(texts) if t.split() == [t]] if self.plain_kind else []
-        for k in range(0, len(plain), self.per_call):
-            rows = plain[k:k + self.per_call]
-            lines = lead + ("\n" + lead).join([texts[i] for i in rows])
-            if "\0" in lines or any(s in lines for s in self.special):
-                continue
-            found = self.pattern.findall(lines)
-            self._learn(set(found).difference(self.known))
+            self.feed = words.token_to_id(self.letters[10])
+            self.plain = self.feed is not None
+            self.fixed = {"": b"", "\n": array("I", [self.feed or 0]).tobytes()}
+            self.known, self.words_known = dict(self.fixed), {"\n": self.fixed["\n"]}
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.whole(texts, add_special_tokens=False)]
+
+    def _bpe(self, new: list[str]) -> None:
+        """Ids of new pre-tokens; line feeds, which are tokens of their own, tell them apart."""
+        spelt = "\0\n\0".join(new).encode().decode("latin-1").translate(self.letters)
+        ids = np.frombuffer(array("I", self.words([spelt], add_special_tokens=False)[0].ids), np.uint32)
+        ends = np.append(np.flatnonzero(ids == self.feed), len(ids)).tolist()
+        raw = ids.tobytes()
+        self.words_known.update((w, raw[4 * a:4 * b]) for w, a, b in zip(new, [0, *(e + 1 for e in ends[:-1])], ends, strict=True))
+
+    def _learn(self, new: list[str], per_call: int = 20_000) -> None:
+        """Ids of new pieces: the pattern cuts them, a line feed between two ends the first."""
+        for k in range(0, len(new), per_call):
+            some = new[k:k + per_call]
+            found = self.pattern.findall("\n".join(some))
+            if len(self.words_known) > self.limit // 2:
+                self.words_known = {"\n": self.fixed["\n"]}
+            fresh = [w for w in set(found) if w not in self.words_known]
+            if fresh:
+                self._bpe(fresh)
+            get, begin = self.words_known.__getitem__, 0
             ends = [i for i, w in enumerate(found) if w == "\n"]
-            if len(ends) != len(rows) - 1:
-                continue
-            begin, get = 0, self.known.__getitem__
-            for i, end in zip(rows, [*ends, len(found)], strict=True):
-                out[i] = b"".join(map(get, found[begin:end]))
+            for w, end in zip(some, [*ends, len(found)], strict=True):
+                self.known[w] = get(found[begin]) if end - begin == 1 else b"".join(map(get, found[begin:end]))
                 begin = end + 1
-            if len(self.known) > self.limit:
-                self.known.clear()
-        left = [i for i, x in enumerate(out) if x is None]
-        for i, e in zip(left, self.whole([lead + texts[i] for i in left], add_special_tokens=False), strict=True):
-            out[i] = array("I", e.ids).tobytes()
-        return out
 
-    def _learn(self, new: set[str]) -> None:
-        """Ids of pre-tokens by one call: each is one word to the library's BPE model."""
-        order = list(new)
-        spelt = "\0".join(order).encode().decode("latin-1").translate(self.letters)
-        got = self.words([spelt], add_special_tokens=False)[0]
-        ids = np.frombuffer(array("I", got.ids), np.uint32).astype("<u4")
-        word = np.array(got.word_ids, np.int64)
-        at = np.searchsorted(word, np.arange(len(order) + 1)).tolist()
-        raw = ids.tobytes()
-        self.known.update((w, raw[4 * a:4 * b]) for w, a, b in zip(order, at[:-1], at[1:], strict=True))
+    def _plain(self, texts) -> list[bytes]:
+        import pyarrow.compute as pc
+
+        cut = pc.replace_substring(pc.replace_substring(texts, "\n", f"{_CUT}\n{_CUT}"), " ", f"{_CUT} ")
+        lists = pc.split_pattern(cut, _CUT)
+        coded = lists.flatten().dictionary_encode()
+        at, distinct = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = [w for w in distinct if w not in self.known]
+        if len(self.known) + len(new) > self.limit:
+            self.known = dict(self.fixed)
+            new = [w for w in distinct if w not in self.known]
+        self._learn(new)
+        table = list(map(self.known.__getitem__, distinct))
+        size = np.fromiter(map(len, table), np.int64, len(table)) >> 2
+        pool = np.frombuffer(b"".join(table), np.uint32)
+        begin = np.cumsum(size) - size
+        n = size[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        flat = pool[np.repeat(begin[at] - ends[:-1], n) + np.arange(ends[-1])].astype("<u4").tobytes()
+        cuts = (4 * ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]).tolist()
+        return [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def encode(self, texts) -> list[bytes]:
+        """Id bytes (little-endian unsigned 32 bits) of a string array without nulls."""
+        import pyarrow.compute as pc
+
+        if not self.plain:
+            return self._whole(texts.to_pylist())
+        odd = pc.match_substring_regex(texts, _ODD)
+        for special in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, special))
+        mask = odd.to_numpy(zero_copy_only=False)
+        out: list[bytes] = [b""] * len(texts)
+        for rows, encode in ((np.flatnonzero(~mask), self._plain), (np.flatnonzero(mask), lambda x: self._whole(x.to_pylist()))):
+            if len(rows):
+                for i, ids in zip(rows.tolist(), encode(texts.take(rows) if len(rows) < len(texts) else texts), strict=True):
+                    out[i] = ids
+        return out
 
 
-def memo_for(content: bytes) -> Memo:
+def encoder_for(content: bytes) -> Encoder:
     """This worker's encoder of a vocabulary, made once and kept between tasks."""
     key = hash(content)
     if key not in _LOADED:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _LOADED.clear()
-        _LOADED[key] = Memo(Lines(content.decode(), public_tokenizers.PATTERN))
+        _LOADED[key] = Encoder(content.decode(), public_tokenizers.PATTERN)
     return _LOADED[key]
 
 
-def encoded(content: bytes, texts: list[str | None]):
-    """Id bytes (little-endian unsigned 32 bits) of each text (null: empty), in order."""
-    memo = memo_for(content)
-    whole = [t or "" for t in texts]
-    for a, b in chunks(whole):
-        yield from memo.encode(whole[a:b])
+def encoded(content: bytes, texts, chunk: int = 6_000_000):
+    """Id bytes of each text of an Arrow string array (null: empty), in order."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    coder, texts = encoder_for(content), pc.fill_null(texts.cast(pa.large_string()), "")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) if len(texts) else np.zeros(0, np.int64)
+    begin = 0
+    while begin < len(texts):
+        before = ends[begin - 1] if begin else 0
+        end = max(int(np.searchsorted(ends, before + chunk)), begin + 1)
+        part = texts.slice(begin, end - begin)
+        yield from coder.encode(pa.concat_arrays([part]))
+        begin = end

@@ -128,7 +128,7 @@ def id_table(docs: DataFrame, vocabulary: bytes, end_id: int | None = 0) -> Data
         for batch in batches:
             keys = batch.column(0)
             ids, held, at = [], 0, 0
-            for raw in encoded(shared.value, batch.column(1).to_pylist()):
+            for raw in encoded(shared.value, batch.column(1)):
                 ids.append(np.frombuffer(raw + tail, "<u4").astype("<u2" if len(shared.value) < 1 << 23 else "<u4").tobytes())
                 held += len(raw)
                 if held > 8_000_000:

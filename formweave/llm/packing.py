@@ -98,7 +98,7 @@ def token_pieces(docs: DataFrame, vocabulary: bytes, capacity: int, end_id: int
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             rows = []
-            for key, raw in zip(batch.column(0).to_pylist(), encoded(shared.value, batch.column(1).to_pylist()), strict=True):
+            for key, raw in zip(batch.column(0).to_pylist(), encoded(shared.value, batch.column(1)), strict=True):
                 raw += tail
                 n = len(raw) // 4
                 first = n % capacity or capacity
