@@ -45,7 +45,7 @@ def byte_letters() -> dict[int, str]:
 class Encoder:
     """Encodes Arrow string arrays; remembers up to ``limit`` pieces between calls."""
 
-    def __init__(self, content: str, pattern: str, limit: int = 500_000):
+    def __init__(self, content: str, pattern: str, limit: int = 300_000):
         import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -144,7 +144,7 @@ def encoder_for(content: bytes) -> Encoder:
     return _LOADED[key]
 
 
-def encoded(content: bytes, texts, chunk: int = 6_000_000):
+def encoded(content: bytes, texts, chunk: int = 3_000_000):
     """Id bytes of each text of an Arrow string array (null: empty), in order."""
     import pyarrow as pa
     import pyarrow.compute as pc

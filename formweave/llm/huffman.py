@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .hub import encoded, read_vocabulary
-from .store import drop_dir, fresh_dir, open_fs, written, written_at
+from .store import bounded_batches, drop_dir, fresh_dir, open_fs, written, written_at
 
 LIMIT, STEP, BLOCK_IDS = 16, 128, 1 << 18
 _MAGIC = b"FWTOK1\0\0"
@@ -131,7 +131,7 @@ def id_table(docs: DataFrame, vocabulary: bytes, end_id: int | None = 0) -> Data
             for raw in encoded(shared.value, batch.column(1)):
                 ids.append(np.frombuffer(raw + tail, "<u4").astype("<u2" if len(shared.value) < 1 << 23 else "<u4").tobytes())
                 held += len(raw)
-                if held > 8_000_000:
+                if held > 4_000_000:
                     yield _id_batch(pa, keys.slice(at, len(ids)), ids, 2 if len(shared.value) < 1 << 23 else 4)
                     at, ids, held = at + len(ids), [], 0
             if ids:
@@ -305,6 +305,7 @@ def token_round_trip(docs: DataFrame, vocabulary_path: str, end_id: int | None =
     columns are ignored.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     ids, at = written_at(id_table(docs, read_vocabulary(vocabulary_path), end_id), "ids")
     manifest = write_ids(ids, fresh_dir(spark, "token-files"))
     drop_dir(spark, at)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import without, written
+from .store import bounded_batches, without, written
 
 SKETCH_BITS, CELLS, SMALL = 18, 128, 48
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -38,7 +38,7 @@ class _Words(dict):
     """64-bit hashes of words, remembered for a bounded number of them."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         h = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 64:
@@ -379,6 +379,7 @@ def similar_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     after all others and link with nothing but equal sets.  Other columns are ignored; an empty
     table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows, levels = scan(base, words)
     classes = written(rows.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep")), "classes")

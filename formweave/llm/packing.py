@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .hub import encoded, read_vocabulary
-from .store import written
+from .store import bounded_batches, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -159,4 +159,5 @@ def pack_documents(docs: DataFrame, vocabulary_path: str, capacity: int = 2048,
     ids are cut; all their pieces but the first are full.  Rows that repeat a doc_id are packed like
     others; null ids stay null; other columns are ignored; an empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     return pack(written(token_pieces(docs, read_vocabulary(vocabulary_path), capacity, end_id), "pieces"), capacity)

@@ -29,6 +29,13 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") -> None:
+    """Let Arrow batches hold few rows: texts and sets are wide, and every worker holds some batches."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def fresh_dir(spark: SparkSession, tag: str) -> str:
     """A new folder name under the shared folder, removed when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
