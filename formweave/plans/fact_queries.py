@@ -48,7 +48,7 @@ def house(spark, sf):
 
 
 def fuzzy_tokens(spark, sf):
-    labels = _acc(spark, sf).select(F.substring_index("field_key", "|", 1).alias("form_key"), "normalized_text").filter("form_key = 'nation_7'").distinct()
+    labels = _acc(spark, sf).select(F.substring_index("field_key", "|", 1).alias("form_key"), "normalized_text").distinct()
     pairs = labels.withColumnRenamed("normalized_text", "a").join(labels.withColumnRenamed("normalized_text", "b"), "form_key")
     return pairs.withColumn("token_part", F.round(token_part(F.col("a"), F.col("b")), 6))
 

@@ -72,7 +72,7 @@ SQL = {
     "rejection_suppression": FACTS + EXACT + "SELECT e.form_key, e.normalized_text, variable, (CASE WHEN n.field_key IS NOT NULL THEN 0.0 ELSE confidence END)::DOUBLE AS confidence FROM exact e LEFT JOIN no n ON n.field_key = e.form_key || '|' || e.normalized_text AND n.annotation_text = variable",
     "prefill_tiers": FACTS + EXACT + CONSENSUS + SUFFIXES + PATTERN + TIERS + "SELECT form_key, normalized_text, tier, variable, confidence, CASE WHEN tier = 'EXACT_KEY' AND confidence >= 0.9 THEN 'AUTO' WHEN confidence >= 0.5 THEN 'NEEDS_REVIEW' ELSE 'NEEDS_MAPPING' END AS status FROM best",
     "prefill_summary": FACTS + EXACT + CONSENSUS + SUFFIXES + PATTERN + TIERS + ", st AS (SELECT CASE WHEN tier = 'EXACT_KEY' AND confidence >= 0.9 THEN 'AUTO' WHEN confidence >= 0.5 THEN 'NEEDS_REVIEW' ELSE 'NEEDS_MAPPING' END AS status FROM best) SELECT count(*) AS fields, count(*) FILTER (status = 'AUTO') AS auto, count(*) FILTER (status = 'NEEDS_REVIEW') AS needs_review, count(*) FILTER (status = 'NEEDS_MAPPING') AS reaches_agent, round(count(*) FILTER (status = 'AUTO') / count(*), 3) AS auto_fill_rate FROM st",
-    "fuzzy_tokens": FACTS + r""", labels AS (SELECT DISTINCT form_key, normalized_text AS t FROM acc WHERE form_key = 'nation_7'),
+    "fuzzy_tokens": FACTS + r""", labels AS (SELECT DISTINCT form_key, normalized_text AS t FROM acc),
 s AS (SELECT form_key, t, list_distinct(list_transform(list_filter(string_split(t, ' '), lambda w: w <> ''), lambda w: CASE WHEN length(w) > 3 AND ends_with(w, 's') AND NOT ends_with(w, 'ss') THEN left(w, -1) ELSE w END)) AS k FROM labels),
 p AS (SELECT a.form_key, a.t AS a, b.t AS b, len(list_intersect(a.k, b.k))::DOUBLE AS shared, len(list_distinct(list_concat(a.k, b.k))) AS u, least(len(a.k), len(b.k)) AS m FROM s a JOIN s b ON a.form_key = b.form_key)
 SELECT form_key, a, b, round(0.35 * CASE WHEN m = 1 THEN shared / u ELSE shared / m END + 0.25 * shared / u, 6) AS token_part FROM p""",

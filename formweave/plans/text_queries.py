@@ -24,14 +24,14 @@ def markup_strings(spark, sf):
 
 
 def normalize_labels(spark, sf):
-    return _lines(spark, sf).filter("ord < 3").select("doc_id", "ord", X.normalize(F.col("line")).alias("key"))
+    return _lines(spark, sf).select("doc_id", "ord", X.normalize(F.col("line")).alias("key"))
 
 
 def split_label(spark, sf):
     item = F.element_at(F.array(*map(F.lit, ("1. ", "a) ", "(3) ", "iv. ", "• ", ""))), (F.col("doc_id") % 6 + 1).cast("int"))
-    raw = F.concat(item, F.substring("line", 1, 40), F.when(F.col("doc_id") % 2 == 0, ":").otherwise(" ?*"))
-    rows = _lines(spark, sf).filter("ord = 0 AND line rlike '^[A-Za-z ]+'").select("doc_id", raw.alias("raw"))
-    return rows.select("doc_id", X.item_number(F.col("raw")).alias("item"), X.label(F.col("raw")).alias("label"))
+    raw = F.concat(item, "line", F.when(F.col("doc_id") % 2 == 0, ":").otherwise(" ?*"))
+    rows = _lines(spark, sf).select("doc_id", "ord", raw.alias("raw"))
+    return rows.select("doc_id", "ord", X.item_number(F.col("raw")).alias("item"), X.label(F.col("raw")).alias("label"))
 
 
 def clean_title(spark, sf):
