@@ -78,7 +78,7 @@ def prefix_length(n: int, num: int, den: int) -> int:
 
 def cells_of(s: np.ndarray) -> np.ndarray:
     """Counts of a set's members by hash cell."""
-    return np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=CELLS).astype(np.uint16)
+    return np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=CELLS).astype(np.uint32)
 
 
 def _bucket(s: np.ndarray) -> np.ndarray:
@@ -273,6 +273,21 @@ def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int)
     return rows.join(wanted.select("sid"), "sid", "left_semi").groupBy("sid").agg(F.max("members").alias("members"), F.max("cells").alias("cells"))
 
 
+def close_pairs(pairs: DataFrame, cells: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs that the bound of their count vectors lets pass; only these need their whole sets."""
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, CELLS) for k in (2, 3))
+            keep = den * np.minimum(x, y).sum(axis=1, dtype=np.int64) >= num * np.maximum(x, y).sum(axis=1, dtype=np.int64)
+            mask = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+
+    one, two = cells.select(F.col("sid").alias("b"), F.col("cells").alias("y")), cells.select(F.col("sid").alias("a"), F.col("cells").alias("x"))
+    return pairs.join(one, "b").join(two, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs whose whole sets reach the threshold."""
     def run(batches):
@@ -344,7 +359,7 @@ def second_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
 
         table = table.sort_by("sid")
         sid, n, pos, comp = (table.column(c).to_numpy() for c in ("sid", "n", "pos", "comp"))
-        cells = np.stack([np.frombuffer(x, np.uint16) for x in table.column("cells").to_pylist()])
+        cells = np.stack([np.frombuffer(x, np.uint32) for x in table.column("cells").to_pylist()])
         got = sorted(region_pairs(comp, n.astype(np.int64), pos.astype(np.int64), cells, num, den))
         a, b = (sid[[p[k] for p in got]] for k in (0, 1)) if got else (np.zeros(0, np.int64),) * 2
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -388,15 +403,16 @@ def similar_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     members = met.filter("kind = 1").select("key", F.col("a").alias("sid"), "n", "pos").distinct()
     pairs, members = written(pairs, "pairs"), written(members, "members")
     ends = lambda p, whole: p.select(F.explode(F.array("a", "b")).alias("sid"), F.lit(whole).alias("whole"))
-    wanted = ends(pairs, True).unionByName(members.select("sid", F.lit(False).alias("whole"))).groupBy("sid").agg(F.max("whole").alias("whole"))
-    sets = written(sets_of(base, classes, written(wanted, "wanted"), words), "sets-of-classes")
-    links = written(verified(pairs, sets, num, den), "links")
+    wanted = written(ends(pairs, False).unionByName(members.select("sid", F.lit(False).alias("whole"))).distinct(), "wanted")
+    cells = written(sets_of(base, classes, wanted, words).select("sid", "cells"), "cells")
+    near = written(close_pairs(pairs, cells, num, den), "close-pairs")
+    links = written(verified(near, sets_of(base, classes, written(ends(near, True).distinct(), "ends"), words), num, den), "links")
 
     labels = components(links)
     placed = members.join(labels.select(F.col("id").alias("sid"), F.col("label").alias("found")), "sid", "left").select("key", "sid", "n", "pos", F.coalesce("found", "sid").alias("comp"))
     placed = written(placed, "placed")
     open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    left = placed.join(open_keys, "key", "left_semi").join(sets.select("sid", "cells"), "sid")
+    left = placed.join(open_keys, "key", "left_semi").join(cells, "sid")
     more = written(second_pairs(left, num, den).distinct().join(pairs, ["a", "b"], "left_anti"), "more-pairs")
     late = written(ends(more, True).distinct(), "late")
     links = links.unionByName(written(verified(more, sets_of(base, classes, late, words), num, den), "more-links"))
