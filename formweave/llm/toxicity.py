@@ -195,7 +195,7 @@ def learn_grams(rows: DataFrame) -> dict[str, float]:
     return {r.gram: float(r.n) for r in got.collect()}
 
 
-def learn_weights(rows: DataFrame, grams: dict[str, float], min_ratio: float = 2.0, min_z: float = 4.0, max_marks: int = 50_000) -> dict[str, float]:
+def learn_weights(rows: DataFrame, grams: dict[str, float], min_ratio: float = 2.0, min_gain: float = 20.0, max_marks: int = 50_000) -> dict[str, float]:
     """Log ratios of the features that make up a clearly larger share of toxic texts' words.
 
     Counts are of the distinct words of each text, over the whole sample, summed where the texts
@@ -224,10 +224,12 @@ def learn_weights(rows: DataFrame, grams: dict[str, float], min_ratio: float = 2
     counts = rows.mapInArrow(count, "mark string, bad long, good long").groupBy("mark").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     total = counts.filter("mark = ''")
     ratio = F.log((F.col("bad") + 0.5) / (F.col("nb") + 1.0)) - F.log((F.col("good") + 0.5) / (F.col("ng") + 1.0))
-    spread = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
+    # twice the log-likelihood gained by telling the two kinds of text apart
+    both, share = F.col("bad") + F.col("good"), F.col("nb") / (F.col("nb") + F.col("ng"))
+    gain = 2 * (F.col("bad") * F.log(F.col("bad") / (both * share)) + F.when(F.col("good") > 0, F.col("good") * F.log(F.col("good") / (both * (1 - share)))).otherwise(0.0))
     strong = (counts.filter("mark <> '' AND bad > 2").crossJoin(F.broadcast(total.select(F.col("bad").alias("nb"), F.col("good").alias("ng"))))
-              .select("mark", ratio.alias("ratio"), (ratio / spread).alias("z"))
-              .filter((F.col("ratio") >= min_ratio) & (F.col("z") >= min_z)).orderBy(F.desc("z"), "mark").limit(max_marks))
+              .select("mark", ratio.alias("ratio"), gain.alias("gain"))
+              .filter((F.col("ratio") >= min_ratio) & (F.col("gain") >= min_gain)).orderBy(F.desc("gain"), "mark").limit(max_marks))
     return {r.mark: r.ratio for r in strong.collect()}
 
 
