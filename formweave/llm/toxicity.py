@@ -4,8 +4,8 @@ Words are restored before they are judged: a word with leetspeak, spacing or rep
 lattice of the characters it may stand for, and Viterbi decoding takes the path that is cheapest
 under a character trigram model (learned from the labelled texts) and the costs of the channel.
 Restored words and their beginnings are features.  Those that make up a clearly larger share of the
-distinct words of toxic texts carry their log ratio as weight; a text's sum of weights is set
-against the number of its words (as for Poisson rates) on a logistic curve.
+distinct words of toxic texts carry their log ratio as weight; a text's sum of weights, its largest
+weight and the number of its words (as for Poisson rates) make its score on a logistic curve.
 """
 
 from __future__ import annotations
@@ -234,7 +234,8 @@ def learn_weights(rows: DataFrame, grams: dict[str, float], min_ratio: float = 2
 
 
 class Scorer:
-    """Sum of weights and number of a text's distinct words; words are remembered, up to a bound.
+    """Sum of weights, largest weight and number of a text's distinct words; words are remembered, up
+    to a bound.
 
     A word counts by its strongest feature.
     """
@@ -251,21 +252,23 @@ class Scorer:
             return 0.0
         return max((self.weights.get(m, 0.0) for m in marks(word)), default=0.0)
 
-    def __call__(self, text: str) -> tuple[float, int]:
+    def __call__(self, text: str) -> tuple[float, float, int]:
         if len(self.known) > 300_000:
             self.known.clear()
         words = words_of(text)
         for w in words.difference(self.known):
             self.known[w] = self.weight(w)
-        return math.fsum(map(self.known.__getitem__, words)), len(words)
+        found = list(map(self.known.__getitem__, words))
+        return math.fsum(found), max(found, default=0.0), len(words)
 
 
-def curve(total: np.ndarray, words: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Slope, price of 100 words and offset of the logistic curve, by Newton's method."""
-    x = np.stack([total, words / 100, np.ones(len(y))], axis=1)
+def curve(x: np.ndarray, y: np.ndarray) -> list[float]:
+    """Logistic coefficients of the sum, the largest weight, 100 words, and the offset, by Newton's
+    method; more weight never lowers a score and more words never raise it."""
+    x = np.concatenate([x / [1, 1, 100], np.ones((len(y), 1))], axis=1)
     target = np.where(y > 0, 0.99, 0.01)
-    beta, ridge = np.zeros(3), np.array([1e-3, 1e-3, 1e-6])
-    for _ in range(100):
+    beta, ridge = np.zeros(4), np.array([1e-2, 1e-2, 1e-2, 1e-6])
+    for _ in range(200):
         s = 1 / (1 + np.exp(-np.clip(x @ beta, -40, 40)))
         g = x.T @ (s - target) + ridge * beta
         h = (x * np.maximum(s * (1 - s), 1e-9)[:, None]).T @ x + np.diag(ridge + 1e-9)
@@ -274,7 +277,7 @@ def curve(total: np.ndarray, words: np.ndarray, y: np.ndarray) -> tuple[float, f
         beta -= step
         if np.abs(step).max() < 1e-7:
             break
-    return float(max(beta[0], 0.0)), float(min(beta[1], 0.0)), float(beta[2])
+    return [max(float(beta[0]), 0.0), max(float(beta[1]), 0.0), min(float(beta[2]), 0.0) / 100, float(beta[3])]
 
 
 _LAST: list = [None, None]
@@ -298,13 +301,13 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> dict:
 
         score = Scorer(**shared.value)
         for batch in batches:
-            got = [score(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([a for a, _ in got], pa.float64()), pa.array([n for _, n in got], pa.int64())], ["y", "s", "n"])
+            s, m, n = zip(*map(score, batch.column(0).to_pylist()), strict=True) if batch.num_rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(s, pa.float64()), pa.array(m, pa.float64()), pa.array(n, pa.int64())], ["y", "s", "m", "n"])
 
-    got = sorted(rows.mapInArrow(sums, "y int, s double, n long").collect())  # three numbers for each of at most max_rows rows
-    y, s, n = (np.array(c, np.float64) for c in zip(*got, strict=True)) if got else (np.zeros(0),) * 3
-    slope, price, offset = curve(s, n, y) if len(got) and y.min() != y.max() else (0.0, 0.0, -2.0)
-    return {"grams": grams, "weights": weights, "slope": slope, "price": price, "offset": offset}
+    got = sorted(rows.mapInArrow(sums, "y int, s double, m double, n long").collect())  # four numbers for each of at most max_rows rows
+    table = np.array(got, np.float64).reshape(-1, 4)
+    y = table[:, 0]
+    return {"grams": grams, "weights": weights, "curve": curve(table[:, 1:], y) if len(got) and y.min() != y.max() else [0.0, 0.0, 0.0, -2.0]}
 
 
 def scorer(spark: SparkSession, model: dict):
@@ -318,8 +321,8 @@ def scorer(spark: SparkSession, model: dict):
 
         m = shared.value
         total = _scorer(key, m)
-        s = np.array([total(t or "") for t in texts], np.float64).reshape(-1, 2)
-        return pd.Series(1 / (1 + np.exp(-np.clip(m["slope"] * s[:, 0] + m["price"] * s[:, 1] / 100 + m["offset"], -40, 40))))
+        x = np.array([total(t or "") for t in texts], np.float64).reshape(-1, 3)
+        return pd.Series(1 / (1 + np.exp(-np.clip(x @ m["curve"][:3] + m["curve"][3], -40, 40))))
 
     return lambda text: score(text.cast("string"))
 
