@@ -45,7 +45,7 @@ def byte_letters() -> dict[int, str]:
 class Encoder:
     """Encodes Arrow string arrays; remembers up to ``limit`` pieces between calls."""
 
-    def __init__(self, content: str, pattern: str, limit: int = 300_000):
+    def __init__(self, content: str, pattern: str, limit: int = 500_000):
         import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -101,12 +101,14 @@ class Encoder:
         lists = pc.split_pattern(cut, _CUT)
         coded = lists.flatten().dictionary_encode()
         at, distinct = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        new = [w for w in distinct if w not in self.known]
+        table = list(map(self.known.get, distinct))
+        new = [w for w, ids in zip(distinct, table, strict=True) if ids is None]
         if len(self.known) + len(new) > self.limit:
             self.known = dict(self.fixed)
             new = [w for w in distinct if w not in self.known]
-        self._learn(new)
-        table = list(map(self.known.__getitem__, distinct))
+        if new:
+            self._learn(new)
+            table = list(map(self.known.__getitem__, distinct)) if len(new) * 2 > len(distinct) else [self.known[w] if ids is None else ids for w, ids in zip(distinct, table, strict=True)]
         size = np.fromiter(map(len, table), np.int64, len(table)) >> 2
         pool = np.frombuffer(b"".join(table), np.uint32)
         begin = np.cumsum(size) - size
@@ -144,7 +146,7 @@ def encoder_for(content: bytes) -> Encoder:
     return _LOADED[key]
 
 
-def encoded(content: bytes, texts, chunk: int = 3_000_000):
+def encoded(content: bytes, texts, chunk: int = 6_000_000):
     """Id bytes of each text of an Arrow string array (null: empty), in order."""
     import pyarrow as pa
     import pyarrow.compute as pc

@@ -305,7 +305,7 @@ def token_round_trip(docs: DataFrame, vocabulary_path: str, end_id: int | None =
     columns are ignored.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, 2500, "8m")
     ids, at = written_at(id_table(docs, read_vocabulary(vocabulary_path), end_id), "ids")
     manifest = write_ids(ids, fresh_dir(spark, "token-files"))
     drop_dir(spark, at)

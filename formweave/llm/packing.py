@@ -159,5 +159,5 @@ def pack_documents(docs: DataFrame, vocabulary_path: str, capacity: int = 2048,
     ids are cut; all their pieces but the first are full.  Rows that repeat a doc_id are packed like
     others; null ids stay null; other columns are ignored; an empty table gives no rows.
     """
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, 2500, "8m")
     return pack(written(token_pieces(docs, read_vocabulary(vocabulary_path), capacity, end_id), "pieces"), capacity)
