@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 from .store import bounded_batches, without, written
 
-SKETCH_BITS, CELLS, SMALL = 18, 128, 48
+SKETCH_BITS, CELL_BITS, SMALL = 18, 9, 48
+CELLS = 1 << CELL_BITS
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -78,7 +79,7 @@ def prefix_length(n: int, num: int, den: int) -> int:
 
 def cells_of(s: np.ndarray) -> np.ndarray:
     """Counts of a set's members by hash cell."""
-    return np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=CELLS).astype(np.uint32)
+    return np.bincount((s >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=CELLS).astype(np.uint32)
 
 
 def _bucket(s: np.ndarray) -> np.ndarray:
