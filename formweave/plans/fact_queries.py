@@ -23,9 +23,9 @@ def _keys(spark, sf):
     return facts(spark, sf).select(F.substring_index("field_key", "|", 1).alias("form_key"), "normalized_text", "domain").distinct()
 
 
-def _tiers(spark, sf):
+def _tiers(spark, sf, with_fuzzy=True):
     f = facts(spark, sf)
-    return prefill.prefill(_fields(spark, sf), corpus.accepted(f), corpus.rejected_suggestions(f), with_fuzzy=False)
+    return prefill.prefill(_fields(spark, sf), corpus.accepted(f), corpus.rejected_suggestions(f), with_fuzzy=with_fuzzy)
 
 
 def kb_stats(spark, sf):
@@ -55,6 +55,7 @@ def fuzzy_tokens(spark, sf):
 
 def queries():
     key = ["form_key", "normalized_text", "confidence", "variable", "source"]
+    tiers = ["form_key", "normalized_text", "best.tier", "best.variable", "best.confidence", "status"]
     return {
         "facts_join": lambda s, d: _acc(s, d).select("file_name", "form_name", "domain", "field_key", "field_text", "variable", "link_score", "trust", "ord"),
         "rejected_suggestions": lambda s, d: corpus.rejected_suggestions(facts(s, d)),
@@ -71,8 +72,11 @@ def queries():
         "form_domain_mode": lambda s, d: prefill.form_domains(_acc(s, d)),
         "aliases": lambda s, d: prefill.aliases(_acc(s, d)).withColumn("labels", F.array_join("labels", ",")),
         "rejection_suppression": lambda s, d: prefill.suppress_rejected(prefill.exact_winners(_acc(s, d)), corpus.rejected_suggestions(facts(s, d))).select("form_key", "normalized_text", "variable", "confidence"),
-        "prefill_tiers": lambda s, d: _tiers(s, d).select("form_key", "normalized_text", "best.tier", "best.variable", "best.confidence", "status"),
-        "prefill_summary": lambda s, d: prefill.summary(_tiers(s, d)),
+        "prefill_all_tiers": lambda s, d: _tiers(s, d).select(*tiers),
+        "prefill_all_summary": lambda s, d: prefill.summary(_tiers(s, d)),
+        # as their SQL: without the fuzzy tier, whose sequence ratio DuckDB lacks
+        "prefill_tiers": lambda s, d: _tiers(s, d, with_fuzzy=False).select(*tiers),
+        "prefill_summary": lambda s, d: prefill.summary(_tiers(s, d, with_fuzzy=False)),
         "fuzzy_tokens": fuzzy_tokens,
         "fuzzy_same_form": lambda s, d: prefill.fuzzy(_acc(s, d), _keys(s, d)).select(*key),
         "house_style": house,
