@@ -1,7 +1,7 @@
 """Toxicity by noisy-channel deobfuscation.
 
-Words are restored before they are judged: a word with leetspeak, spacing or repetition becomes a
-lattice of the characters it may stand for, and Viterbi decoding takes the path that is cheapest
+Words are restored before they are judged: a word with leetspeak, separators or repeated letters
+becomes a lattice of the characters it may stand for (a separator also for the end of a word), and Viterbi decoding takes the path that is cheapest
 under a character trigram model (learned from the labelled texts) and the costs of the channel.
 Restored words and their beginnings are features.  Those that make up a clearly larger share of the
 distinct words of toxic texts carry their log ratio as weight; a text's sum of weights, its largest
@@ -32,8 +32,9 @@ LONGEST_PREFIX, SHORTEST_PREFIX = 8, 4
 _AFTER = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»„“”‘’…–—¡¿€£"
 _BEFORE = "".join(c for c in _AFTER if c not in "$@€£")
 _SIGN = re.compile("[" + re.escape("".join(LEET)) + "]")
-_THRICE = re.compile(r"([^\W\d_])\1\1")
+_TWICE = re.compile(r"([^\W\d_])\1")
 _SPACED = re.compile(r"^\w(?:[.\-_*~/,']+\w){2,}$")
+_PARTED = re.compile(r"[^\W_][.\-_*~/,']+[^\W_]")
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -49,11 +50,11 @@ def bare(word: str) -> str:
 
 def suspicious(word: str) -> bool:
     """Whether a lower-case word without edge punctuation may be disguised."""
-    if _THRICE.search(word):
+    if _TWICE.search(word):
         return True
     if word.isalpha():
         return False
-    return bool(_SPACED.match(word)) or bool(_SIGN.search(word)) and bool(_LETTER.search(word))
+    return bool(_SPACED.match(word)) or bool(_SIGN.search(word) or _PARTED.search(word)) and bool(_LETTER.search(word))
 
 
 class Channel:
@@ -89,11 +90,12 @@ class Channel:
         return price
 
     def options(self, word: str, i: int) -> list[tuple[str, float]]:
-        """What character ``i`` may stand for (empty: nothing) and the channel's cost."""
+        """What character ``i`` may stand for (empty: nothing, blank: the end of a word) and the
+        channel's cost."""
         ch = word[i]
         out = []
         if ch in SPACERS:
-            out.append(("", COST_SPACER))
+            out += [("", COST_SPACER), (" ", 0.0)]
         elif ch in LEET:
             out += [(x, COST_LEET) for x in LEET[ch]]
             out.append((ch, COST_KEEP))
@@ -103,14 +105,21 @@ class Channel:
             out.append(("", COST_REPEAT))
         return out
 
+    def step(self, context: str, ch: str) -> tuple[float, str]:
+        """Price and next context of a restored character; a blank ends a word, and a second blank
+        adds nothing."""
+        if ch == " ":
+            return (0.0 if context == "^^" else self.price(context, "$")), "^^"
+        known = letter(ch)
+        return self.price(context, known), context[1] + known
+
     def cost(self, text: str) -> float:
         """Cost of a restored text with its end."""
         total, context = 0.0, "^^"
-        for ch in text + "$":
-            known = ch if ch == "$" else letter(ch)
-            total += self.price(context, known)
-            context = context[1] + known
-        return total
+        for ch in text:
+            price, context = self.step(context, ch)
+            total += price
+        return total + self.price(context, "$")
 
     def decode(self, word: str) -> str:
         """The cheapest reading of ``word``; of equally cheap ones the first in alphabetical order
@@ -123,9 +132,8 @@ class Channel:
                 for ch, channel in self.options(word, i):
                     to, total = context, cost + channel
                     if ch:
-                        known = letter(ch)
-                        total += self.price(context, known)
-                        to = context[1] + known
+                        price, to = self.step(context, ch)
+                        total += price
                     if to not in after or (total, ch) < (after[to][0], after[to][2]):
                         after[to] = (total, at, ch)
             states = {}
@@ -155,16 +163,19 @@ def words_of(text: str) -> set[str]:
 
 
 class Restorer:
-    """Restored words, remembered for a bounded number of words."""
+    """The words that a word, or a run of single characters, may have been: each one of its decoded
+    reading and all of them as one."""
 
     def __init__(self, grams: dict[str, float]):
         self.channel = Channel(grams)
 
-    def __call__(self, word: str) -> str:
-        if " " in word:
-            return self.channel.decode(word)
-        word = bare(word)
-        return self.channel.decode(word) if suspicious(word) else word
+    def __call__(self, word: str) -> list[str]:
+        if " " not in word:
+            word = bare(word)
+            if not suspicious(word):
+                return [word]
+        parts = self.channel.decode(word).split(" ")
+        return list(dict.fromkeys(filter(None, [*parts, "".join(parts)])))
 
 
 def marks(word: str) -> list[str]:
@@ -215,7 +226,7 @@ def learn_weights(rows: DataFrame, grams: dict[str, float], min_ratio: float = 2
                     if w not in known:
                         if len(known) > 200_000:
                             known.clear()
-                        known[w] = marks(restore(w))
+                        known[w] = list(dict.fromkeys(m for x in restore(w) for m in marks(x)))
                     (bad if y else good).update(known[w])
                 n[y > 0] += len(words)
         keys = list(bad.keys() | good.keys())
@@ -247,10 +258,8 @@ class Scorer:
 
     def weight(self, word: str) -> float:
         """The largest weight among the features of a word."""
-        word = self.restore(word)
-        if word[:SHORTEST_PREFIX] not in self.heads:
-            return 0.0
-        return max((self.weights.get(m, 0.0) for m in marks(word)), default=0.0)
+        found = [x for x in self.restore(word) if x[:SHORTEST_PREFIX] in self.heads]
+        return max((self.weights.get(m, 0.0) for x in found for m in marks(x)), default=0.0)
 
     def __call__(self, text: str) -> tuple[float, float, int]:
         if len(self.known) > 300_000:
