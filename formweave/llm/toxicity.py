@@ -2,7 +2,7 @@
 
 Words are restored before they are judged: a word with leetspeak, separators or repeated letters
 becomes a lattice of the characters it may stand for (a separator also for the end of a word), and Viterbi decoding takes the path that is cheapest
-under a character trigram model (learned from the labelled texts) and the costs of the channel.
+under a character trigram model (learned from all texts) and the costs of the channel.
 Restored words and their beginnings are features.  Those that make up a clearly larger share of the
 distinct words of toxic texts carry their log ratio as weight; a text's sum of weights, its largest
 weight and the number of its words (as for Poisson rates) make its score on a logistic curve.
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .labelled import fold, sample
-from .store import written
+from .store import bounded_batches, written
 
 #: What a sign may stand for in leetspeak.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
@@ -184,7 +184,8 @@ def marks(word: str) -> list[str]:
 
 
 def learn_grams(rows: DataFrame) -> dict[str, float]:
-    """Trigram counts over the distinct plain words of each text; bounded by the alphabet."""
+    """Trigram counts over the distinct plain words of each text of ``rows`` (null: empty); bounded
+    by the alphabet, in each task and in all."""
     def count(batches):
         import pyarrow as pa
 
@@ -192,7 +193,7 @@ def learn_grams(rows: DataFrame) -> dict[str, float]:
         for batch in batches:
             words: Counter = Counter()
             for text in batch.column(0).to_pylist():
-                words.update(set(text.lower().split()))
+                words.update(set((text or "").lower().split()))
             for word, n in words.items():
                 word = bare(word)
                 if not word.isalpha():
@@ -202,7 +203,7 @@ def learn_grams(rows: DataFrame) -> dict[str, float]:
                     total[padded[i:i + 3]] += n
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["gram", "n"])
 
-    got = rows.select("text").mapInArrow(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    got = rows.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     return {r.gram: float(r.n) for r in got.collect()}
 
 
@@ -299,9 +300,11 @@ def _scorer(key, model: dict) -> Scorer:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> dict:
-    """Fit on at most ``max_rows`` labelled rows outside the held-out fold."""
+    """Character trigrams of all of ``docs``; weights and curve fit on at most ``max_rows`` labelled
+    rows outside the held-out fold."""
+    bounded_batches(docs.sparkSession)
     rows = written(sample(docs, labels, "toxic", fold(F.col("doc_id"), 5) != 0, max_rows).repartition(docs.sparkSession.sparkContext.defaultParallelism * 2), "toxicity-sample")
-    grams = learn_grams(rows)
+    grams = learn_grams(docs)
     weights = learn_weights(rows, grams)
     shared = rows.sparkSession.sparkContext.broadcast({"grams": grams, "weights": weights})
 

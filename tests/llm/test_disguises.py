@@ -25,3 +25,15 @@ def test_disguised_words_weigh_as_plain_ones(text, word):
 def test_plain_words_stay():
     restore = toxicity.Restorer(grams_of(PLAIN))
     assert [restore(w) for w in ("tree", "still", "other", "2024", "3.14")] == [[w] for w in ("tree", "still", "other", "2024", "3.14")]
+
+
+def test_trigrams_are_counted_over_all_documents(spark):
+    docs = spark.createDataFrame([(1, "one two two"), (2, "stupid one"), (3, "žluťoučký žluťoučký, two!"), (4, None), (None, "one")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")
+    want = {}
+    for words in (["one", "two"], ["stupid", "one"], ["žluťoučký", "žluťoučký", "two"], ["one"]):
+        for gram, n in grams_of(dict.fromkeys(words, 1)).items():
+            want[gram] = want.get(gram, 0) + n
+    for gram, n in grams_of({"žluťoučký": 1}).items():  # with a comma it is another word of its text
+        want[gram] += n
+    assert toxicity.train(docs, labels)["grams"] == want
