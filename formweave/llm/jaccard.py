@@ -395,6 +395,18 @@ def similar_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     after all others and link with nothing but equal sets.  Other columns are ignored; an empty
     table gives no rows.
     """
+    rows, classes, links = linked(docs, words, num, den)
+    name = classes.filter("rep IS NOT NULL")
+    ends = (links.join(name.select(F.col("sid").alias("a"), F.col("rep").alias("ra")), "a")
+            .join(name.select(F.col("sid").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    by_rep = components(ends)
+    by_class = classes.join(by_rep, classes.rep == by_rep.id, "left").select("sid", F.coalesce("label", "rep").alias("component"))
+    return to_rows(rows, by_class, runs).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def linked(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (``doc_id``, ``n``, ``sid``), classes (``sid``, ``rep``: the smallest id) and links of classes
+    (``a``, ``b``) that make their components."""
     bounded_batches(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows, levels = scan(base, words)
@@ -416,21 +428,47 @@ def similar_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     left = placed.join(open_keys, "key", "left_semi").join(cells, "sid")
     more = written(second_pairs(left, num, den).distinct().join(pairs, ["a", "b"], "left_anti"), "more-pairs")
     late = written(ends(more, True).distinct(), "late")
-    links = links.unionByName(written(verified(more, sets_of(base, classes, late, words), num, den), "more-links"))
+    return rows, classes, links.unionByName(written(verified(more, sets_of(base, classes, late, words), num, den), "more-links"))
 
-    name = classes.filter("rep IS NOT NULL")
-    ends = (links.join(name.select(F.col("sid").alias("a"), F.col("rep").alias("ra")), "a")
-            .join(name.select(F.col("sid").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-    by_rep = components(ends)
-    by_class = classes.join(by_rep, classes.rep == by_rep.id, "left").select("sid", F.coalesce("label", "rep").alias("component"))
-    # rows of a class come in shares of bounded size
+
+def to_rows(rows: DataFrame, by_class: DataFrame, runs: int) -> DataFrame:
+    """``rows`` with the ``component`` of their class (null: no shingles).
+
+    Rows of a class come in shares of bounded size.
+    """
     keyed = rows.withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(runs)))
-    shares = keyed.filter("n > 0").select("sid", "run").distinct().join(by_class, "sid")
-    return (keyed.join(shares.withColumnRenamed("sid", "_s").withColumnRenamed("run", "_r"), (F.col("sid") == F.col("_s")) & (F.col("run") == F.col("_r")) & (F.col("n") > 0), "left")
-            .select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")))
+    shares = keyed.filter("n > 0").select("sid", "run").distinct().join(by_class, "sid").select(F.col("sid").alias("_s"), F.col("run").alias("_r"), "component")
+    return keyed.join(shares, (F.col("sid") == F.col("_s")) & (F.col("run") == F.col("_r")) & (F.col("n") > 0), "left").select("doc_id", "n", "sid", "component")
 
 
-def distinct_documents(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of their component, unchanged."""
-    found = similar_components(docs, words, num, den)
-    return without(docs, found.filter(F.col("component_id").isNotNull() & ~F.col("component_id").eqNullSafe(F.col("doc_id"))), ["doc_id"])
+def distinct_documents(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, runs: int = 32) -> DataFrame:
+    """The rows of ``docs`` with the smallest doc_id of their component, unchanged.
+
+    Components are of shingle sets here: rows that repeat a doc_id, or have none, stay or go by their
+    own text.  Null ids link with nothing but equal sets.  Only rows of ids of which some rows stay
+    and some go are shingled again.
+    """
+    rows, classes, links = linked(docs, words, num, den)
+    named = classes.filter("rep IS NOT NULL").select("sid")
+    ends = links.join(named.select(F.col("sid").alias("a")), "a", "left_semi").join(named.select(F.col("sid").alias("b")), "b", "left_semi")
+    labels = components(ends.select("a", "b"))
+    placed = classes.join(labels, classes.sid == labels.id, "left").select("sid", "rep", F.coalesce("label", "sid").alias("label"))
+    least = placed.groupBy("label").agg(F.min("rep").alias("component"))
+    fate = to_rows(rows, placed.join(least, "label").select("sid", "component"), runs)
+    goes = F.coalesce(F.col("component").isNotNull() & ~F.col("component").eqNullSafe(F.col("doc_id")), F.lit(False))
+    fate = written(fate.select("doc_id", "sid", goes.alias("goes")).distinct(), "fate")
+    ids = written(fate.groupBy("doc_id").agg(F.min("goes").alias("all"), F.max("goes").alias("any")).filter("any"), "ids")
+    stay = without(docs, ids.select("doc_id"), ["doc_id"])
+    mixed = ids.filter(~F.col("all")).select(F.col("doc_id").alias("_fw_id"))
+    if mixed.limit(1).count() == 0:
+        return stay
+
+    @F.pandas_udf("long")
+    def set_of(texts):
+        import pandas as pd
+
+        return pd.Series([set_id(shingles(t, words)) for t in texts], dtype="int64")
+
+    some = docs.join(mixed, docs.doc_id.eqNullSafe(F.col("_fw_id")), "left_semi").withColumn("_fw_sid", set_of(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    gone = fate.filter("goes").select("doc_id", F.col("sid").alias("_fw_sid"))
+    return stay.unionByName(without(some, gone, ["doc_id", "_fw_sid"]).drop("_fw_sid"))
