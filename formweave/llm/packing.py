@@ -4,8 +4,8 @@ Lengths are whole numbers up to the capacity, so documents and gaps in sorted or
 most ``capacity`` classes of equals, and that table of class sizes is all that supersteps exchange:
 its size does not depend on the data.  Superstep ``l`` places all documents of length ``l``, from
 the longest down: the sweep goes to the successor classes of gaps (the smallest that fit first),
-the k-th document takes the k-th gap of a class (rank resolves every conflict), what stays opens
-new sequences, and the used gaps move to their new class.  A superstep's result is a few ranges
+a gap takes as many documents as fit before the next one (ranks in runs resolve every conflict),
+what stays opens new sequences, and the used gaps move to their new class.  A superstep's result is a few ranges
 ``(length, first rank) -> (first sequence, offset)``; executors number the documents of each length
 (range-partitioned ranks: a local count plus the counts of earlier partitions) and look their place
 up.  The result is that of best-fit decreasing on the whole table.
@@ -45,20 +45,22 @@ def supersteps(sizes: dict[int, int], capacity: int) -> list[tuple[int, int, int
             gap = classes[at]
             runs = gaps[gap]
             first, count = runs.pop()
-            used = min(count, left)
-            out.append((length, rank, first, capacity - gap))
-            moved.setdefault(gap - length, []).append((first, used))
-            if used < count:
-                runs.append((first + used, count - used))
+            # best fit returns to a used gap while the length fits: whole gaps first, the last takes the rest
+            per = gap // length
+            full = min(count, left // per)
+            rest = left % per if full < count else 0
+            for n, items in ((full, per), (1 if rest else 0, rest)):
+                if n:
+                    for j in range(items):
+                        out.append((length, rank, first, capacity - gap + j * length))
+                        rank += n
+                    moved.setdefault(gap - items * length, []).append((first, n))
+                    first, count, left = first + n, count - n, left - n * items
+            if count:
+                runs.append((first, count))
             if not runs:
                 del gaps[gap]
                 del classes[at]
-            # a gap that was just used may take another document of this length
-            again = gap - length
-            rank, left = rank + used, left - used
-            if again >= length:
-                _add(gaps, classes, again, moved.pop(again))
-                at = bisect.bisect_left(classes, length)
         while left:
             per = capacity // length
             full, rest = divmod(left, per)
