@@ -129,18 +129,26 @@ def id_table(docs: DataFrame, vocabulary: bytes, end_id: int | None = 0) -> Data
             keys = batch.column(0)
             ids, held, at = [], 0, 0
             for raw in encoded(shared.value, batch.column(1)):
-                ids.append(np.frombuffer(raw + tail, "<u4").astype("<u2" if len(shared.value) < 1 << 23 else "<u4").tobytes())
+                ids.append(raw + tail)
                 held += len(raw)
                 if held > 4_000_000:
-                    yield _id_batch(pa, keys.slice(at, len(ids)), ids, 2 if len(shared.value) < 1 << 23 else 4)
+                    yield _id_batch(pa, keys.slice(at, len(ids)), *narrowed(ids))
                     at, ids, held = at + len(ids), [], 0
             if ids:
-                yield _id_batch(pa, keys.slice(at, len(ids)), ids, 2 if len(shared.value) < 1 << 23 else 4)
+                yield _id_batch(pa, keys.slice(at, len(ids)), *narrowed(ids))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(encode, "doc_id long, n long, width int, ids binary")
 
 
+def narrowed(ids: list[bytes]) -> tuple[list[bytes], int]:
+    """32-bit ids of texts as 16 bits each if the largest of all fits, and the width in bytes."""
+    wide = [np.frombuffer(x, "<u4") for x in ids]
+    if max((int(x.max()) for x in wide if len(x)), default=0) > 0xFFFF:
+        return ids, 4
+    return [x.astype("<u2").tobytes() for x in wide], 2
+
+
 def _id_batch(pa, keys, ids, width):
     return pa.RecordBatch.from_arrays([keys, pa.array([len(x) // width for x in ids], pa.int64()), pa.array([width] * len(ids), pa.int32()), pa.array(ids, pa.binary())], ["doc_id", "n", "width", "ids"])
 
