@@ -13,6 +13,29 @@ r AS (
 SELECT doc_id, keep_id, group_size, k = 1 AS kept, h AS text_sha256 FROM r
 """
 
+OP5 = r"""
+WITH d AS (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL),
+p AS (SELECT text, string_split(text, chr(10)) AS parts FROM d),
+s AS (SELECT text, unnest(parts) AS line, unnest(range(len(parts))) AS nr FROM p),
+l AS (
+  SELECT *, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens
+  FROM s),
+known AS (SELECT tokens, count(DISTINCT text) AS docs FROM l WHERE len(tokens) > 0 GROUP BY tokens),
+x AS (SELECT tokens, docs, len(tokens) AS n, tokens[1:2] AS lead, unnest(tokens) AS token, unnest(range(len(tokens))) AS pos FROM known),
+place AS (SELECT * FROM x WHERE token <> '<*>'),
+constant AS (SELECT n, lead, pos, token FROM place GROUP BY ALL HAVING sum(docs) >= 3),
+template AS (
+  SELECT tokens, n, lead, list({'pos': pos, 'token': token} ORDER BY pos) AS fixed
+  FROM place SEMI JOIN constant USING (n, lead, pos, token) GROUP BY tokens, n, lead HAVING 2 * count(*) >= n),
+recurring AS (SELECT n, lead, fixed FROM template JOIN l USING (tokens) GROUP BY ALL HAVING count(DISTINCT text) >= 3),
+gone AS (SELECT tokens, true AS goes FROM template SEMI JOIN recurring USING (n, lead, fixed)),
+clean AS (
+  SELECT text, count(*) AS n_lines, count(goes) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY nr) FILTER (WHERE goes IS NULL), '') AS rest
+  FROM l LEFT JOIN gone USING (tokens) GROUP BY text)
+SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped, rest AS text
+FROM documents LEFT JOIN clean USING (text)
+"""
+
 OP7 = r"""
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS body FROM pages),
@@ -56,4 +79,4 @@ FROM s
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4, "op6_jaccard": OP6, "op7_warc": OP7}
+    return {"op4_exact_dedup": OP4, "op5_line_dedup": OP5, "op6_jaccard": OP6, "op7_warc": OP7}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, forest, huffman, jaccard, packing, quality, toxicity, warc
+from . import bpe, exact_dedup, forest, huffman, jaccard, line_dedup, packing, quality, toxicity, warc
 
 JSON_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 RANK_VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -32,6 +32,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_components(_table(spark, sf_dir, "documents"))
 
@@ -53,4 +57,4 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_packing": op1_packing, "op2_nearest": op2_nearest, "op3_bpe": op3_bpe, "op4_exact_dedup": op4_exact_dedup, "op6_jaccard": op6_jaccard, "op7_warc": op7_warc, "op8_quality": op8_quality, "op9_toxicity": op9_toxicity, "op10_token_ids": op10_token_ids}
+    return {"op1_packing": op1_packing, "op2_nearest": op2_nearest, "op3_bpe": op3_bpe, "op4_exact_dedup": op4_exact_dedup, "op5_line_dedup": op5_line_dedup, "op6_jaccard": op6_jaccard, "op7_warc": op7_warc, "op8_quality": op8_quality, "op9_toxicity": op9_toxicity, "op10_token_ids": op10_token_ids}
