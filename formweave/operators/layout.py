@@ -73,6 +73,22 @@ def body_lines(lines: DataFrame) -> DataFrame:
     return lines.filter((F.col("region") == "BODY") & ~F.col("from_annotation") & (F.trim("text") != ""))
 
 
+def content_rows(rows: DataFrame) -> DataFrame:
+    """Lines, words or blocks of the page itself, without markup."""
+    return rows.filter(~F.col("from_annotation"))
+
+
+def page_text(lines: DataFrame) -> DataFrame:
+    """``text`` of every page: its own lines in stored order, one below the other."""
+    packed = F.array_sort(F.collect_list(F.struct("ord", F.coalesce("text", F.lit("")).alias("text"))))
+    return content_rows(lines).groupBy(*PAGE).agg(F.array_join(F.transform(packed, lambda x: x.text), "\n").alias("text"))
+
+
+def groups_of_role(groups: DataFrame, role: str) -> DataFrame:
+    """Labels of one role."""
+    return groups.filter(F.col("role") == role)
+
+
 def split_columns(spans: list[tuple[float, float, float, float]], left: float, right: float, depth: int = 0) -> list[tuple[float, float]]:
     """Column bands of boxes (x0, y0, x1, y1) between two edges.
 
@@ -106,18 +122,21 @@ def split_columns(spans: list[tuple[float, float, float, float]], left: float, r
 
 def detect_columns(lines: DataFrame, pages: DataFrame, controls: DataFrame) -> DataFrame:
     """Bands of every page: ``index``, ``x0``, ``x1`` and ``role_hint``."""
-    def run(key, pdf):
-        import pandas as pd
-
-        width = float(pdf["width"].iloc[0])
-        spans = [(b["x0"], b["y0"], b["x1"], b["y1"]) for b in pdf["bbox"] if b is not None]
-        bands = split_columns(spans, 0.0, width)
-        return pd.DataFrame([(*key, i, round(a, 2), round(b, 2)) for i, (a, b) in enumerate(bands)], columns=["doc_id", "page", "index", "x0", "x1"])
-
-    page_type = pages.schema["page"].dataType.simpleString()
-    doc_type = pages.schema["doc_id"].dataType.simpleString()
-    rows = pages.select(*PAGE, F.col("width").cast("double").alias("width")).join(body_lines(lines).select(*PAGE, "bbox"), PAGE, "left")
-    bands = rows.groupBy(*PAGE).applyInPandas(run, f"doc_id {doc_type}, page {page_type}, index int, x0 double, x1 double")
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            widths, packed = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            bands = [split_columns([(b["x0"], b["y0"], b["x1"], b["y1"]) for b in boxes or ()], 0.0, width) for width, boxes in zip(widths, packed, strict=True)]
+            take = pa.array([i for i, found in enumerate(bands) for _ in found], pa.int64())
+            flat = [(i, round(a, 2), round(b, 2)) for found in bands for i, (a, b) in enumerate(found)]
+            index, x0, x1 = zip(*flat, strict=True) if flat else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(index, pa.int32()), pa.array(x0, pa.float64()), pa.array(x1, pa.float64())], ["doc_id", "page", "index", "x0", "x1"])
+
+    kind = {c: pages.schema[c].dataType.simpleString() for c in PAGE}
+    boxes = body_lines(lines).groupBy(*PAGE).agg(F.collect_list("bbox").alias("boxes"))
+    rows = pages.select(*PAGE, F.col("width").cast("double").alias("width")).join(boxes, PAGE, "left")
+    bands = rows.mapInArrow(run, f"doc_id {kind['doc_id']}, page {kind['page']}, index int, x0 double, x1 double")
     held = with_page_array(bands, controls, "_controls", "ord", "bbox").withColumn("_held", F.size(F.filter("_controls", lambda c: G.in_band(c.bbox, F.col("x0"), F.col("x1")))))
     count = F.count(F.lit(1)).over(Window.partitionBy(*PAGE))
     hint = (F.when(F.col("_n") < 2, "UNKNOWN").when(F.col("_n") == 2, F.when(F.col("index") == 0, "QUESTION_ZONE").otherwise("RESPONSE_ZONE"))

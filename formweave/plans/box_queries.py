@@ -50,14 +50,6 @@ def region_tagging(spark, sf):
     return layout.tag_regions(_lines(spark, sf), bounded).groupBy("page", "region").agg(F.count(F.lit(1)).alias("n"))
 
 
-def group_lines(spark, sf):
-    rows = _placed(spark, sf)
-    none = rows.select("doc_id", "page", "ord").limit(0)
-    rules = _rules(spark, sf).limit(0)
-    g = layout.group_lines(rows, none, rules)
-    return g.select("page", "group_id", F.md5("text").alias("text_md5"), "line_count", F.col("bbox.x0").alias("x0"), F.col("bbox.y0").alias("y0"), F.col("bbox.x1").alias("x1"), F.col("bbox.y1").alias("y1"), "column")
-
-
 def markup_semi_join(spark, sf):
     rows = _placed(spark, sf)
     notes = _shifted(4, 1, 10.0, 2.0, rows)
@@ -90,8 +82,22 @@ def link_assignment(spark, sf):
 
 
 def unlinked_markup(spark, sf):
-    links = linking.assign(_candidates(spark, sf))
-    return linking.unlinked_annotations(_notes(spark, sf), links).select("page", "annotation_id")
+    links = linking.assign(_candidates(spark, sf)).withColumn("doc_id", F.col("page"))
+    return linking.unlinked_annotations(_notes(spark, sf).withColumn("doc_id", F.col("page")), links).select("page", "annotation_id")
+
+
+def links_summary(spark, sf):
+    return linking.summary(linking.assign(_candidates(spark, sf)))
+
+
+def links_of_field(spark, sf):
+    return linking.links_of(linking.assign(_candidates(spark, sf)), "f2").select("page", "annotation_id", "link_score")
+
+
+def unlinked_fields(spark, sf):
+    """Fields that no accepted link reaches; ids are those of a page here."""
+    links = linking.assign(_candidates(spark, sf)).withColumn("doc_id", F.col("page"))
+    return linking.unlinked_fields(_fields(spark, sf).withColumn("doc_id", F.col("page")), links).select("page", "field_id")
 
 
 def section_asof(spark, sf):
@@ -115,9 +121,13 @@ def option_owner(spark, sf):
 
 
 def detect_columns(spark, sf):
-    rows = _placed(spark, sf)
-    controls = _rules(spark, sf).limit(0).select("doc_id", "page", "ord", "bbox")
-    return layout.detect_columns(rows, _pages(spark, sf), controls).select("page", "index", "x0", "x1", "role_hint")
+    """Bands of lines in three columns, with controls that tell which of three bands holds answers."""
+    from .page_queries import controls
+
+    b, k = F.col("bbox"), F.col("ord") % 3
+    x0 = F.when(k == 0, 60.0).when(k == 1, 250.0).otherwise(430.0)
+    rows = _placed(spark, sf).withColumn("bbox", F.struct(x0.alias("x0"), b.y0.alias("y0"), (x0 + F.least(b.x1 - b.x0, F.lit(150.0))).alias("x1"), b.y1.alias("y1")))
+    return layout.detect_columns(rows, _pages(spark, sf), controls(spark, sf)).select("page", "index", "x0", "x1", "role_hint")
 
 
 def _sheet(spark, sf):
@@ -176,5 +186,5 @@ def collision_nudge(spark, sf):
 
 
 def queries():
-    return {f.__name__: f for f in (repeated_lines, region_tagging, group_lines, markup_semi_join, link_candidates, link_assignment, unlinked_markup, section_asof, controls_anti, option_owner, detect_columns, validate_rows, import_report,
+    return {f.__name__: f for f in (repeated_lines, region_tagging, markup_semi_join, link_candidates, link_assignment, links_summary, links_of_field, unlinked_markup, unlinked_fields, section_asof, controls_anti, option_owner, detect_columns, validate_rows, import_report,
                                     missing_rows, upsert_replace, placement_clamp, collision_nudge)}

@@ -30,14 +30,6 @@ SQL = {
 n AS (SELECT lang, count(*) AS total FROM documents GROUP BY 1)
 SELECT k.lang, line_text, line_y, count(DISTINCT page) AS on_pages FROM k JOIN n ON k.lang = n.lang WHERE total >= 3 GROUP BY k.lang, line_text, line_y, total HAVING count(DISTINCT page) >= greatest(3, floor(total * 0.01))""",
     "region_tagging": LINES + "SELECT page, CASE WHEN (y0 + y1) / 2 < CASE WHEN page % 3 = 0 THEN 101 ELSE 842 * 0.08::DOUBLE END THEN 'HEADER' WHEN (y0 + y1) / 2 > CASE WHEN page % 4 = 0 THEN 760 ELSE 842 * 0.92::DOUBLE END THEN 'FOOTER' ELSE 'BODY' END AS region, count(*) AS n FROM l GROUP BY ALL",
-    "group_lines": LINES + f""", p AS (
-  SELECT *, lag(text) OVER w AS pt, lag(size) OVER w AS ps, lag(bold) OVER w AS pb, lag(block_no) OVER w AS pk, lag(col) OVER w AS pc, lag(x0) OVER w AS px0, lag(x1) OVER w AS px1, lag(y1) OVER w AS py1 FROM l WINDOW w AS (PARTITION BY page ORDER BY col, y0, x0, ord)),
-b AS (SELECT *, CASE WHEN coalesce(pc = col AND NOT regexp_matches(text, '(?i)^\\s*(\\d+[.)]|[a-z][.)]|[-•*])\\s+') AND NOT (regexp_matches(pt, '[:?]\\s*$') AND NOT regexp_matches(text, '[;,]\\s*$'))
-    AND abs(ps - size) <= 0.5 AND pb = bold AND y0 - py1 <= 0.5 * greatest(ps, size)
-    AND (pk = block_no OR ((abs(px0 - x0) <= 2 OR abs(px1 - x1) <= 2 OR abs((px0 + px1) / 2 - (x0 + x1) / 2) <= 2) AND {overlap('px', 'x', '').replace('px0', 'px0')} >= 0.3)), false) THEN 0 ELSE 1 END AS brk FROM p),
-g AS (SELECT *, sum(brk) OVER (PARTITION BY page ORDER BY col, y0, x0, ord ROWS UNBOUNDED PRECEDING) - 1 AS group_id FROM b)
-SELECT page, group_id::INT AS group_id, md5(list_reduce(list_prepend('', list(trim(text, ' ') ORDER BY col, y0, x0, ord)), lambda a, x: CASE WHEN a = '' THEN x WHEN ends_with(a, '-') THEN left(a, -1) || x ELSE a || ' ' || x END)) AS text_md5,
-       count(*)::INT AS line_count, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, min(col) AS "column" FROM g GROUP BY page, group_id""",
     "markup_semi_join": LINES + """SELECT a.page, a.ord, EXISTS (SELECT 1 FROM f b WHERE b.page = a.page AND b.ord % 4 = 1 AND greatest(0, least(a.x1, b.x1 + 10) - greatest(a.x0, b.x0 + 10)) * greatest(0, least(a.y1, b.y1 + 2) - greatest(a.y0, b.y0 + 2)) / ((a.x1 - a.x0) * (a.y1 - a.y0)) >= 0.6) AS from_annotation FROM f a""",
     "link_candidates": LINES + """, a AS (SELECT page, ord, x0 + 120 AS x0, x1 + 120 AS x1, y0 + 8 AS y0, y1 + 8 AS y1 FROM f WHERE ord % 3 = 1),
 p AS (SELECT a.page, 'a' || a.ord AS annotation_id, 'f' || f.ord AS field_id, greatest(0, least(a.y1, f.y1) - greatest(a.y0, f.y0)) / least(a.y1 - a.y0, f.y1 - f.y0) AS row, greatest(f.y0 - a.y1, a.y0 - f.y1) AS gap, a.x0 >= f.x1 AS r, a.ord % 5 = 1 AS agrees,
@@ -61,4 +53,43 @@ s AS (SELECT id, greatest(0, a1 - 593) AS l, a0 - greatest(0, a1 - 593) AS x0, a
 SELECT id, CASE WHEN x0 < 2 THEN 2 ELSE x0 END::DOUBLE AS x0, CASE WHEN y0 < 2 THEN 2 ELSE y0 END::DOUBLE AS y0, CASE WHEN x0 < 2 THEN greatest(3, least(x1 + 2 - x0, 593)) ELSE x1 END::DOUBLE AS x1, CASE WHEN y0 < 2 THEN y1 + 2 - y0 ELSE y1 END::DOUBLE AS y1,
        ((l > 0)::INT + (x0 < 2)::INT + (u > 0)::INT + (y0 < 2)::INT) AS notes FROM s""",
 }
-SQL["group_lines"] = SQL["group_lines"].replace("(greatest(0, least(px1, x1) - greatest(px0, x0)) / least(px1 - px0, x1 - x0))", "(greatest(0, least(px1, x1) - greatest(px0, x0)) / nullif(least(px1 - px0, x1 - x0), 0))")
+PAIRS = SQL["link_candidates"].replace("WITH raw", "WITH RECURSIVE raw", 1).replace("SELECT page, annotation_id, field_id, round(score, 6) AS score FROM s WHERE score >= 0.35", """,
+r AS (SELECT page, annotation_id, field_id, score, 's' || field_id || CASE WHEN substr(annotation_id, 2)::INT % 2 = 0 THEN 'VARIABLE' ELSE 'NOTE' END AS slot, row_number() OVER (PARTITION BY page ORDER BY score DESC, annotation_id, field_id) AS k FROM s WHERE score >= 0.35),
+walk AS (
+  SELECT page, 0::BIGINT AS k, ''::VARCHAR AS annotation_id, ''::VARCHAR AS field_id, 0.0::DOUBLE AS score, false AS rejected, []::VARCHAR[] AS claims FROM (SELECT DISTINCT page FROM r)
+  UNION ALL
+  SELECT r.page, r.k, r.annotation_id, r.field_id, r.score, list_has_any(claims, [r.annotation_id, slot]), CASE WHEN list_has_any(claims, [r.annotation_id, slot]) THEN claims ELSE list_concat(claims, [r.annotation_id, slot]) END
+  FROM walk w JOIN r ON r.page = w.page AND r.k = w.k + 1),
+links AS (SELECT page, annotation_id, field_id, round_even(score, 3) AS link_score, rejected FROM walk WHERE k > 0)
+""")
+SQL["link_assignment"] = PAIRS + "SELECT page, annotation_id, field_id, link_score, rejected FROM links"
+SQL["unlinked_markup"] = PAIRS + "SELECT page, 'a' || ord AS annotation_id FROM a WHERE NOT EXISTS (SELECT 1 FROM links k WHERE NOT rejected AND k.page = a.page AND k.annotation_id = 'a' || a.ord)"
+SQL["links_summary"] = PAIRS + "SELECT count(*) FILTER (NOT rejected) AS links, count(*) AS candidates_scored, coalesce(round_even(avg(link_score) FILTER (NOT rejected), 3), 0) AS mean_link_score FROM links"
+SQL["links_of_field"] = PAIRS + "SELECT page, annotation_id, link_score FROM links WHERE NOT rejected AND field_id = 'f2'"
+SQL["unlinked_fields"] = PAIRS + "SELECT page, 'f' || ord AS field_id FROM l WHERE ord % 2 = 0 AND 'f' || ord NOT IN (SELECT field_id FROM links WHERE NOT rejected AND links.page = l.page)"
+SQL["collision_nudge"] = """WITH RECURSIVE o AS (SELECT DISTINCT o_orderkey AS k FROM orders),
+b AS (SELECT k // 20 AS page, 'r' || k AS row_id, (k % 5 * 40)::DOUBLE AS x, (k % 11 * 30)::DOUBLE AS y, row_number() OVER (PARTITION BY k // 20 ORDER BY k % 11, 'r' || k) AS i FROM o),
+walk AS (
+  SELECT page, 1::BIGINT AS i, NULL::DOUBLE AS at, []::STRUCT(row_id VARCHAR, x DOUBLE, y DOUBLE, moves INT)[] AS placed FROM (SELECT DISTINCT page FROM b)
+  UNION ALL
+  SELECT page, CASE WHEN hit IS NULL THEN i + 1 ELSE i END, CASE WHEN hit IS NULL THEN NULL ELSE hit.y + 22 END,
+         CASE WHEN hit IS NULL THEN list_append(placed, {'row_id': row_id, 'x': x, 'y': CASE WHEN here > y THEN greatest(2, least(here, 820)) ELSE here END, 'moves': (here > y)::INT}) ELSE placed END
+  FROM (SELECT w.page, w.i, w.placed, b.row_id, b.x, b.y, coalesce(w.at, b.y) AS here, list_filter(w.placed, lambda p: abs(p.x - b.x) < 60 AND abs(p.y - coalesce(w.at, b.y)) < 20)[1] AS hit FROM walk w JOIN b ON b.page = w.page AND b.i = w.i)),
+done AS (SELECT page, placed FROM walk QUALIFY row_number() OVER (PARTITION BY page ORDER BY i DESC) = 1)
+SELECT page, p.row_id AS row_id, p.x AS x0, p.y AS y0, p.moves AS moves FROM (SELECT page, unnest(placed) AS p FROM done)"""
+SQL["detect_columns"] = LINES.replace("WITH raw", "WITH RECURSIVE raw", 1) + """, q AS (SELECT page, ord, CASE ord % 3 WHEN 0 THEN 60 WHEN 1 THEN 250 ELSE 430 END::DOUBLE AS x0, CASE ord % 3 WHEN 0 THEN 60 WHEN 1 THEN 250 ELSE 430 END + least(150, x1 - x0)::DOUBLE AS x1, y0, y1 FROM l),
+walk AS (
+  SELECT page, 0::DOUBLE AS lo, 595::DOUBLE AS hi, 0 AS depth, list({'x0': x0, 'x1': x1, 'y0': y0, 'y1': y1} ORDER BY x0, x1) AS s, false AS done FROM q GROUP BY page
+  UNION ALL
+  SELECT page, part.lo, part.hi, depth + 1, part.s, part.done FROM (
+    SELECT page, depth, unnest(CASE WHEN ok THEN [{'lo': lo, 'hi': g0, 's': l, 'done': depth + 1 >= 6}, {'lo': g1, 'hi': hi, 's': r, 'done': depth + 1 >= 6}] ELSE [{'lo': lo, 'hi': hi, 's': s, 'done': true}] END) AS part FROM (
+      SELECT *, coalesce(len(l) >= 2 AND len(r) >= 2 AND len(list_filter(s, lambda b: len(list_filter(CASE WHEN (b.x0 + b.x1) / 2 <= g0 THEN r ELSE l END, lambda o: greatest(0, least(b.y1, o.y1) - greatest(b.y0, o.y0)) / least(b.y1 - b.y0, o.y1 - o.y0) >= 0.3)) > 0)) / len(s) >= 0.6, false) AS ok FROM (
+        SELECT *, list_filter(s, lambda b: (b.x0 + b.x1) / 2 <= g0) AS l, list_filter(s, lambda b: (b.x0 + b.x1) / 2 >= g1) AS r FROM (
+          SELECT *, gap.a AS g0, gap.b AS g1 FROM (
+            SELECT *, list_filter(gaps, lambda x: x.b - x.a = list_max(list_transform(gaps, lambda z: z.b - z.a)))[1] AS gap FROM (
+              SELECT *, list_filter(list_transform(range(2, len(s) + 1), lambda i: {'a': list_max(list_transform(s[1:i - 1], lambda z: z.x1)), 'b': s[i].x0}), lambda x: x.b - x.a >= 12) AS gaps FROM walk WHERE NOT done AND len(s) >= 2))))))),
+bands AS (SELECT page, lo, hi FROM walk WHERE done OR len(s) < 2 UNION ALL SELECT doc_id, 0, 595 FROM documents WHERE doc_id NOT IN (SELECT page FROM q)),
+n AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY lo) - 1 AS index, count(*) OVER (PARTITION BY page) AS n FROM bands),
+c AS (SELECT page, x1 + 15 AS x0, x1 + 27 AS x1 FROM l WHERE ord % 4 = 0)
+SELECT page, index::INT AS index, round(lo, 2) AS x0, round(hi, 2) AS x1, CASE WHEN n < 2 THEN 'UNKNOWN' WHEN n = 2 THEN CASE WHEN index = 0 THEN 'QUESTION_ZONE' ELSE 'RESPONSE_ZONE' END
+  WHEN (SELECT count(*) FROM c WHERE c.page = n.page AND greatest(0, least(c.x1, hi) - greatest(c.x0, lo)) / 12 >= 0.5) >= 2 THEN 'RESPONSE_ZONE' ELSE 'UNKNOWN' END AS role_hint FROM n"""

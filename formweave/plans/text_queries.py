@@ -89,12 +89,5 @@ def forms_fold(spark, sf):
     return f.select("doc_id", "normalized_name", "name", "first_page", F.size("pages").alias("pages"), F.size("continuation_pages").alias("continued"))
 
 
-def form_inheritance(spark, sf):
-    """Inheritance with references, page by page; without references it is the forward fill."""
-    refs = spark.createDataFrame([], "doc_id long, page long, ord int, target_page int, text string, resolved boolean")
-    titles = _titles(spark, sf).withColumn("is_continuation", F.lit(False))
-    return FM.inherit_forms(titles, refs).select("doc_id", "page", "form_name", "form_source")
-
-
 def queries():
-    return {f.__name__: f for f in (normalize_labels, split_label, clean_title, see_page_refs, classify_markup, split_statements, parse_appearance, hex_round_trip, foreign_domain, form_forward_fill, forms_fold, form_inheritance)}
+    return {f.__name__: f for f in (normalize_labels, split_label, clean_title, see_page_refs, classify_markup, split_statements, parse_appearance, hex_round_trip, foreign_domain, form_forward_fill, forms_fold)}

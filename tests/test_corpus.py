@@ -180,9 +180,33 @@ def test_arrivals_replace_documents(spark, tmp_path):
     assert [tuple(r) for r in spark.read.parquet(out).select("doc_id", "n").collect()] == [("a", 2)]
 
 
+def pushed_down(boxes, page_height):
+    """Box after box, each pushed below any earlier one that it meets until it meets none."""
+    out = []
+    for x0, y0, x1, y1 in boxes:
+        start = y0
+        while hit := next((b for b in out if min(x1, b[2]) > max(x0, b[0]) and min(y1, b[3]) > max(y0, b[1])), None):
+            y0, y1 = hit[3] + 2, y1 + hit[3] + 2 - y0
+        if y0 > start:
+            over = max(0.0, y1 - (page_height - 2))
+            y0, y1 = y0 - over, y1 - over
+            y0, y1 = (2.0, y1 + 2 - y0) if y0 < 2 else (y0, y1)
+        out.append(tuple(round(v, 2) for v in (x0, y0, x1, y1)))
+    return out
+
+
 def test_nudged_boxes_do_not_touch():
-    boxes = placement.nudge([(0, 0, 10, 10), (5, 5, 15, 15), (5, 5, 15, 15), (50, 0, 60, 10)], 842.0)
-    assert [b[1] for b, _ in boxes] == [0, 12, 24, 0]
+    import random
+
+    def placed(boxes, height):
+        page = placement.PageColumn()
+        return [page.place(*b, height)[0] for b in boxes]
+
+    assert [b[1] for b in placed([(0, 0, 10, 10), (5, 5, 15, 15), (5, 5, 15, 15), (50, 0, 60, 10)], 842.0)] == [0, 12, 24, 0]
+    rng = random.Random(8)
+    for _ in range(200):
+        boxes = [(x := rng.randint(0, 60), y := rng.randint(0, 200), x + rng.randint(1, 40), y + rng.randint(1, 30)) for _ in range(rng.randint(1, 25))]
+        assert placed(boxes, 842.0) == [tuple(map(float, b)) for b in pushed_down(boxes, 842.0)]
 
 
 def test_columns_of_a_page():
