@@ -8,10 +8,10 @@ template is its leaf with the constants that are left.  A template of which cons
 half or more of its tokens, and whose lines occur in ``min_docs`` documents or more, is
 dropped: all its lines go from all texts.
 
-Documents are told apart by their texts, so a text and its exact copies are one document.  Lines
-and texts are named by MD5 digests in between: texts move twice, once by distinct line and once
-for the result.  Lines of leaves that cannot recur drop out before their texts are needed.  What one
-line, leaf, template or text shares with many rows is joined by key and run, so that no task
+Documents are told apart by their texts, so a text and its exact copies are one document.  Texts,
+lines and places are named by two 64-bit hashes in between.  Lines of leaves that cannot
+recur drop out before their texts are needed.  What one line, leaf, place, template or text shares
+with many rows is joined by key and run (or broadcast, if it is counted and small), so that no task
 gets all rows of one key.
 """
 
@@ -20,69 +20,69 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import matched, spread, written
 
-#: Fixed value: tokens are what the characters of [\x20\x09-\x0D] part.
-TOKEN = r"[^\x20\x09-\x0D]+"
 FIELD = "<*>"
+DOC, LINE, PLACE, TEMPLATE = ["d1", "d2"], ["l1", "l2"], ["k1", "k2"], ["x", "y"]
 
 
 def masked(line: Column) -> Column:
-    """Tokens of a line, those with a digit as variable fields."""
-    return F.transform(F.regexp_extract_all(line, F.lit(TOKEN), F.lit(0)), lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t))
+    """Tokens of a line, parted by single blanks; those with a digit as variable fields.
+
+    Tokens are what the characters of [\x20\x09-\x0D] part.  Most lines are so already.
+    """
+    plain = F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
+    return F.when(line.rlike(r"[0-9\x09-\x0D]|  |^ | $"), F.regexp_replace(plain, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*", FIELD)).otherwise(line)
 
 
-def _digest(text: Column) -> Column:
-    return F.unhex(F.md5(text))
+def names(columns: list[str], *values: Column) -> list[Column]:
+    """Two 64-bit hashes of the values."""
+    return [F.xxhash64(F.lit(i), *values).alias(c) for i, c in enumerate(columns)]
 
 
-def spread(left: DataFrame, right: DataFrame, key: list[str], by: str, how: str = "inner") -> DataFrame:
-    """``left`` joined to ``right`` (one row per ``key``), with the rows of a key of ``left`` dealt over
-    runs by the column ``by``; every run gets its copy of the one row of ``right``."""
-    runs = max(8, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = left.withColumn("_ld_run", F.pmod(F.xxhash64(by), F.lit(runs)).cast("int"))
-    shares = dealt.select(*key, "_ld_run").distinct().join(right, key)
-    return dealt.join(shares, [*key, "_ld_run"], how).drop("_ld_run")
+def leaf_of(tokens: Column, depth: int) -> Column:
+    """The path of a line in the tree: its number of tokens and the leading ones."""
+    count = F.length(tokens) - F.length(F.replace(tokens, F.lit(" "), F.lit(""))) + 1
+    return F.concat_ws(" ", count.cast("string"), F.substring_index(tokens, " ", depth))
 
 
-def _lines(docs: DataFrame, text: str) -> DataFrame:
-    """``_ld_doc`` (digest of the text), ``at`` and ``tokens`` of all lines that have tokens."""
-    rows = docs.select(_digest(F.col(text)).alias("_ld_doc"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("at", "line"))
-    return rows.select("_ld_doc", "at", masked(F.col("line")).alias("tokens")).filter(F.size("tokens") > 0)
+def _lines(docs: DataFrame, text: str, depth: int) -> DataFrame:
+    """``d1``, ``d2`` (the text), ``at``, ``l1``, ``l2`` (the line), ``tokens`` and ``leaf`` of all lines that have tokens."""
+    rows = docs.select(*names(DOC, F.col(text)), F.posexplode(F.split(F.col(text), "\n", -1)).alias("at", "line")).filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    tokens = masked(F.col("line"))
+    return rows.select(*DOC, "at", *names(LINE, tokens), tokens.alias("tokens"), F.xxhash64(leaf_of(tokens, depth)).alias("leaf"))
 
 
 def recurring_lines(docs: DataFrame, text: str = "text", depth: int = 2, min_docs: int = 3) -> DataFrame:
-    """``_ld_doc`` and ``at`` (from 0) of every line of every distinct text whose template recurs."""
-    joined = F.array_join("tokens", " ")
-    path = F.concat_ws(" ", F.size("tokens").cast("string"), F.slice("tokens", 1, depth))
-    lines = written(_lines(docs, text).select("_ld_doc", "at", _digest(joined).alias("line"), F.xxhash64(path).alias("leaf64")).distinct(), "lines")
+    """``d1``, ``d2`` and ``at`` (from 0) of every line of every distinct text whose template recurs."""
+    count = F.count(F.lit(1))
+    lines = written(_lines(docs, text, depth).select(*DOC, "at", *LINE, "leaf").distinct(), "lines")
 
     # lines with the number of their documents, in leaves that may hold a constant
-    counted = written(lines.select("line", "leaf64", "_ld_doc").distinct().groupBy("line", "leaf64").agg(F.count(F.lit(1)).alias("docs")), "line-counts")
-    leaves = counted.groupBy("leaf64").agg(F.sum("docs").alias("all")).filter(F.col("all") >= min_docs).select("leaf64")
-    opened = spread(counted, leaves, ["leaf64"], "line").select("line", "docs")
-    texts = _lines(docs, text).select(joined.alias("tokens")).groupBy(_digest(F.col("tokens")).alias("line")).agg(F.min("tokens").alias("tokens"))
-    known = written(texts.join(opened, "line").select("line", "docs", F.split("tokens", " ").alias("tokens")), "open-lines")
+    counted = written(lines.select(*LINE, "leaf", *DOC).distinct().groupBy(*LINE, "leaf").agg(count.alias("docs")), "line-counts")
+    leaves = written(counted.groupBy("leaf").agg(F.sum("docs").alias("all")).filter(F.col("all") >= min_docs).select("leaf"), "leaves")
+    opened = matched(counted, leaves, ["leaf"], "l1").select(*LINE, "docs")
+    found = matched(_lines(docs, text, depth).select(*LINE, "tokens", "leaf"), leaves, ["leaf"], "l1")
+    known = written(found.groupBy(*LINE).agg(F.min("tokens").alias("tokens")).join(opened, LINE), "open-lines")
 
     # constants of each position of a leaf, and the template that they leave of a line
-    leaf = known.select("line", "docs", F.size("tokens").alias("n"), _digest(path).alias("leaf"), F.posexplode("tokens").alias("pos", "token")).filter(F.col("token") != FIELD)
-    places = written(leaf.select("line", "docs", "n", "leaf", _digest(F.concat_ws(" ", "pos", "token")).alias("place")), "places")
-    constants = places.groupBy("leaf", "place").agg(F.sum("docs").alias("all")).filter(F.col("all") >= min_docs).select("leaf", "place")
-    half = lambda k: F.conv(F.substring(F.hex("place"), k, 15), 16, 10).cast("long")
-    templates = (spread(places, constants, ["leaf", "place"], "line").groupBy("line", "docs", "n", "leaf")
-                 .agg(F.count(F.lit(1)).alias("kept"), F.bit_xor(half(1)).alias("x"), F.bit_xor(half(16)).alias("y")).filter(2 * F.col("kept") >= F.col("n")))
-    key = ["leaf", "x", "y"]
-    templates = written(templates.select("line", "docs", *key), "templates")
+    path = leaf_of(F.col("tokens"), depth)
+    places = known.select(*LINE, "docs", path.alias("path"), F.posexplode(F.split("tokens", " ")).alias("pos", "token"))
+    places = places.filter(F.col("token") != FIELD).select(*LINE, "docs", F.substring_index("path", " ", 1).cast("int").alias("n"), *names(PLACE, F.col("path"), F.col("pos"), F.col("token")))
+    constants = written(places.groupBy(*PLACE).agg(F.sum("docs").alias("all")).filter(F.col("all") >= min_docs).select(*PLACE), "constants")
+    # all that a frequent line holds is constant
+    kept = matched(places.filter(F.col("docs") < min_docs), constants, PLACE, "l1").unionByName(places.filter(F.col("docs") >= min_docs))
+    templates = kept.groupBy(*LINE, "docs", "n").agg(count.alias("kept"), F.bit_xor("k1").alias("x"), F.bit_xor("k2").alias("y")).filter(2 * F.col("kept") >= F.col("n"))
+    templates = written(templates.select(*LINE, "docs", *TEMPLATE), "templates")
 
     # a template recurs by one of its lines alone, or by the documents of all of them
-    sums = templates.groupBy(*key).agg(F.max("docs").alias("most"), F.sum("docs").alias("all")).filter(F.col("all") >= min_docs)
+    sums = templates.groupBy(*TEMPLATE).agg(F.max("docs").alias("most"), F.sum("docs").alias("all")).filter(F.col("all") >= min_docs)
     sums = written(sums, "template-counts")
-    alone = sums.filter(F.col("most") >= min_docs).select(*key)
-    rare = spread(templates, sums.filter(F.col("most") < min_docs).select(*key), key, "line").select("line", *key)
-    shared = (lines.join(rare, "line").select(*key, "_ld_doc").distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("docs"))
-              .filter(F.col("docs") >= min_docs).select(*key))
-    gone = written(spread(templates, alone.unionByName(shared), key, "line").select("line"), "recurring")
-    return spread(lines, gone, ["line"], "_ld_doc").select("_ld_doc", "at")
+    alone = sums.filter(F.col("most") >= min_docs).select(*TEMPLATE)
+    rare = written(spread(templates, sums.filter(F.col("most") < min_docs).select(*TEMPLATE), TEMPLATE, "l1").select(*LINE, *TEMPLATE), "rare-lines")
+    shared = matched(lines, rare, LINE, "d1").select(*TEMPLATE, *DOC).distinct().groupBy(*TEMPLATE).agg(count.alias("docs")).filter(F.col("docs") >= min_docs).select(*TEMPLATE)
+    gone = written(spread(templates, alone.unionByName(shared), TEMPLATE, "l1").select(*LINE), "recurring")
+    return matched(lines, gone, LINE, "d1").select(*DOC, "at")
 
 
 def line_dedup(docs: DataFrame, text: str = "text", depth: int = 2, min_docs: int = 3) -> DataFrame:
@@ -94,11 +94,13 @@ def line_dedup(docs: DataFrame, text: str = "text", depth: int = 2, min_docs: in
     Rows with equal texts are one document but all stay, whatever their ids; an empty table gives
     no rows.  Nothing else of a row changes.
     """
-    gone = recurring_lines(docs, text, depth, min_docs).groupBy("_ld_doc").agg(F.collect_set("at").alias("_ld_gone"))
-    gone = written(gone, "lines-to-drop")
+    gone = written(recurring_lines(docs, text, depth, min_docs).groupBy(*DOC).agg(F.collect_set("at").alias("_ld_gone")), "lines-to-drop")
+    key = ["_ld_1", "_ld_2"]
+    gone = gone.select(F.col("d1").alias("_ld_1"), F.col("d2").alias("_ld_2"), "_ld_gone")
     some = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    rows = docs.select(*some, _digest(F.col(text)).alias("_ld_doc"), F.xxhash64(*some).alias("_ld_by"))
-    met = spread(rows, gone, ["_ld_doc"], "_ld_by", "left")
+    rows = docs.select(*some, *names(key, F.col(text)), F.xxhash64(*some).alias("_ld_by"))
+    total = gone.agg(F.sum(F.size("_ld_gone"))).first()[0] or 0  # lines to drop: few are broadcast
+    met = rows.join(F.broadcast(gone), key, "left") if total <= 2_000_000 else spread(rows, gone, key, "_ld_by", "left")
     parts = F.split(F.col(text), "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_ld_gone"))
     clean = F.when(F.col("_ld_gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))

@@ -30,12 +30,36 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") -> None:
-    """Let Arrow batches hold few rows: texts and sets are wide, and every worker holds some batches."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    """Let Arrow batches hold few rows: texts and sets are wide, and every worker holds some batches.
+
+    Every operator that calls Python sets both, so that none depends on what ran before it.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def shares_of(spark: SparkSession, least: int = 32) -> int:
+    """Shares into which the rows of one key are dealt: as many as shuffle partitions, ``least`` at least."""
+    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(left: DataFrame, right: DataFrame, key: list[str], by: str, how: str = "inner") -> DataFrame:
+    """``left`` joined to ``right`` (one row per ``key``), with the rows of a key of ``left`` dealt over
+    runs by the column ``by``; every run gets its copy of the one row of ``right``."""
+    runs = shares_of(left.sparkSession)
+    dealt = left.withColumn("_fw_run", F.pmod(F.xxhash64(by), F.lit(runs)).cast("int"))
+    shares = dealt.select(*key, "_fw_run").distinct().join(right, key)
+    return dealt.join(shares, [*key, "_fw_run"], how).drop("_fw_run")
+
+
+def matched(left: DataFrame, right: DataFrame, key: list[str], by: str, how: str = "inner", limit: int = 1_000_000) -> DataFrame:
+    """As :func:`spread`, for a stored ``right`` of a few narrow columns: it is counted, and up to ``limit``
+    rows are broadcast, so that the rows of ``left`` stay where they are."""
+    if right.count() <= limit:
+        return left.join(F.broadcast(right), key, how)
+    return spread(left, right, key, by, how)
+
+
 def fresh_dir(spark: SparkSession, tag: str) -> str:
     """A new folder name under the shared folder, removed when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
