@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pieces import Memo, chunks
+from .store import bounded_batches
 
 _M = (1 << 64) - 1
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -161,6 +162,7 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     Null text is empty: no ids, and the digests of nothing.  Each row of ``docs`` gives one row; null
     doc_ids stay null; other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     tokens = read_ranks(ranks_path)
     key = hashlib.sha256(b"\0".join(tokens)).hexdigest() + pattern
     shared = docs.sparkSession.sparkContext.broadcast((tokens, pattern))  # a vocabulary: fixed, under 1 MB

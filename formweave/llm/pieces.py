@@ -65,8 +65,10 @@ class Memo:
         self.first.update(zip(new, self.encode_many(new, ""), strict=True))
         fed = [t for t in more if t[:1] == "\n" and not ragged(t)]
         self.rest.update((t, self.feed + x) for t, x in zip(fed, self.encode_many([t[1:] for t in fed], ""), strict=True))
-        spaced = [t for t in more if t[:1] != "\n" or ragged(t)]
-        self.rest.update(zip(spaced, self.encode_many(spaced, " "), strict=True))
+        kept = [t for t in more if t[:1] == "\n" and ragged(t)]  # cut before the line feed: no space was lost
+        spaced = [t for t in more if t[:1] != "\n"]
+        for lead, some in (("", kept), (" ", spaced)):
+            self.rest.update(zip(some, self.encode_many(some, lead), strict=True))
         first, rest = self.first, self.rest.__getitem__
         out = [first[p[0]] + b"".join(map(rest, p[1:])) for p in parts]
         for memo, added in ((first, new), (self.rest, more)):
