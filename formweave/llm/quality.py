@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .labelled import fold, sample
+from .store import bounded_batches
 
 BITS = 18
 _FORMS = [(re.compile(r"[^\W\d_]+"), lambda m: "a" if m[0].islower() else "A" if m[0].isupper() else "Aa" if m[0][1:].islower() else "aA"),
@@ -25,10 +26,10 @@ _FORMS = [(re.compile(r"[^\W\d_]+"), lambda m: "a" if m[0].islower() else "A" if
 
 
 def shape(word: str) -> str:
-    """Letters by case, digits as 0, runs of one sign as the sign and a plus; at most 24 characters."""
+    """Letters by case, digits as 0, runs of one sign as the sign and a plus."""
     for pattern, form in _FORMS:
         word = pattern.sub(form, word)
-    return word[:24]
+    return word
 
 
 class _Shapes(dict):
@@ -37,7 +38,9 @@ class _Shapes(dict):
     def __missing__(self, word: str) -> int:
         if len(self) > 300_000:
             self.clear()
-        self[word] = code = zlib.crc32(shape(word).encode()) << 1
+        code = zlib.crc32(shape(word).encode()) << 1
+        if len(word) <= 64:
+            self[word] = code
         return code
 
 
@@ -148,6 +151,7 @@ def classify(docs: DataFrame, labels: DataFrame, max_rows: int = 8000) -> DataFr
     Null texts score like empty ones.  A null doc_id counts as held out.  Without labels of both
     kinds every text has the share of label 1 (or 0.5) as its tendency.  Other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     score = scorer(docs.sparkSession, train(docs, labels, max_rows))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), score(F.col("text")).alias("score"))
     return rows.select("doc_id", F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -155,5 +159,6 @@ def classify(docs: DataFrame, labels: DataFrame, max_rows: int = 8000) -> DataFr
 
 def good_documents(docs: DataFrame, labels: DataFrame, max_rows: int = 8000) -> DataFrame:
     """The rows of ``docs`` whose score is at least 0.5, unchanged."""
+    bounded_batches(docs.sparkSession)
     score = scorer(docs.sparkSession, train(docs, labels, max_rows))
     return docs.filter(score(F.col("text")) >= 0.5)
