@@ -207,12 +207,12 @@ def learn_grams(rows: DataFrame) -> dict[str, float]:
     return {r.gram: float(r.n) for r in got.collect()}
 
 
-def learn_weights(rows: DataFrame, grams: dict[str, float], min_ratio: float = 2.0, min_gain: float = 20.0, max_marks: int = 50_000) -> dict[str, float]:
+def learn_weights(rows: DataFrame, grams: dict[str, float], min_ratio: float = 2.0, min_gain: float = 20.0) -> dict[str, float]:
     """Log ratios of the features that make up a clearly larger share of toxic texts' words.
 
     Counts are of the distinct words of each text, over the whole sample, summed where the texts
-    are; features below the two thresholds are dropped there too, and at most ``max_marks`` of the
-    strongest come back.
+    are; features below the two thresholds are dropped there too.  What comes back is bounded by the
+    words of the sample.
     """
     shared = rows.sparkSession.sparkContext.broadcast(grams)
 
@@ -241,7 +241,7 @@ def learn_weights(rows: DataFrame, grams: dict[str, float], min_ratio: float = 2
     gain = 2 * (F.col("bad") * F.log(F.col("bad") / (both * share)) + F.when(F.col("good") > 0, F.col("good") * F.log(F.col("good") / (both * (1 - share)))).otherwise(0.0))
     strong = (counts.filter("mark <> '' AND bad > 2").crossJoin(F.broadcast(total.select(F.col("bad").alias("nb"), F.col("good").alias("ng"))))
               .select("mark", ratio.alias("ratio"), gain.alias("gain"))
-              .filter((F.col("ratio") >= min_ratio) & (F.col("gain") >= min_gain)).orderBy(F.desc("gain"), "mark").limit(max_marks))
+              .filter((F.col("ratio") >= min_ratio) & (F.col("gain") >= min_gain)))
     return {r.mark: r.ratio for r in strong.collect()}
 
 
@@ -325,7 +325,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> dict:
 def scorer(spark: SparkSession, model: dict):
     """A column function from text to score."""
     key = uuid.uuid4().hex
-    shared = spark.sparkContext.broadcast(model)  # bounded by the alphabet and by `max_marks`
+    shared = spark.sparkContext.broadcast(model)  # bounded by the alphabet and the words of the sample
 
     @F.pandas_udf("double")
     def score(texts):
