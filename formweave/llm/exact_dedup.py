@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import without, written
+from .store import shares_of, without, written
 
 #: The characters of [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
@@ -40,11 +40,13 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                        F.xxhash64("norm").alias("check"), F.octet_length("norm").alias("norm_len"))
 
 
-def tree_merge(entries: DataFrame, runs: int = 64, bits: int = 2) -> DataFrame:
+def tree_merge(entries: DataFrame, runs: int | None = None, bits: int = 2) -> DataFrame:
     """Entries with ``keep_id`` and ``group_size`` of their digest added.
 
-    ``entries`` must be stored (it is read twice).  A null id ranks after every other.
+    ``entries`` must be stored (it is read twice).  A null id ranks after every other.  There are as
+    many runs as shuffle partitions, 64 at least, if not given.
     """
+    runs = runs or shares_of(entries.sparkSession, 64)
     best = F.min("best").alias("best"), F.sum("n").alias("n")
     leaf = entries.withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(runs)).cast("int"))
     start = F.struct((-F.col("chars")).alias("rank"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"))
@@ -63,7 +65,7 @@ def tree_merge(entries: DataFrame, runs: int = 64, bits: int = 2) -> DataFrame:
             .select("doc_id", "chars", "digest", F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"), F.col("best.rank").alias("best_rank")))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int = 64, bits: int = 2) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int | None = None, bits: int = 2) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Null text counts as empty and empty texts are one group.  Ties in length go to the smaller id.

@@ -18,7 +18,7 @@ from urllib.parse import quote, unquote
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import fresh_dir, open_fs, written
+from .store import bounded_batches, fresh_dir, open_fs, shares_of, written
 
 _CHUNK = 1 << 18
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
@@ -93,16 +93,16 @@ def parse(member: bytes) -> dict:
             "payload_bytes": size, "payload_digest": fields["warc-payload-digest"].removeprefix("sha1:"), "payload": None if revisit else payload.decode()}
 
 
-def planned(pages: DataFrame, min_payload: int = 0, runs: int = 32) -> DataFrame:
+def planned(pages: DataFrame, min_payload: int = 0) -> DataFrame:
     """Pages and, before them, a row per page and payload with ``owner``: the smallest page_id of
     those with the same payload.  Rows of a page lie in one partition, sorted.
 
-    The smallest ids are found on digests alone, first within ``runs`` shares of a payload's rows
-    and then over the shares, and go back the same way; html moves once, dealt by page_id.
+    The smallest ids are found on digests alone, first within shares of a payload's rows (as many as shuffle
+    partitions) and then over the shares, and go back the same way; html moves once, dealt by page_id.
     """
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     keys = written(base.select("page_id", F.octet_length("html").alias("size"), F.unhex(F.sha2("html", 256)).alias("digest")).distinct()
-                   .withColumn("run", F.pmod(F.xxhash64("page_id"), F.lit(runs))), "page-digests")
+                   .withColumn("run", F.pmod(F.xxhash64("page_id"), F.lit(shares_of(pages.sparkSession)))), "page-digests")
     first = F.min(F.struct(F.col("page_id").isNull().alias("no_id"), F.col("page_id").alias("id"))).alias("first")
     shares = keys.groupBy("digest", "size", "run").agg(first)
     owners = shares.groupBy("digest", "size").agg(F.min("first").alias("owner"))
@@ -178,4 +178,5 @@ def read_warc(manifest: DataFrame) -> DataFrame:
 
 def warc_round_trip(pages: DataFrame, min_payload: int = 0) -> DataFrame:
     """Archive ``pages`` in the shared folder and read the records back."""
+    bounded_batches(pages.sparkSession)
     return read_warc(write_warc(pages, fresh_dir(pages.sparkSession, "warc"), min_payload))
