@@ -1,21 +1,25 @@
 """Approximate nearest neighbours: a forest of random-projection trees.
 
 The trees' hyperplanes are fitted on a bounded sample; every vector is then sent to its leaf in each
-tree.  A query walks all trees through one shared priority queue, nearest cells first, and visits a
-number of leaves; the vectors of those leaves are ranked by exact cosine in double precision.
-Vectors that are equal take one place in the index, with the ids that can still be among the
-nearest; leaves are stored in shards of a bounded size.
+tree.  A query walks all trees through one shared priority queue: a cell's priority is the sum of the
+squared margins by which the query misses it.  The walk ends where priorities pass a bound that
+is the query's own: the squared distance to its k-th neighbour in the sample, times a factor for
+which the sample's true neighbours are found with the wanted recall.  So queries in dense
+regions visit few leaves, whatever the size of the table.  The vectors of the visited leaves are
+ranked by exact cosine in double precision.  Vectors that are equal take one place in the index,
+with the ids that can still be among the nearest; leaves are stored in shards of a bounded size.
 """
 
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import bounded_batches, written
 
 FOUND = "query_id long, vec_id long, score double"
 
@@ -78,28 +82,74 @@ class Tree:
 
 
 class Forest:
-    def __init__(self, points: np.ndarray, trees: int, leaf_size: int, seed: int = 11):
+    """Trees over ``points`` (distinct unit vectors of the sample) and the factor of the walk's bound."""
+
+    def __init__(self, points: np.ndarray, trees: int, leaf_size: int, k: int, recall: float, seed: int = 11):
         rng = np.random.default_rng(seed)
+        self.points, self.k = points.astype(np.float32), k
         self.trees = [Tree(points, leaf_size, rng) for _ in range(trees)]
+        self.factor = self._factor(points, recall, rng)
+
+    def _factor(self, points: np.ndarray, recall: float, rng: np.random.Generator, queries: int = 128) -> float:
+        """The factor at which a share ``recall`` of the sample's neighbours lies in visited leaves."""
+        if len(points) <= self.k + 1:
+            return np.inf
+        leaf = np.stack([t.assign(points) for t in self.trees])
+        ratios = []
+        for i in rng.choice(len(points), min(queries, len(points)), replace=False):
+            far = 2 - 2 * (points @ points[i])
+            far[i] = np.inf
+            near = np.argpartition(far, self.k)[:self.k]
+            priority = [np.full(t.leaves, np.inf) for t in self.trees]
+            for p, t, at in self.walk(points[i], np.inf):
+                priority[t][at] = p
+            for x in near:
+                ratios.append(min(priority[t][leaf[t, x]] for t in range(len(self.trees))) / max(far[near].max(), 1e-12))
+        return float(np.quantile(ratios, recall))
+
+    def radius(self, unit: np.ndarray) -> np.ndarray:
+        """Squared distance of each unit vector to its k-th other neighbour in the sample."""
+        out = np.full(len(unit), 4.0)
+        if len(self.points) > self.k + 1:
+            for at in range(0, len(unit), 256):
+                far = 2 - 2 * (unit[at:at + 256].astype(np.float32) @ self.points.T)
+                far[far < 1e-5] = 4.0  # the query itself
+                out[at:at + 256] = np.partition(far, self.k - 1, axis=1)[:, self.k - 1]
+        return out
 
-    def search(self, q: np.ndarray, leaves: int) -> list[tuple[int, int]]:
-        """The first ``leaves`` (tree, leaf) that the shared queue yields."""
-        heights = [(t.normals @ q - t.offsets).tolist() for t in self.trees]
-        children = [t.children for t in self.trees]
-        queue, out = [(0.0, k, t.root) for k, t in enumerate(self.trees)], []
+    def walk(self, q: np.ndarray, bound: float):
+        """``(priority, tree, leaf)`` in the order of the shared queue, up to a priority."""
+        heights = [((t.normals @ q - t.offsets) if len(t.offsets) else np.zeros(0)).tolist() for t in self.trees]
+        children = [t.children.tolist() for t in self.trees]
+        queue = [(0.0, k, t.root) for k, t in enumerate(self.trees)]
         heapq.heapify(queue)
-        while queue and len(out) < leaves:
+        while queue:
             far, k, node = heapq.heappop(queue)
+            if far > bound:
+                return
             while node >= 0:
                 h = heights[k][node]
-                near, other = children[k][node][::-1] if h > 0 else children[k][node]
-                heapq.heappush(queue, (max(far, abs(h)), k, int(other)))
-                node = int(near)
-            out.append((k, -1 - node))
-        return out
+                low, high = children[k][node]
+                near, other = (high, low) if h > 0 else (low, high)
+                heapq.heappush(queue, (far + h * h, k, other))
+                node = near
+            yield far, k, -1 - node
+
+    def search(self, unit: np.ndarray) -> list[list[tuple[int, int]]]:
+        """The (tree, leaf) pairs that each query visits."""
+        bounds = self.radius(unit) * self.factor
+        return [[(k, leaf) for _, k, leaf in self.walk(q, b)] for q, b in zip(unit, bounds, strict=True)]
+
+
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings their largest component near one: angles stay as they
+    are, and squares neither overflow nor vanish."""
+    _, exponent = np.frexp(np.abs(vectors).max(axis=1, initial=0))
+    return np.ldexp(vectors, -exponent[:, None])
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
+    vectors = scaled(vectors)
     return vectors / np.sqrt((vectors * vectors).sum(axis=1))[:, None]
 
 
@@ -119,27 +169,38 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.filter(F.coalesce(finite, F.lit(False)) & F.exists("v", lambda x: x != 0))
 
 
-def nearest(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = 6, leaf_size: int = 64, visits: int = 240, sample_rows: int = 16_384, shard_rows: int = 4096) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = 6, leaf_size: int = 64, recall: float = 0.95, sample_rows: int = 16_384, shard_rows: int = 4096) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score``: the ``k`` nearest found for each query.
 
     Queries are the rows whose vec_id is divisible by ``every``.  Hyperplanes are fitted on at most
-    ``sample_rows`` vectors chosen by a hash of the id; every row is indexed.  Vectors that are null,
-    zero or hold null or non-finite components take no part, nor do those whose length is not the
-    most frequent one in the sample.  Rows that repeat an id count once, with their best score.
+    ``sample_rows`` vectors chosen by a hash of the id; every row is indexed.  ``recall`` is the share
+    of the sample's own neighbours that the walk is set to find.  Vectors that are null,
+    zero or hold null or non-finite components take no part; those of different lengths are not
+    compared, each length has an index of its own.  Rows that repeat an id and a vector count
+    once; an id with several vectors is found, and asks, by its best score.
     Equal scores are ordered by vec_id.  Other columns are ignored; an empty table gives no rows.
     """
-    spark = vectors.sparkSession
+    bounded_batches(vectors.sparkSession)
     rows = written(usable(vectors), "vectors")
+    widths = [r.n for r in rows.select(F.size("v").alias("n")).distinct().orderBy("n").limit(65).collect()]
+    if len(widths) > 64:
+        raise ValueError("vectors of more than 64 different lengths")
+    found = [_pairs(rows.filter(F.size("v") == n), n, every, k, trees, leaf_size, recall, sample_rows, shard_rows) for n in widths or [1]]
+    best = reduce(DataFrame.unionByName, found).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _pairs(rows: DataFrame, width: int, every: int, k: int, trees: int, leaf_size: int, recall: float, sample_rows: int, shard_rows: int) -> DataFrame:
+    """``query_id``, ``vec_id``, ``score`` of the nearest in each visited shard, for vectors of one length."""
+    spark = rows.sparkSession
     picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("v").toPandas()["v"]
-    sizes = picked.map(len)
-    width = int(sizes.mode().iloc[0]) if len(picked) else 1
-    points = _unit(np.array([np.array(v, np.float64) for v in picked[sizes == width]]).reshape(-1, width))
-    forest = spark.sparkContext.broadcast(Forest(points, trees, leaf_size))  # bounded by sample_rows
-    rows = rows.filter(F.size("v") == width)
+    points = _unit(np.array([np.array(v, np.float64) for v in picked]).reshape(-1, width))
+    forest = spark.sparkContext.broadcast(Forest(np.unique(points, axis=0), trees, leaf_size, k, recall))  # bounded by sample_rows
 
     # of equal vectors only the smallest ids can be among the k nearest of any query but their own
     own = Window.partitionBy("v").orderBy("vec_id")
-    unique = rows.withColumn("_n", F.row_number().over(own)).filter(F.col("_n") <= k + 1).select("vec_id", "v")
+    unique = rows.dropDuplicates(["vec_id", "v"]).withColumn("_n", F.row_number().over(own)).filter(F.col("_n") <= k + 1).select("vec_id", "v")
 
     def index(batches):
         import pyarrow as pa
@@ -153,7 +214,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = 6, lea
         import pyarrow as pa
 
         for batch in batches:
-            cells = [forest.value.search(q, visits) for q in _unit(_matrix(batch.column(1)))]
+            cells = forest.value.search(_unit(_matrix(batch.column(1))))
             take = np.repeat(np.arange(len(cells)), [len(c) for c in cells])
             flat = np.array([x for c in cells for x in c], np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(flat[:, 0].astype(np.int32)), pa.array(flat[:, 1]), batch.column(0).take(pa.array(take)), batch.column(1).take(pa.array(take))], ["tree", "leaf", "query_id", "q"])
@@ -170,13 +231,14 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = 6, lea
 
         out = ([], [], [])
         if a.num_rows and b.num_rows:
-            v, ids = _matrix(a.column("v").combine_chunks()), a.column("vec_id").to_numpy()
-            q, own_ids = _matrix(b.column("q").combine_chunks()), b.column("query_id").to_numpy()
+            v, ids = scaled(_matrix(a.column("v").combine_chunks())), a.column("vec_id").to_numpy()
+            q, own_ids = scaled(_matrix(b.column("q").combine_chunks())), b.column("query_id").to_numpy()
+            places = k * int(np.unique(ids, return_counts=True)[1].max())  # an id may have several vectors
             size, q_size = np.sqrt((v * v).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
             for at in range(0, len(q), 1024):
                 rough = (q[at:at + 1024] / q_size[at:at + 1024, None]) @ (v / size[:, None]).T
                 rough[own_ids[at:at + 1024, None] == ids[None, :]] = -np.inf
-                bar = np.partition(rough, max(len(ids) - k, 0), axis=1)[:, max(len(ids) - k, 0)] - 1e-9
+                bar = np.partition(rough, max(len(ids) - places, 0), axis=1)[:, max(len(ids) - places, 0)] - 1e-9
                 row, col = np.nonzero((rough >= bar[:, None]) & (rough > -np.inf))
                 row += at
                 # rank by the exact measure, summed alike for every pair
@@ -187,7 +249,4 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = 6, lea
         return pa.table({"query_id": pa.array(cols[0].astype(np.int64)), "vec_id": pa.array(cols[1].astype(np.int64)), "score": pa.array(cols[2].astype(np.float64))})
 
     cell = ["tree", "leaf", "shard"]
-    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(rank, FOUND)
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(rank, FOUND)
