@@ -1,6 +1,7 @@
 """Token-id files: canonical length-limited Huffman codes, independent blocks, checkpoints.
 
-Code lengths come from the counts of all ids (package-merge, at most ``LIMIT`` bits).  Documents are
+Code lengths come from the counts of all ids (package-merge, at most ``LIMIT`` bits, or two more than the
+number of distinct ids needs).  Documents are
 coded where their ids are, dealt by ranges of the document id and written in ascending order, one
 file per range.  A file holds its code lengths and a run of blocks; a block decodes on its own and
 has a bit offset for every ``STEP`` ids of every document, so a reader starts anywhere and decodes
@@ -27,9 +28,10 @@ MANIFEST = "part int, path string, docs long, ids long"
 DECODED = "part int, doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
+def code_lengths(counts: np.ndarray, limit: int | None = None) -> np.ndarray:
     """Optimal code lengths of at most ``limit`` bits for symbols with a positive count.
 
+    By default ``LIMIT``, or more where that many symbols need it.
     Package-merge: ``limit`` times, pairs of the cheapest items become packages that are merged
     with the symbols; a symbol's length is the number of chosen items that contain it.
     """
@@ -39,6 +41,7 @@ def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
     if n <= 1:
         lengths[used] = 1
         return lengths
+    limit = limit or max(LIMIT, (n - 1).bit_length() + 2)
     if n > 1 << limit:
         raise ValueError("too many symbols for this code length")
     order = used[np.argsort(counts[used], kind="stable")]
@@ -69,12 +72,15 @@ class Code:
         symbols = np.flatnonzero(lengths)
         order = symbols[np.lexsort((symbols, lengths[symbols]))]
         size = self.lengths[order]
-        step = np.left_shift(1, LIMIT - size)
+        self.limit = limit = int(size.max(initial=1))
+        if limit > 25:
+            raise ValueError("codes of more than 25 bits")
+        step = np.left_shift(1, limit - size)
         left = np.concatenate([[0], np.cumsum(step)[:-1]]).astype(np.int64)
         self.codes = np.zeros(len(lengths), np.int64)
-        self.codes[order] = left >> (LIMIT - size)
-        self.symbol = np.zeros(1 << LIMIT, np.uint32)
-        self.bits = np.zeros(1 << LIMIT, np.uint8)
+        self.codes[order] = left >> (limit - size)
+        self.symbol = np.zeros(1 << limit, np.uint32)
+        self.bits = np.zeros(1 << limit, np.uint8)
         filled = int(step.sum())
         self.symbol[:filled] = np.repeat(order, step)
         self.bits[:filled] = np.repeat(size, step)
@@ -91,7 +97,7 @@ class Code:
         shift = np.repeat(base[:-1] * 8 - run[begins], ends - begins)
         at = run[:-1] + shift
         word, inside = at >> 5, at & 31
-        value = self.codes[ids] << (64 - size - inside)  # of at most 16 + 31 bits below 64
+        value = self.codes[ids] << (64 - size - inside)  # of at most 25 + 31 bits below 64
         n_words = int(base[-1] // 4 + 3)
         high = np.bincount(word, (value >> 32) & 0xFFFFFFFF, n_words)
         low = np.bincount(word + 1, value & 0xFFFFFFFF, n_words + 1)
@@ -107,11 +113,11 @@ class Code:
         order = np.argsort(-counts, kind="stable")
         at, left = starts[order].astype(np.int64), counts[order]
         first = np.concatenate([[0], np.cumsum(counts)[:-1]])[order].astype(np.int64)
-        out = np.zeros(int(counts.sum()), np.uint32)
+        out, mask = np.zeros(int(counts.sum()), np.uint32), np.uint32((1 << self.limit) - 1)
         live = np.searchsorted(-left, -np.arange(1, int(left[0]) + 1 if len(left) else 1), side="right")
         for k, n in enumerate(live.tolist()):
             here = at[:n]
-            look = (window[here >> 3] >> (16 - (here & 7)).astype(np.uint32)) & 0xFFFF
+            look = (window[here >> 3] >> (32 - self.limit - (here & 7)).astype(np.uint32)) & mask
             out[first[:n] + k] = self.symbol[look]
             at[:n] = here + self.bits[look]
         return out
@@ -174,10 +180,12 @@ def id_counts(ids: DataFrame) -> DataFrame:
     return ids.select("width", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def write_ids(ids: DataFrame, folder: str) -> DataFrame:
+def write_ids(ids: DataFrame, folder: str, ids_at: str | None = None) -> DataFrame:
     """Write an id table (stored) as files in ascending doc_id order; returns their manifest.
 
-    Null doc_ids come first; rows that repeat a doc_id follow each other by their ids.
+    Null doc_ids come first; rows that repeat a doc_id follow each other by their ids.  The coded
+    rows are stored before they are dealt, for the ranges come from a pass over their ids;
+    the folder ``ids_at`` of the id table is deleted then.
     """
     spark = ids.sparkSession
     rows = id_counts(ids).collect()  # one row per vocabulary id: bounded by the vocabulary
@@ -226,10 +234,14 @@ def write_ids(ids: DataFrame, folder: str) -> DataFrame:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([f"{folder}/{name}"]), pa.array([docs], pa.int64()), pa.array([total], pa.int64())], ["part", "path", "docs", "ids"])
 
-    coded = ids.mapInArrow(squeeze, "doc_id long, n long, marks binary, bits binary")
+    coded, coded_at = written_at(ids.mapInArrow(squeeze, "doc_id long, n long, marks binary, bits binary"), "coded", "lz4")
+    if ids_at:
+        drop_dir(spark, ids_at)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = coded.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n", "bits")
-    return written(dealt.mapInArrow(write, MANIFEST), "token-manifest")
+    manifest = written(dealt.mapInArrow(write, MANIFEST), "token-manifest")
+    drop_dir(spark, coded_at)
+    return manifest
 
 
 def _head(lengths: bytes) -> bytes:
@@ -315,6 +327,4 @@ def token_round_trip(docs: DataFrame, vocabulary_path: str, end_id: int | None =
     spark = docs.sparkSession
     bounded_batches(spark, 2500, "8m")
     ids, at = written_at(id_table(docs, read_vocabulary(vocabulary_path), end_id), "ids")
-    manifest = write_ids(ids, fresh_dir(spark, "token-files"))
-    drop_dir(spark, at)
-    return read_ids(manifest)
+    return read_ids(write_ids(ids, fresh_dir(spark, "token-files"), at))
