@@ -3,35 +3,42 @@
 A document is the set of its distinct word n-grams; documents with equal sets form a class, and
 classes join.  Jaccard distance is a metric on sets.
 
-* Pivots.  The first level takes the singleton sets as pivots: a class is nearer to the pivots that
-  it contains than to any other, ties are broken by one global order of n-grams (rarest first, from
-  a count sketch of the whole corpus), and its first pivot is its Voronoi region.
-* Windows.  Classes within the threshold miss at most ``n - ceil(t n)`` of each other's n-grams, so by
-  the triangle inequality a partner's region is among a class's first ``n - ceil(t n) + 1`` pivots:
+* Pivots of the first level.  Texts that share nothing are all at distance 1 from one another, so
+  among drawn pivots nearly every text would lie in every window.  The first level
+  therefore takes the singleton sets as pivots, under one global order of n-grams (rarest first,
+  from a count sketch of the whole corpus): a class lies in the region of the first n-gram that it holds.
+* Windows.  Classes within the threshold miss at most ``n - ceil(t n)`` of each other's n-grams, so
+  a partner's region is among a class's first ``n - ceil(t n) + 1`` pivots:
   there the class is replicated.  Every pair of partners meets in a region, with a bound on
-  sizes and positions that prunes most others.
+  sizes and positions that prunes most others.  Regions whose n-gram is frequent are dealt over
+  runs, each with a leader, and the leaders join.
 * Recursion.  A region first joins all its classes to one representative (by linear work, however
-  large it is).  Regions that links have not made one component then join recursively: pivots
-  are drawn from their members, members go to the nearest pivot and to every pivot within
-  ``d(nearest) + 2 (1 - t)``, and cells join until they are small.  Distances there are those of
+  large it is).  Regions that links have not made one component are then split by rounds, each
+  a few joins of DataFrames: a region draws pivots from its members, a member goes to the
+  nearest pivot and, by the triangle inequality, to every pivot within ``d(nearest) + 2 (1 - t)``.  Regions of
+  few members, or that do not shrink, are joined exactly, in blocks of bounded size.  Distances there are those of
   hashed count vectors, under which no two sets are farther apart than their Jaccard distance.
 * Exactness.  Pairs that pass are verified on their whole sets; pairs inside a component found so
-  far are not needed for components, all others are kept.
+  far are not needed for components, all others are kept.  Class names are 64-bit digests; names
+  that two sets share are found by a second digest, and those classes take it as their name.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import bounded_batches, without, written
+from .store import bounded_batches, shares_of, spread, without, written
 
 SKETCH_BITS, CELL_BITS, SMALL = 18, 9, 48
-CELLS = 1 << CELL_BITS
+CELLS, FULL = 1 << CELL_BITS, 255
+#: Members of a region that are joined as they are, and rows of a block of a larger one.
+JOINED, BLOCK, RUN = 256, 1024, 4096
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -67,9 +74,25 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(out)
 
 
-def set_id(s: np.ndarray) -> int:
-    """64-bit name of a set."""
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_ids(s: np.ndarray) -> tuple[int, int]:
+    """Two independent 64-bit names of a set."""
+    digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+
+class Names:
+    """Names of classes: the first digest (its lowest ``bits``), or the second where sets share the first."""
+
+    def __init__(self, shared: frozenset = frozenset(), bits: int = 64):
+        self.shared, self.mask = shared, (1 << (bits - 1)) - 1
+
+    def first(self, digest: int) -> int:
+        return digest if self.mask == (1 << 63) - 1 else digest & self.mask
+
+    def __call__(self, s: np.ndarray) -> int:
+        one, two = set_ids(s)
+        one = self.first(one)
+        return two if one in self.shared else one
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
@@ -78,29 +101,32 @@ def prefix_length(n: int, num: int, den: int) -> int:
 
 
 def cells_of(s: np.ndarray) -> np.ndarray:
-    """Counts of a set's members by hash cell."""
-    return np.bincount((s >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=CELLS).astype(np.uint32)
+    """Counts of a set's members by hash cell, up to ``FULL``."""
+    return np.minimum(np.bincount((s >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=CELLS), FULL).astype(np.uint8)
 
 
 def _bucket(s: np.ndarray) -> np.ndarray:
     return ((s * _A) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def scan(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
-    """One row per document (``doc_id``, ``n``, ``sid``), stored, and the sketch's levels."""
+def scan(docs: DataFrame, words: int, bits: int = 64) -> tuple[DataFrame, np.ndarray]:
+    """One row per document (``doc_id``, ``n``, ``sid``, ``other``: its second digest), stored, and the
+    sketch's levels."""
     share = 1 << (SKETCH_BITS - 4)
 
     def run(batches):
         import pyarrow as pa
 
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-        names = ["doc_id", "n", "sid", "part", "counts"]
+        names, name = ["doc_id", "n", "sid", "other", "part", "counts"], Names(bits=bits)
         for batch in batches:
-            n, sid, held, size = [], [], [], 0
+            n, sid, other, held, size = [], [], [], [], 0
             for text in batch.column(1).to_pylist():
                 s = shingles(text, words)
+                one, two = set_ids(s)
                 n.append(len(s))
-                sid.append(set_id(s))
+                sid.append(name.first(one))
+                other.append(two)
                 held.append(s)
                 size += len(s)
                 if size > 500_000:
@@ -109,12 +135,12 @@ def scan(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
             if size:
                 sketch += np.bincount(_bucket(np.concatenate(held)), minlength=len(sketch))
             k = len(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(sid, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(sid, pa.int64()), pa.array(other, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
         parts = [sketch[i:i + share].astype("<i8").tobytes() for i in range(0, len(sketch), share)]
         k = len(parts)
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.array(range(k), pa.int32()), pa.array(parts, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(range(k), pa.int32()), pa.array(parts, pa.binary())], names)
 
-    both = written(docs.mapInArrow(run, "doc_id long, n int, sid long, part int, counts binary"), "sets")
+    both = written(docs.mapInArrow(run, "doc_id long, n int, sid long, other long, part int, counts binary"), "sets")
 
     def add(table):
         import pyarrow as pa
@@ -126,38 +152,62 @@ def scan(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
     some = parts.groupBy("part", "some").applyInArrow(add, "part int, counts binary")
     total = some.groupBy("part").applyInArrow(add, "part int, counts binary").collect()  # the sketch: fixed size
     counts = np.concatenate([np.frombuffer(bytes(r.counts), "<i8") for r in sorted(total)]) if total else np.zeros(1 << SKETCH_BITS, np.int64)
-    return both.filter(F.col("part").isNull()).select("doc_id", "n", "sid"), np.log2(counts + 1).astype(np.uint8)
+    return both.filter(F.col("part").isNull()).select("doc_id", "n", "sid", "other"), np.log2(counts + 1).astype(np.uint8)
+
 
+def named_rows(rows: DataFrame, bits: int = 64, limit: int = 100_000) -> tuple[DataFrame, Names]:
+    """Rows with the name of their class as ``sid``, and the naming.
 
-def regions(docs: DataFrame, words: int, num: int, den: int, levels: np.ndarray) -> DataFrame:
-    """Each class in all its regions: ``key``, ``sid``, ``n``, ``pos``."""
+    Names that several sets share are few (of ten billion sets some three pairs), which is checked.
+    """
+    pairs = rows.filter("n > 0").groupBy("sid").agg(F.min("other").alias("lo"), F.max("other").alias("hi")).filter("lo <> hi")
+    shared = [r.sid for r in pairs.select("sid").limit(limit + 1).collect()]
+    if len(shared) > limit:
+        raise ValueError("too many sets share a name")
+    if not shared:
+        return rows.drop("other"), Names(bits=bits)
+    apart = rows.withColumn("sid", F.when(F.col("sid").isin(shared), F.col("other")).otherwise(F.col("sid")))
+    if apart.filter("n > 0").groupBy("sid").agg(F.min("other").alias("lo"), F.max("other").alias("hi")).filter("lo <> hi").limit(1).count():
+        raise ValueError("sets share both names")
+    return written(apart.drop("other"), "named-sets"), Names(frozenset(shared), bits)
+
+
+def regions(docs: DataFrame, words: int, num: int, den: int, levels: np.ndarray, name: Names, hot: int) -> DataFrame:
+    """Each class in all its regions: ``key``, ``run``, ``sid``, ``n``, ``pos``.
+
+    ``run`` is -1; regions whose n-gram occurs in more than ``hot`` documents are dealt over runs from 0.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(levels)  # fixed size
+    shares, bar = shares_of(docs.sparkSession), int(np.log2(hot + 1)) + 1
 
     def run(batches):
         import pyarrow as pa
 
         level, seen = shared.value.astype(np.uint64) << np.uint64(58), set()
         for batch in batches:
-            cols: tuple[list, ...] = ([], [], [], [])
+            cols: tuple[list, ...] = ([], [], [], [], [])
             size = 0
             for text in batch.column(1).to_pylist():
                 s = shingles(text, words)
-                if not len(s) or (sid := set_id(s)) in seen:
+                if not len(s) or (sid := name(s)) in seen:
                     continue
+                if len(seen) > 2_000_000:
+                    seen.clear()
                 seen.add(sid)
                 p = prefix_length(len(s), num, den)
                 order = level[_bucket(s)] | (s >> np.uint64(6))
                 first = np.sort(np.partition(order, p - 1)[:p] if p < len(order) else order)
-                for c, x in zip(cols, (first.view(np.int64), np.full(p, sid, np.int64), np.full(p, len(s), np.int32), np.arange(p, dtype=np.int32)), strict=True):
+                run = np.where(first >> np.uint64(58) >= bar, sid % shares, -1).astype(np.int32)
+                for c, x in zip(cols, (first.view(np.int64), run, np.full(p, sid, np.int64), np.full(p, len(s), np.int32), np.arange(p, dtype=np.int32)), strict=True):
                     c.append(x)
                 size += p
                 if size > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["key", "sid", "n", "pos"])
-                    cols, size = ([], [], [], []), 0
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["key", "run", "sid", "n", "pos"])
+                    cols, size = ([], [], [], [], []), 0
             if size:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["key", "sid", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["key", "run", "sid", "n", "pos"])
 
-    return docs.mapInArrow(run, "key long, sid long, n int, pos int")
+    return docs.mapInArrow(run, "key long, run int, sid long, n int, pos int")
 
 
 def may_link(n1, n2, p1, p2, num: int, den: int):
@@ -172,7 +222,11 @@ def _may(x: tuple, y: tuple, num: int, den: int) -> bool:
 
 
 class _Region:
-    """Joins a region's rows, which come one by one, to its first; holds at most ``SMALL`` of them."""
+    """Joins a region's rows, which come one by one, to its first; holds at most ``SMALL`` of them.
+
+    Of a region that is dealt over runs this sees one run: its first row is a leader, and all its
+    rows are members.
+    """
 
     def __init__(self, num: int, den: int):
         self.num, self.den, self.key, self.rows, self.large = num, den, None, [], False
@@ -184,15 +238,18 @@ class _Region:
             if len(self.recent) > 200_000:
                 self.recent.clear()
             self.recent.add((x[0], y[0]))
-            self.out.append((0, self.key, x[0], y[0], 0, 0))
+            self.out.append((0, self.key[0], x[0], y[0], 0, 0))
 
-    def _member(self, x: tuple) -> None:
-        self.out.append((1, self.key, x[0], x[0], x[1], x[2]))
+    def _member(self, x: tuple, kind: int = 1) -> None:
+        self.out.append((kind, self.key[0], x[0], x[0], x[1], x[2]))
 
-    def add(self, key: int, row: tuple) -> None:
+    def add(self, key: tuple, row: tuple) -> None:
         if key != self.key:
             self.close()
-            self.key, self.rows, self.large, self.last = key, [row], False, row[0]
+            self.key, self.rows, self.large, self.last = key, [row], key[1] >= 0, row[0]
+            if self.large:
+                self._member(row, 2)
+                self._member(row)
             return
         if row[0] == self.last:
             return  # the same class from another task
@@ -219,7 +276,8 @@ class _Region:
 
 def first_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
     """Joins every region's classes to its first one.  ``kind`` 0: a pair to verify; 1: a member that
-    may have other partners in its region, for the recursion.  Regions stream by; none is held."""
+    may have other partners in its region, for the recursion; 2: the leader of a run.  Regions
+    stream by; none is held."""
     def run(batches):
         import pyarrow as pa
 
@@ -232,46 +290,72 @@ def first_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["kind", "key", "a", "b", "n", "pos"])
 
         for batch in batches:
-            key, sid, n, pos = (c.to_numpy() for c in batch.columns)
-            # only rows that share a key with a neighbour (or with the open region) matter
+            key, part, sid, n, pos = (c.to_numpy() for c in batch.columns)
+            # only rows that share a key with a neighbour (or with the open region) or lie in a run matter
             same = np.flatnonzero(key[1:] == key[:-1])
-            use = np.zeros(len(key), bool)
+            use = part >= 0
             use[same] = use[same + 1] = True
             if len(key):
                 use[-1] = True
                 if region.key is not None:
-                    use |= key == region.key
-            for k, row in zip(key[use].tolist(), zip(sid[use].tolist(), n[use].tolist(), pos[use].tolist(), strict=True), strict=True):
-                region.add(k, row)
+                    use |= key == region.key[0]
+            for k, p, row in zip(key[use].tolist(), part[use].tolist(), zip(sid[use].tolist(), n[use].tolist(), pos[use].tolist(), strict=True), strict=True):
+                region.add((k, p), row)
             yield taken()
         region.close()
         yield taken()
 
-    return rows.repartition("key").sortWithinPartitions("key", "pos", "sid").mapInArrow(run, "kind int, key long, a long, b long, n int, pos int")
+    return rows.repartition("key", "run").sortWithinPartitions("key", "run", "pos", "sid").mapInArrow(run, "kind int, key long, a long, b long, n int, pos int")
+
 
+def leader_pairs(leaders: DataFrame, num: int, den: int) -> DataFrame:
+    """Leaders of a region's runs (as many as shuffle partitions at most) joined to the first of them."""
+    first = leaders.groupBy("key").agg(F.min(F.struct("pos", "a", "n")).alias("f"))
+    n, f = F.col("n"), F.col("f")
+    need = F.ceil(num * (n + f.n) / F.lit(num + den))
+    return leaders.join(first, "key").filter((F.col("a") != f.a) & (F.least(n - F.col("pos"), f.n - f.pos) >= need)).select(F.col("f.a").alias("a"), F.col("a").alias("b"))
 
-def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """``members`` (the whole set) and ``cells`` of the classes in ``wanted`` (``sid``, ``whole``: whether
-    the set itself is needed), one row each, from one document of each class."""
-    ids = wanted.join(classes.filter("rep IS NOT NULL"), "sid").groupBy(F.col("rep").alias("_id")).agg(F.max("whole").alias("_whole"))
+
+def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int, name: Names) -> DataFrame:
+    """``members`` (the whole set) and ``cells`` of the classes in ``wanted`` (``sid``), one row each, from one
+    document of each class; stored."""
+    ids = written(wanted.join(classes.filter("rep IS NOT NULL"), "sid").select(F.col("rep").alias("_id")).distinct(), "wanted-ids")
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            found = []
-            for text, whole in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            found, size = [], 0
+            for text in batch.column(0).to_pylist():
                 s = shingles(text, words)
                 if len(s):
-                    found.append((set_id(s), s.tobytes() if whole else None, cells_of(s).tobytes()))
-            a, b, c = zip(*found, strict=True) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.binary()), pa.array(c, pa.binary())], ["sid", "members", "cells"])
+                    found.append((name(s), s.tobytes(), cells_of(s).tobytes()))
+                    size += len(s)
+                if size > 500_000:
+                    yield _set_batch(pa, found)
+                    found, size = [], 0
+            yield _set_batch(pa, found)
+
+    near = F.broadcast(ids) if ids.count() <= 1_000_000 else ids  # rows of 8 bytes; beyond that a shuffled join
+    rows = docs.join(near, docs.doc_id == F.col("_id"), "left_semi").select("text").mapInArrow(run, "sid long, members binary, cells binary")
+    found = written(rows, "class-sets")
+    # rows that repeat an id give their class more than once, or classes not asked for, which join with nothing
+    if found.select("sid").groupBy("sid").count().filter("count > 1").limit(1).count():
+        found = written(found.groupBy("sid").agg(F.max("members").alias("members"), F.max("cells").alias("cells")), "class-sets")
+    return found
+
+
+def _set_batch(pa, found: list[tuple]):
+    a, b, c = zip(*found, strict=True) if found else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.binary()), pa.array(c, pa.binary())], ["sid", "members", "cells"])
 
-    ids = written(ids, "wanted-ids")
-    near = F.broadcast(ids) if ids.count() <= 1_000_000 else ids  # rows of 9 bytes; beyond that a shuffled join
-    rows = docs.join(near, docs.doc_id == F.col("_id")).select("text", "_whole").mapInArrow(run, "sid long, members binary, cells binary")
-    # rows that repeat an id may have other texts: only the classes asked for stay
-    return rows.join(wanted.select("sid"), "sid", "left_semi").groupBy("sid").agg(F.max("members").alias("members"), F.max("cells").alias("cells"))
+
+def shared_shares(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the smaller and of the larger counts of two vectors, row by row; where a count is full, (1, 1):
+    nothing is known."""
+    low, high = np.minimum(x, y).sum(axis=-1, dtype=np.int64), np.maximum(x, y).sum(axis=-1, dtype=np.int64)
+    full = (x == FULL).any(axis=-1) | (y == FULL).any(axis=-1)
+    return np.where(full, 1, low), np.where(full, 1, high)
 
 
 def close_pairs(pairs: DataFrame, cells: DataFrame, num: int, den: int) -> DataFrame:
@@ -280,9 +364,9 @@ def close_pairs(pairs: DataFrame, cells: DataFrame, num: int, den: int) -> DataF
         import pyarrow as pa
 
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, CELLS) for k in (2, 3))
-            keep = den * np.minimum(x, y).sum(axis=1, dtype=np.int64) >= num * np.maximum(x, y).sum(axis=1, dtype=np.int64)
-            mask = pa.array(keep)
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, CELLS) for k in (2, 3))
+            low, high = shared_shares(x, y)
+            mask = pa.array(den * low >= num * high)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
     one, two = cells.select(F.col("sid").alias("b"), F.col("cells").alias("y")), cells.select(F.col("sid").alias("a"), F.col("cells").alias("x"))
@@ -311,61 +395,139 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return pairs.join(one, "b").join(two, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def distances(cells: np.ndarray, to: np.ndarray) -> np.ndarray:
-    """Jaccard distances of count vectors: at most those of the sets they come from."""
-    low = np.minimum(cells, to).sum(axis=1, dtype=np.int64)
-    high = np.maximum(cells, to).sum(axis=1, dtype=np.int64)
-    return 1 - low / np.maximum(high, 1)
+def cross_pairs(one: dict, two: dict, num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs (smaller name first) of a row of each table that lie in different components and pass all bounds."""
+    out = []
+    order = np.argsort(two["n"], kind="stable")
+    sid, n, pos, comp, cells = (two[c][order] for c in ("sid", "n", "pos", "comp", "cells"))
+    for s, m, p, c, x in zip(one["sid"].tolist(), one["n"].tolist(), one["pos"].tolist(), one["comp"].tolist(), one["cells"], strict=True):
+        # partners are at least num / den and at most den / num times as large
+        a, b = np.searchsorted(n, -(-num * m // den)), np.searchsorted(n, den * m // num, side="right")
+        y = a + np.flatnonzero((comp[a:b] != c) & may_link(m, n[a:b], p, pos[a:b], num, den))
+        for k in range(0, len(y), 4096):
+            some = y[k:k + 4096]
+            low, high = shared_shares(cells[some], x)
+            out += [(min(s, t), max(s, t)) for t in sid[some[den * low >= num * high]].tolist()]
+    return out
 
 
-def region_pairs(comp: np.ndarray, n: np.ndarray, pos: np.ndarray, cells: np.ndarray, num: int, den: int, seed: int = 5) -> set[tuple[int, int]]:
-    """Pairs of members of different components that pass every exact bound.
+MEMBER = "sid long, n int, pos int, comp long, cells binary"
 
-    Works by Voronoi cells: members go to the nearest pivot and to all pivots within ``d + 2 eps``;
-    a cell that is small, of one component, or hardly smaller than its parent is joined by blocks.
-    """
-    eps, rng, out = 1 - num / den + 1e-9, np.random.default_rng(seed), set()
-    todo = [np.arange(len(n))]
-    while todo:
-        rows = todo.pop()
-        if len(np.unique(comp[rows])) < 2:
-            continue
-        if len(rows) > SMALL:
-            pivots = rng.choice(rows, 8, replace=False)
-            d = np.stack([distances(cells[rows], cells[p]) for p in pivots], axis=1)
-            cell = d <= (d.min(axis=1) + 2 * eps)[:, None]
-            parts = [rows[c] for c in cell.T]
-            if max(map(len, parts)) < 0.7 * len(rows):
-                todo += parts
-                continue
-        order = rows[np.argsort(n[rows], kind="stable")]
-        for i, x in enumerate(order[:-1]):
-            # sizes of partners are at most den / num times as large
-            end = np.searchsorted(n[order], den * n[x] // num, side="right")
-            y = order[i + 1:end]
-            y = y[(comp[y] != comp[x]) & may_link(n[x], n[y], pos[x], pos[y], num, den)] if len(y) else y
-            if len(y):
-                y = y[distances(cells[y], cells[x]) <= eps]
-                out.update((min(int(x), int(v)), max(int(x), int(v))) for v in y)
+
+def _table(table) -> dict:
+    out = {c: table.column(c).to_numpy().astype(np.int64) for c in ("sid", "n", "pos", "comp")}
+    out["cells"] = np.frombuffer(b"".join(table.column("cells").to_pylist()), np.uint8).reshape(-1, CELLS)
     return out
 
 
-def second_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs across components in regions that are not of one component.
+def _pair_table(pa, pairs: list[tuple[int, int]]):
+    pairs = sorted(set(pairs))
+    return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
-    ``members``: ``key``, ``sid``, ``n``, ``pos``, ``comp``, ``cells``.
+
+def joined_regions(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs across components within regions of at most ``JOINED`` members each."""
+    def run(table):
+        import pyarrow as pa
+
+        rows = _table(table)
+        return _pair_table(pa, cross_pairs(rows, rows, num, den))
+
+    return members.select("key", *(x.split()[0] for x in MEMBER.split(", "))).groupBy("key").applyInArrow(run, "a long, b long")
+
+
+def split_regions(members: DataFrame, num: int, den: int, depth: int, pivots: int = 8) -> DataFrame:
+    """Voronoi cells of each region: rows with ``parent`` (the region) and ``key`` (the cell).
+
+    A member goes to the nearest of the pivots that its region draws, and by the triangle inequality
+    to all within twice the threshold's distance of that.
     """
+    draw = Window.partitionBy("key").orderBy(F.xxhash64("sid", F.lit(depth)), "sid")
+    drawn = members.select("key", "sid", "cells", F.row_number().over(draw).alias("k")).filter(F.col("k") <= pivots)
+    packed = drawn.groupBy("key").agg(F.collect_list("cells").alias("pivots"))
+    names = [x.split()[0] for x in MEMBER.split(", ")]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cells = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, CELLS)
+            keys = batch.column(0).to_numpy()
+            row, cell = [], []
+            for i, drawn in enumerate(batch.column(6).to_pylist()):
+                low, high = shared_shares(np.frombuffer(b"".join(drawn), np.uint8).reshape(-1, CELLS), cells[i])
+                # a full count tells nothing: the member goes everywhere
+                far = np.where((low == 1) & (high == 1), 0.0, 1 - low / np.maximum(high, 1))
+                to = np.flatnonzero(far <= far.min() + 2 * (1 - num / den) + 1e-9)
+                row += [i] * len(to)
+                cell += [xxhash.xxh3_64_intdigest(int(keys[i]).to_bytes(8, "little", signed=True) + int(k).to_bytes(2, "little")) for k in to]
+            take = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(np.array(cell, np.uint64).view(np.int64)), *(batch.column(k).take(take) for k in range(1, 6))], ["parent", "key", *names])
+
+    met = spread(members.select("key", *names), packed, ["key"], "sid").select("key", *names, "pivots")
+    return met.mapInArrow(run, "parent long, key long, " + MEMBER)
+
+
+def block_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs across components in regions that do not shrink, by blocks of bounded size.
+
+    Members of a region's largest component meet all others but not each other, so work grows with
+    the rest of the region; no task gets more than a block of each side.
+    """
+    each = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+    sizes = each.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("inner"), F.sum("c").alias("all"))
+    sizes = sizes.select("key", "main", F.ceil((F.col("all") - F.col("inner")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("inner") / RUN).cast("int").alias("runs"))
+    rows = spread(members, sizes, ["key"], "sid")
+    inner, lot = F.col("comp") == F.col("main"), F.xxhash64("sid")
+    own = F.when(inner, F.pmod(lot, F.col("runs"))).otherwise(F.pmod(lot, F.col("blocks"))).cast("int")
+    place = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+    blocks, runs = F.sequence(F.lit(0), F.col("blocks") - 1), F.sequence(F.lit(0), F.col("runs") - 1)
+    rows = rows.withColumn("_own", own)
+    places = F.when(inner, F.transform(blocks, lambda b: place(0, b, F.col("_own")))).otherwise(
+        F.concat(F.transform(runs, lambda r: place(0, F.col("_own"), r)), F.transform(blocks, lambda b: place(1, F.least(b, F.col("_own")), F.greatest(b, F.col("_own"))))))
+    dealt = rows.withColumn("at", F.explode(places)).select("key", "at.*", inner.alias("inner"), *(x.split()[0] for x in MEMBER.split(", ")))
+
     def run(table):
         import pyarrow as pa
 
-        table = table.sort_by("sid")
-        sid, n, pos, comp = (table.column(c).to_numpy() for c in ("sid", "n", "pos", "comp"))
-        cells = np.stack([np.frombuffer(x, np.uint32) for x in table.column("cells").to_pylist()])
-        got = sorted(region_pairs(comp, n.astype(np.int64), pos.astype(np.int64), cells, num, den))
-        a, b = (sid[[p[k] for p in got]] for k in (0, 1)) if got else (np.zeros(0, np.int64),) * 2
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        rows = _table(table)
+        side = table.column("inner").to_numpy()
+        part = lambda mask: {c: x[mask] for c, x in rows.items()}
+        pairs = cross_pairs(part(~side), part(side), num, den) if side.any() else cross_pairs(rows, rows, num, den)
+        return _pair_table(pa, pairs)
 
-    return members.groupBy("key").applyInArrow(run, "a long, b long")
+    return dealt.groupBy("key", "kind", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def region_pairs(members: DataFrame, num: int, den: int, joined: int = JOINED) -> list[DataFrame]:
+    """Pairs across components in regions that links have not made one component, by rounds.
+
+    ``members``: ``key``, the columns of ``MEMBER`` and the ``size`` of the region, stored; a round splits
+    the regions of more than ``joined`` members, and every region loses three tenths of its members
+    by a round, or is joined by blocks.
+    """
+    out, rows, depth = [], members, 0
+    while True:
+        out.append(written(joined_regions(rows.filter(F.col("size") <= joined), num, den), "region-pairs"))
+        large = rows.filter(F.col("size") > joined)
+        if large.limit(1).count() == 0:
+            return out
+        cells = written(split_regions(large, num, den, depth), "voronoi")
+        most = cells.groupBy("parent", "key").agg(F.count(F.lit(1)).alias("c")).groupBy("parent").agg(F.max("c").alias("most"))
+        before = large.groupBy("key").agg(F.first("size").alias("before"))
+        stuck = written(most.join(before, most.parent == before.key).filter(F.col("most") >= 0.7 * F.col("before")).select("key"), "stuck-regions")
+        out.append(written(block_pairs(spread(large, stuck, ["key"], "sid").drop("size"), num, den), "block-pairs"))
+        left = cells.join(stuck.select(F.col("key").alias("parent")), "parent", "left_anti").drop("parent")
+        rows = written(open_regions(left), "open-regions")
+        depth += 1
+
+
+def open_regions(members: DataFrame) -> DataFrame:
+    """Members of regions of more than one component, with the region's ``size``."""
+    state = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    return spread(members, state.filter("lo <> hi").select("key", "size"), ["key"], "sid")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -377,84 +539,94 @@ def components(edges: DataFrame) -> DataFrame:
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     while True:
-        near = both.join(labels, both.b == labels.id).groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
+        # a vertex of many edges, or the label of a giant component, is one key: its rows are dealt over runs
+        near = spread(both, labels.select(F.col("id").alias("b"), "label"), ["b"], "a").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         stepped = written(labels.join(near, "id").select("id", F.col("label").alias("was"), F.least("label", "near").alias("label")), "labels")
         target = stepped.select(F.col("id").alias("label"), F.col("label").alias("next"))
-        jumped = written(stepped.join(target, "label").select("id", "was", F.col("next").alias("label")), "labels")
+        jumped = written(spread(stepped, target, ["label"], "id").select("id", "was", F.col("next").alias("label")), "labels")
         labels = jumped.select("id", "label")
         if jumped.filter("label <> was").limit(1).count() == 0:
             return labels
 
 
-def similar_components(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, runs: int = 32) -> DataFrame:
+def similar_components(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, bits: int = 64, joined: int = JOINED, hot: int | None = None) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row of ``docs``.
 
     Documents link when ``den * |intersection| >= num * |union|``; the component is named by the
     smallest doc_id in it.  Null text is empty; empty sets link with nothing and are components of
     their own.  Rows that repeat a doc_id are one vertex of the link graph.  Null doc_ids come
     after all others and link with nothing but equal sets.  Other columns are ignored; an empty
-    table gives no rows.
+    table gives no rows.  ``bits`` are those of a class's first name, regions of at most ``joined`` members
+    are joined as they are, and those of n-grams that more than ``hot`` documents hold (by default a
+    share of all that depends on the partitions) are dealt over runs.
     """
-    rows, classes, links = linked(docs, words, num, den)
-    name = classes.filter("rep IS NOT NULL")
-    ends = (links.join(name.select(F.col("sid").alias("a"), F.col("rep").alias("ra")), "a")
-            .join(name.select(F.col("sid").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    rows, classes, links, _ = linked(docs, words, num, den, bits, joined, hot)
+    reps = classes.filter("rep IS NOT NULL")
+    ends = (links.join(reps.select(F.col("sid").alias("a"), F.col("rep").alias("ra")), "a")
+            .join(reps.select(F.col("sid").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    # an id whose rows have different sets links their classes
+    some = rows.filter("n > 0 AND doc_id IS NOT NULL")
+    several = written(some.groupBy("doc_id").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo <> hi").select("doc_id"), "repeated-ids")
+    if several.limit(1).count():
+        of = some.join(several, "doc_id").select("doc_id", "sid").distinct().join(reps, "sid").select("doc_id", "rep")
+        ends = ends.unionByName(of.join(of.groupBy("doc_id").agg(F.min("rep").alias("b")), "doc_id").select(F.col("rep").alias("a"), "b").filter("a <> b"))
     by_rep = components(ends)
     by_class = classes.join(by_rep, classes.rep == by_rep.id, "left").select("sid", F.coalesce("label", "rep").alias("component"))
-    return to_rows(rows, by_class, runs).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return to_rows(rows, by_class).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def linked(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (``doc_id``, ``n``, ``sid``), classes (``sid``, ``rep``: the smallest id) and links of classes
-    (``a``, ``b``) that make their components."""
+def linked(docs: DataFrame, words: int, num: int, den: int, bits: int = 64, joined: int = JOINED, hot: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame, Names]:
+    """Rows (``doc_id``, ``n``, ``sid``), classes (``sid``, ``rep``: the smallest id), links of classes
+    (``a``, ``b``) that make their components, and the naming of classes."""
     bounded_batches(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows, levels = scan(base, words)
+    scanned, levels = scan(base, words, bits)
+    rows, name = named_rows(scanned, bits)
     classes = written(rows.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep")), "classes")
-    met = written(first_pairs(regions(base, words, num, den, levels), num, den), "regions")
-    pairs = met.filter("kind = 0").select("a", "b").distinct()
+    hot = hot or max(1024, rows.count() // (4 * shares_of(docs.sparkSession)))
+    met = written(first_pairs(regions(base, words, num, den, levels, name, hot), num, den), "regions")
+    pairs = met.filter("kind = 0").select("a", "b").unionByName(leader_pairs(met.filter("kind = 2").drop("b"), num, den)).distinct()
     members = met.filter("kind = 1").select("key", F.col("a").alias("sid"), "n", "pos").distinct()
     pairs, members = written(pairs, "pairs"), written(members, "members")
-    ends = lambda p, whole: p.select(F.explode(F.array("a", "b")).alias("sid"), F.lit(whole).alias("whole"))
-    wanted = written(ends(pairs, False).unionByName(members.select("sid", F.lit(False).alias("whole"))).distinct(), "wanted")
-    cells = written(sets_of(base, classes, wanted, words).select("sid", "cells"), "cells")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("sid"))
+    sets = sets_of(base, classes, written(ends.unionByName(members.select("sid")).distinct(), "wanted"), words, name)
+    cells = sets.select("sid", "cells")
     near = written(close_pairs(pairs, cells, num, den), "close-pairs")
-    links = written(verified(near, sets_of(base, classes, written(ends(near, True).distinct(), "ends"), words), num, den), "links")
+    links = written(verified(near, sets, num, den), "links")
 
     labels = components(links)
     placed = members.join(labels.select(F.col("id").alias("sid"), F.col("label").alias("found")), "sid", "left").select("key", "sid", "n", "pos", F.coalesce("found", "sid").alias("comp"))
     placed = written(placed, "placed")
-    open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    left = placed.join(open_keys, "key", "left_semi").join(cells, "sid")
-    more = written(second_pairs(left, num, den).distinct().join(pairs, ["a", "b"], "left_anti"), "more-pairs")
-    late = written(ends(more, True).distinct(), "late")
-    return rows, classes, links.unionByName(written(verified(more, sets_of(base, classes, late, words), num, den), "more-links"))
+    left = written(open_regions(placed).join(cells, "sid"), "open-regions")
+    more = reduce(DataFrame.unionByName, region_pairs(left, num, den, joined)).distinct()
+    more = written(more.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "more-pairs")
+    return rows, classes, links.unionByName(written(verified(more, sets, num, den), "more-links")), name
 
 
-def to_rows(rows: DataFrame, by_class: DataFrame, runs: int) -> DataFrame:
+def to_rows(rows: DataFrame, by_class: DataFrame) -> DataFrame:
     """``rows`` with the ``component`` of their class (null: no shingles).
 
     Rows of a class come in shares of bounded size.
     """
-    keyed = rows.withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(runs)))
+    keyed = rows.withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(shares_of(rows.sparkSession))))
     shares = keyed.filter("n > 0").select("sid", "run").distinct().join(by_class, "sid").select(F.col("sid").alias("_s"), F.col("run").alias("_r"), "component")
     return keyed.join(shares, (F.col("sid") == F.col("_s")) & (F.col("run") == F.col("_r")) & (F.col("n") > 0), "left").select("doc_id", "n", "sid", "component")
 
 
-def distinct_documents(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, runs: int = 32) -> DataFrame:
+def distinct_documents(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """The rows of ``docs`` with the smallest doc_id of their component, unchanged.
 
     Components are of shingle sets here: rows that repeat a doc_id, or have none, stay or go by their
     own text.  Null ids link with nothing but equal sets.  Only rows of ids of which some rows stay
     and some go are shingled again.
     """
-    rows, classes, links = linked(docs, words, num, den)
+    rows, classes, links, name = linked(docs, words, num, den)
     named = classes.filter("rep IS NOT NULL").select("sid")
     ends = links.join(named.select(F.col("sid").alias("a")), "a", "left_semi").join(named.select(F.col("sid").alias("b")), "b", "left_semi")
     labels = components(ends.select("a", "b"))
     placed = classes.join(labels, classes.sid == labels.id, "left").select("sid", "rep", F.coalesce("label", "sid").alias("label"))
     least = placed.groupBy("label").agg(F.min("rep").alias("component"))
-    fate = to_rows(rows, placed.join(least, "label").select("sid", "component"), runs)
+    fate = to_rows(rows, placed.join(least, "label").select("sid", "component"))
     goes = F.coalesce(F.col("component").isNotNull() & ~F.col("component").eqNullSafe(F.col("doc_id")), F.lit(False))
     fate = written(fate.select("doc_id", "sid", goes.alias("goes")).distinct(), "fate")
     ids = written(fate.groupBy("doc_id").agg(F.min("goes").alias("all"), F.max("goes").alias("any")).filter("any"), "ids")
@@ -467,7 +639,7 @@ def distinct_documents(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     def set_of(texts):
         import pandas as pd
 
-        return pd.Series([set_id(shingles(t, words)) for t in texts], dtype="int64")
+        return pd.Series([name(shingles(t, words)) for t in texts], dtype="int64")
 
     some = docs.join(mixed, docs.doc_id.eqNullSafe(F.col("_fw_id")), "left_semi").withColumn("_fw_sid", set_of(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     gone = fate.filter("goes").select("doc_id", F.col("sid").alias("_fw_sid"))

@@ -67,8 +67,9 @@ def recurring_lines(docs: DataFrame, text: str = "text", depth: int = 2, min_doc
 
     # constants of each position of a leaf, and the template that they leave of a line
     path = leaf_of(F.col("tokens"), depth)
-    places = known.select(*LINE, "docs", path.alias("path"), F.posexplode(F.split("tokens", " ")).alias("pos", "token"))
-    places = places.filter(F.col("token") != FIELD).select(*LINE, "docs", F.substring_index("path", " ", 1).cast("int").alias("n"), *names(PLACE, F.col("path"), F.col("pos"), F.col("token")))
+    placed = known.select(*LINE, "docs", F.substring_index(path, " ", 1).cast("int").alias("n"), *names(["p1", "p2"], path), F.posexplode(F.split("tokens", " ")).alias("pos", "token"))
+    place = (F.xxhash64(p, F.col("pos"), F.col("token")).alias(k) for p, k in zip(("p1", "p2"), PLACE, strict=True))
+    places = placed.filter(F.col("token") != FIELD).select(*LINE, "docs", "n", *place)
     constants = written(places.groupBy(*PLACE).agg(F.sum("docs").alias("all")).filter(F.col("all") >= min_docs).select(*PLACE), "constants")
     # all that a frequent line holds is constant
     kept = matched(places.filter(F.col("docs") < min_docs), constants, PLACE, "l1").unionByName(places.filter(F.col("docs") >= min_docs))

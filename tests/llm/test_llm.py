@@ -209,18 +209,6 @@ def test_jaccard_of_nothing(empty):
     assert jaccard.similar_components(empty).count() == 0
 
 
-def test_region_recursion_loses_no_pair():
-    rng = np.random.default_rng(2)
-    base = rng.integers(0, 2**63, 300).astype(np.uint64)
-    sets = [np.unique(np.where(rng.random(300) < rng.choice([0.02, 0.05, 0.3]), rng.integers(0, 2**63, 300).astype(np.uint64), base)) for _ in range(200)]
-    n = np.array([len(s) for s in sets])
-    got = jaccard.region_pairs(np.arange(200), n, np.zeros(200, np.int64), np.stack([jaccard.cells_of(s) for s in sets]), 85, 100)
-    for a, b in itertools.combinations(range(200), 2):
-        common = len(np.intersect1d(sets[a], sets[b]))
-        if 100 * common >= 85 * (n[a] + n[b] - common):
-            assert (a, b) in got
-
-
 def test_warc(spark, tmp_path):
     rows = [(3, "http://a/ü x", "<p>x</p>"), (1, None, "<p>x</p>"), (2, "u", None), (7, "u\nv", ""), (9, "z", "<b>é</b>" * 5000), (9, "z", "<b>é</b>" * 5000), (None, "n", "<p>x</p>")]
     pages = spark.createDataFrame([(*r, 1, "d") for r in rows], "page_id long, url string, html string, size int, digest string")
