@@ -32,6 +32,18 @@ def facts(documents: DataFrame, forms: DataFrame, fields: DataFrame, annotations
                     "field_confidence", F.struct("doc_id", "field_id", "annotation_id").alias("ord")))
 
 
+def point(rows: DataFrame, **keys) -> DataFrame:
+    """The row of a page, annotation or field by its keys; at most one, the first by id or name."""
+    for column, value in keys.items():
+        rows = rows.filter(F.col(column) == value)
+    return rows.limit(1)
+
+
+def form_named(forms: DataFrame, name: str) -> DataFrame:
+    """The forms of that name, however it is spelt."""
+    return forms.filter(normalize(F.col("name")) == normalize(F.lit(name)))
+
+
 def accepted(all_facts: DataFrame) -> DataFrame:
     """The headline relation: accepted links only."""
     return all_facts.filter(~F.col("rejected"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import similarity
 from ..functions.text import normalize
-from .corpus import APPROVED, trust_rank
+from .corpus import APPROVED, GEOMETRIC, accepted, facts, trust_rank
 
 EXACT, CONSENSUS, PATTERN, FUZZY, NONE = "EXACT_KEY", "CROSS_FORM_CONSENSUS", "DOMAIN_PATTERN", "FUZZY_SAME_FORM", "NEEDS_MAPPING"
 _TIERS = [EXACT, CONSENSUS, PATTERN, FUZZY, NONE]
@@ -147,6 +147,15 @@ def status(tier, confidence, t: Tunables = DEFAULTS):
     return F.when((tier == EXACT) & (confidence >= t.auto), "AUTO").when(confidence >= t.review, "NEEDS_REVIEW").otherwise("NEEDS_MAPPING")
 
 
+def index_from_documents(found: dict[str, DataFrame]) -> DataFrame:
+    """Facts of an analysis that is not stored: accepted links, all of them equally trusted.
+
+    Without a knowledge base nobody has reviewed anything, so there are no rejections either.
+    """
+    rows = facts(found["documents"], found["forms"], found["fields"], found["annotations"], found["links"])
+    return accepted(rows).withColumn("trust", F.lit(GEOMETRIC))
+
+
 def prefill(fields: DataFrame, rows: DataFrame, rejected: DataFrame | None = None, forms: DataFrame | None = None, t: Tunables = DEFAULTS, with_fuzzy: bool = True) -> DataFrame:
     """Best candidate, alternates and aliases for every field.
 
@@ -172,7 +181,7 @@ def prefill(fields: DataFrame, rows: DataFrame, rejected: DataFrame | None = Non
     nothing = F.struct(F.lit(0.0).alias("order"), F.lit(len(_TIERS)).cast("long").alias("rank"), F.lit(NONE).alias("tier"), F.lit(0.0).alias("confidence"), F.lit("").alias("variable"), F.lit("").alias("annotation_text"),
                        F.lit("").alias("annot_type"), F.lit("").alias("source"), F.array(F.lit("no field in the corpus reaches this label")).alias("evidence"))
     out = (keyed.join(grouped, ["form_key", "normalized_text", "domain"], "left").withColumn("best", F.coalesce(F.element_at("all", 1), nothing))
-           .withColumn("alternates", F.coalesce(F.slice("all", 2, 10), F.array().cast(grouped.schema["all"].dataType))).withColumn("status", status(F.col("best.tier"), F.col("best.confidence"), t)))
+           .withColumn("alternates", F.coalesce(F.slice("all", F.lit(2), F.greatest(F.size("all"), F.lit(1))), F.array().cast(grouped.schema["all"].dataType))).withColumn("status", status(F.col("best.tier"), F.col("best.confidence"), t)))
     other = aliases(rows).select("form_key", F.col("variable").alias("_v"), "labels")
     out = out.join(other, (out.form_key == other.form_key) & (out.best.variable == F.col("_v")) & (F.col("_v") != ""), "left").drop(other.form_key).drop("_v")
     lowered = F.filter("labels", lambda x: normalize(x, fold=False) != F.col("normalized_text"))

@@ -39,6 +39,14 @@ def house_style(annotations: DataFrame, placements: DataFrame) -> DataFrame:
     return out.withColumn("settled", settled())
 
 
+def style_of_corpus(annotations: DataFrame, links: DataFrame) -> DataFrame:
+    """House style of stored studies: every annotation, and the placement of accepted links."""
+    marks = annotations.withColumn("ord", F.struct("doc_id", "page", "ord"))
+    kinds = annotations.select("doc_id", "annotation_id", "annot_type")
+    placed = links.filter(~F.col("rejected") & F.col("relative_label").isNotNull()).join(kinds, ["doc_id", "annotation_id"])
+    return house_style(marks, placed.withColumn("ord", F.struct("doc_id", "page", "annotation_id")))
+
+
 def settled():
     """Whether a rule has enough samples that agree."""
     return (F.col("samples") >= MIN_SAMPLES) & (F.least("color_agreement", "font_agreement", "size_agreement") >= LOW_AGREEMENT)
@@ -54,7 +62,7 @@ def rule_for(wanted: DataFrame, style: DataFrame, column: str = "annot_type") ->
     names = [c for c in style.columns if c != "scope"]
     own = style.filter(F.col("scope") != ANY).select(F.col("scope").alias(column), F.struct(*names).alias("_own"))
     base = style.filter(F.col("scope") == ANY).select(F.struct(*names).alias("_base"))
-    # one row at most on the right
-    both = wanted.join(F.broadcast(own), column, "left").join(F.broadcast(base), F.lit(True), "left")
+    # one row per type, and one at most; the planner broadcasts them by their size
+    both = wanted.join(own, column, "left").join(base, F.lit(True), "left")
     use_own = (F.col("_own.samples") >= MIN_SAMPLES) | (F.coalesce(F.col("_base.samples"), F.lit(0)) == 0)
     return both.withColumn("rule", F.when(F.coalesce(use_own & F.col("_own").isNotNull(), F.lit(False)), F.col("_own")).otherwise(F.col("_base"))).drop("_own", "_base")

@@ -57,7 +57,6 @@ def queries():
     key = ["form_key", "normalized_text", "confidence", "variable", "source"]
     tiers = ["form_key", "normalized_text", "best.tier", "best.variable", "best.confidence", "status"]
     return {
-        "facts_join": lambda s, d: _acc(s, d).select("file_name", "form_name", "domain", "field_key", "field_text", "variable", "link_score", "trust", "ord"),
         "rejected_suggestions": lambda s, d: corpus.rejected_suggestions(facts(s, d)),
         "kb_stats": kb_stats,
         "field_map": lambda s, d: corpus.field_map(_acc(s, d)),

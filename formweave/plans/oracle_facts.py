@@ -55,7 +55,6 @@ judged AS (
 best AS (SELECT * FROM judged QUALIFY row_number() OVER (PARTITION BY form_key, normalized_text ORDER BY confidence DESC, tier_rank) = 1)
 """
 SQL = {
-    "facts_join": FACTS + "SELECT file_name, form_name, domain, field_key, field_text, variable, link_score, trust, ord FROM acc",
     "rejected_suggestions": FACTS + "SELECT field_key, variable AS annotation_text, variable, file_name FROM facts WHERE rejected",
     "kb_stats": FACTS + "SELECT (SELECT count(DISTINCT file_name) FROM facts) AS documents, (SELECT count(DISTINCT form_key) FROM facts) AS forms, (SELECT count(DISTINCT field_key) FROM facts) AS fields, count(*) AS annotations, count(*) FILTER (NOT rejected) AS links, (SELECT count(DISTINCT field_key) FROM acc) AS mapped_keys FROM facts",
     "field_map": FACTS + "SELECT field_key, form_name, field_text, count(*) AS occurrences, count(DISTINCT annotation_text) AS variants, string_agg(DISTINCT annotation_text, ',' ORDER BY annotation_text) AS annotation_texts, string_agg(DISTINCT variable, ',' ORDER BY variable) AS variables, max(link_score) AS best_link_score FROM acc GROUP BY ALL",
