@@ -131,21 +131,33 @@ def detect_columns(spark, sf):
 
 
 def _sheet(spark, sf):
-    """Orders as a returned worksheet with one planted fault in most rows."""
-    k = F.col("o_orderkey")
+    """Orders as a returned worksheet with planted faults in most rows."""
+    k = F.col("ord")
     pick = lambda values, m: F.element_at(F.array(*map(F.lit, values)), (k % m + 1).cast("int"))
-    return table(spark, sf, "orders").select(
-        F.monotonically_increasing_id().alias("_m"), k.alias("ord"), F.concat(F.lit("r"), (k - F.when(k % 50 == 0, 1).otherwise(0)).cast("string")).alias("row_id"), F.lit("Medical History").alias("form_name"), F.col("o_orderpriority").alias("field_text"),
+    orders = table(spark, sf, "orders").groupBy(F.col("o_orderkey").alias("ord")).agg(F.min("o_orderpriority").alias("field_text"))
+    return orders.select(
+        "ord", F.concat(F.lit("r"), (k - F.when(k % 50 == 0, 1).otherwise(0)).cast("string")).alias("row_id"), F.lit("Medical History").alias("form_name"), "field_text",
         pick(["MHTERM", "DSTERM", "bad-var", "AGE", ""], 5).alias("final_variable"), F.lit("").alias("final_annotation"), pick(["", "VARIABLE", "NOTE", "ODD"], 4).alias("final_annot_type"),
-        pick(["APPROVED", "REJECTED", "AUTO", "", "approved", "DONE"], 6).alias("status"), F.when(k % 4 == 0, "no").otherwise("").alias("reviewer_note"), pick(["#D91A1A", "red", "", "00ff00"], 7 - 3).alias("color_rgb"), F.lit("Helv").alias("font_name"),
-        pick(["8.0", "30", "big", ""], 4).alias("font_size"), pick(["right_of_field", "nowhere", ""], 3).alias("placement"), F.lit("MHTERM").alias("suggested_variable"), F.lit("").alias("suggested_annotation"), F.lit("EXACT_KEY").alias("match_tier")).drop("_m")
+        pick(["APPROVED", "REJECTED", "AUTO", "", "approved", "DONE"], 6).alias("status"), F.when(k % 4 == 0, "no").otherwise("").alias("reviewer_note"), pick(["#D91A1A", "red", "", "00ff00"], 4).alias("color_rgb"), F.lit("Helv").alias("font_name"),
+        pick(["8.0", "30", "big", ""], 4).alias("font_size"), pick(["right_of_field", "nowhere", ""], 3).alias("placement"), F.lit("MHTERM").alias("suggested_variable"), F.lit("").alias("suggested_annotation"), F.lit("EXACT_KEY").alias("match_tier"))
+
+
+def _blank(spark, sf):
+    """The blank form's fields: some rows of the sheet have none, some were altered, some moved."""
+    k = F.col("ord")
+    label = F.when(k % 19 == 0, F.concat("field_text", F.lit(" changed"))).otherwise(F.col("field_text"))
+    y = k % 60 * 10.0
+    box = F.struct(F.lit(60.0).alias("x0"), y.alias("y0"), F.lit(160.0).alias("x1"), (y + 10).alias("y1"))
+    return _sheet(spark, sf).filter("ord % 17 <> 0").select(F.lit("d").alias("doc_id"), F.concat(F.lit("r"), k.cast("string")).alias("field_id"), (k % 5 + 1).cast("int").alias("page"), label.alias("text"), F.when(k % 29 == 0, "Vital Signs").otherwise("Medical History").alias("form_name"), box.alias("bbox"))
 
 
 def _imported(spark, sf):
-    sheet = _sheet(spark, sf).groupBy("ord").agg(*(F.first(c).alias(c) for c in _sheet(spark, sf).columns if c != "ord"))
-    geometry = sheet.filter("ord % 13 <> 0").select("ord", "row_id", F.lit(595.0).alias("page_width"), F.lit(842.0).alias("page_height"), (F.col("ord") % 23 / 20).alias("rel_x_pct"), F.lit(0.5).alias("rel_y_pct"), F.lit(0.1).alias("rel_w_pct"), F.lit(0.02).alias("rel_h_pct"))
+    sheet, k = _sheet(spark, sf), F.col("ord")
+    geometry = sheet.filter("ord % 13 <> 0").select("ord", "row_id", F.lit(595.0).alias("page_width"), F.lit(842.0).alias("page_height"), (k % 23 / 20).alias("rel_x_pct"), F.lit(0.5).alias("rel_y_pct"), F.lit(0.1).alias("rel_w_pct"), F.lit(0.02).alias("rel_h_pct"),
+                                                    (k % 5 / 100).alias("offset_x_pct"), (k % 7 / 100).alias("offset_y_pct"), (k % 9).cast("string").alias("page"))
+    formulas = sheet.filter("ord % 2 = 0").select("ord", F.when(k % 10 == 4, "=B2").alias("final_variable"), F.lit(None).cast("string").alias("final_annotation"), F.when(k % 4 == 0, "=A1").alias("status"))
     domains = spark.createDataFrame([("medical history", "mh")], "form_key string, domain string")
-    return sheet, review.validate(sheet, geometry, None, domains)
+    return sheet, review.validate(sheet, geometry, _blank(spark, sf), domains, formulas)
 
 
 def validate_rows(spark, sf):
@@ -158,12 +170,68 @@ def import_report(spark, sf):
     return review.counts_by(review.all_issues(rows), "code")
 
 
+def import_totals(spark, sf):
+    _, rows = _imported(spark, sf)
+    return review.report(rows, review.all_issues(rows, review.missing_rows(_blank(spark, sf), rows)))
+
+
 def missing_rows(spark, sf):
     sheet, rows = _imported(spark, sf)
     asked = sheet.select(F.concat(F.lit("r"), F.col("ord").cast("string")).alias("field_id"), F.col("field_text").alias("text"))
     return review.missing_rows(asked, rows).select("row_id", "code")
 
 
+def missing_sheets(spark, sf):
+    names = table(spark, sf, "nation").filter("n_nationkey = 3").select(F.lit("Geometry").alias("sheet"))
+    return review.missing_sheets(names).select("column", "severity", "code")
+
+
+def review_copy(spark, sf):
+    sheet, rows = _imported(spark, sf)
+    copy = review.review_copy(sheet, rows)
+    return copy.select("ord", F.size(F.regexp_extract_all("import_issues", F.lit(r"\[(ERROR|WARNING)\] "), 1)).alias("parts"), (F.col("import_issues") == "").alias("clean"), "blocked")
+
+
+def learned_annotations(spark, sf):
+    """What approved and rejected rows teach: annotations where they would be drawn."""
+    a = _learned(spark, sf)["annotations"]
+    return a.select("annotation_id", "text", "annot_type", "variable", "form_name", "bbox.x0", "bbox.y0", "bbox.x1", "bbox.y1")
+
+
+def _learned(spark, sf):
+    _, rows = _imported(spark, sf)
+    pages = spark.range(1, 6).select(F.lit("d").alias("doc_id"), F.col("id").cast("int").alias("page"), F.lit(PAGE_W).alias("width"), F.lit(PAGE_H).alias("height"))
+    return review.learned_rows(rows, _blank(spark, sf), pages, "reviewed")
+
+
+def learned_links(spark, sf):
+    return _learned(spark, sf)["links"].select("doc_id", "page", "field_id", "link_score", "trust", "rejected")
+
+
+def learned_fields(spark, sf):
+    """Every field is stored, under the form that the reviewer named."""
+    return _learned(spark, sf)["fields"].groupBy("doc_id", "form_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+def write_reasons(spark, sf):
+    """Why rows are not drawn: checks, status, or a page that the document lacks."""
+    _, rows = _imported(spark, sf)
+    text = rows.withColumn("annotation_text", F.col("annotation_text"))
+    _, skipped = placement.write_plan(text, 5)
+    return skipped.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def placement_anchored(spark, sf):
+    """Where rows are drawn: every placement, sizes that are missing, fonts that are replaced."""
+    k, n = F.col("p_partkey"), F.col("p_size")
+    at = F.element_at(F.array(*map(F.lit, ("right_of_field", "left_of_field", "above_field", "below_field", "overlapping_field", ""))), (k % 6 + 1).cast("int"))
+    font = F.element_at(F.array(*map(F.lit, ("Helv", " Arial-Bold ", "Fancy", "", "times"))), (k % 5 + 1).cast("int"))
+    geometry = F.struct(F.lit("595").alias("page_width"), F.lit("842").alias("page_height"), (k % 20 / 20).alias("rel_x_pct"), (n % 50 / 50).alias("rel_y_pct"), F.lit(0.1).alias("rel_w_pct"), F.lit(0.02).alias("rel_h_pct"), (k % 4 / 100).alias("offset_x_pct"), (k % 3 / 100).alias("offset_y_pct"))
+    rows = table(spark, sf, "part").select(k.alias("row_id"), geometry.alias("geometry"), F.col("p_brand").alias("annotation_text"), (n % 3 * 4).cast("double").alias("font_size"), at.alias("placement"), font.alias("font_name"))
+    r = placement.anchored(rows)
+    return r.select("row_id", "rect.x0", "rect.y0", "rect.x1", "rect.y1", F.size("adjustments").alias("notes"), placement.base_font(F.col("font_name")).font.alias("font"))
+
+
 def upsert_replace(spark, sf):
     f = adapters.facts(spark, sf).select(F.col("file_name").alias("path"), "field_key", "variable", "ord")
     new = f.filter("path rlike '[05]$'").withColumn("variable", F.concat(F.lit("NEW"), "variable"))
@@ -186,5 +254,5 @@ def collision_nudge(spark, sf):
 
 
 def queries():
-    return {f.__name__: f for f in (repeated_lines, region_tagging, markup_semi_join, link_candidates, link_assignment, links_summary, links_of_field, unlinked_markup, unlinked_fields, section_asof, controls_anti, option_owner, detect_columns, validate_rows, import_report,
-                                    missing_rows, upsert_replace, placement_clamp, collision_nudge)}
+    return {f.__name__: f for f in (repeated_lines, region_tagging, markup_semi_join, link_candidates, link_assignment, links_summary, links_of_field, unlinked_markup, unlinked_fields, section_asof, controls_anti, option_owner, detect_columns, validate_rows, import_report, import_totals, missing_rows, missing_sheets, review_copy,
+                                    learned_annotations, learned_links, learned_fields, write_reasons, placement_anchored, upsert_replace, placement_clamp, collision_nudge)}

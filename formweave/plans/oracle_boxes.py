@@ -13,17 +13,24 @@ def overlap(a: str, b: str, axis: str) -> str:
     return f"(greatest(0, least({a}{axis}1, {b}{axis}1) - greatest({a}{axis}0, {b}{axis}0)) / least({a}{axis}1 - {a}{axis}0, {b}{axis}1 - {b}{axis}0))"
 
 
-_SHEET = """WITH o AS (SELECT DISTINCT o_orderkey AS k, 'r' || (o_orderkey - CASE WHEN o_orderkey % 50 = 0 THEN 1 ELSE 0 END) AS row_id FROM orders),
+_SHEET = """WITH o AS (SELECT o_orderkey AS k, 'r' || (o_orderkey - CASE WHEN o_orderkey % 50 = 0 THEN 1 ELSE 0 END) AS row_id, min(o_orderpriority) AS label FROM orders GROUP BY o_orderkey),
+b AS (SELECT 'r' || k AS row_id, k AS bk, k % 5 + 1 AS page, CASE WHEN k % 19 = 0 THEN label || ' changed' ELSE label END AS text, CASE WHEN k % 29 = 0 THEN 'Vital Signs' ELSE 'Medical History' END AS form FROM o WHERE k % 17 <> 0),
 s AS (SELECT *, ['MHTERM', 'DSTERM', 'BAD-VAR', 'AGE', ''][k % 5 + 1] AS v, ['', 'VARIABLE', 'NOTE', 'ODD'][k % 4 + 1] AS t, upper(['APPROVED', 'REJECTED', 'AUTO', '', 'approved', 'DONE'][k % 6 + 1]) AS st, k % 4 = 0 AS noted,
         k % 4 IN (0, 3) AS has_color, k % 4 = 1 AS bad_color, ['8.0', '30', 'big', ''][k % 4 + 1] AS size, ['right_of_field', 'nowhere', ''][k % 3 + 1] AS place, row_number() OVER (PARTITION BY row_id ORDER BY k) AS nth FROM o),
 g AS (SELECT row_id, max(k) AS k FROM s WHERE k % 13 <> 0 GROUP BY 1),
-c AS (SELECT s.*, list_filter([
-  CASE WHEN nth > 1 THEN 'DUPLICATE_ROW_ID' END, CASE WHEN st = '' THEN 'MISSING_STATUS' WHEN st = 'DONE' THEN 'BAD_STATUS' WHEN st = 'AUTO' THEN 'NOT_REVIEWED' END, CASE WHEN st = 'REJECTED' AND NOT noted THEN 'NO_REJECT_REASON' END,
+c AS (SELECT s.*, g.k AS gk, b.bk, b.page, b.form, list_filter([
+  CASE WHEN nth > 1 THEN 'DUPLICATE_ROW_ID' END, CASE WHEN nth = 1 AND b.row_id IS NULL THEN 'UNKNOWN_ROW_ID' END, CASE WHEN nth = 1 AND lower(s.label) <> lower(b.text) THEN 'ROW_ALTERED' END,
+  CASE WHEN nth = 1 AND lower(s.label) = lower(b.text) AND b.form <> 'Medical History' THEN 'FORM_RENAMED' END,
+  CASE WHEN v = '' AND s.k % 10 = 4 THEN 'UNEVALUATED_FORMULA' END, CASE WHEN st = '' AND s.k % 4 = 0 THEN 'UNEVALUATED_FORMULA' END,
+  CASE WHEN st = '' THEN 'MISSING_STATUS' WHEN st = 'DONE' THEN 'BAD_STATUS' WHEN st = 'AUTO' THEN 'NOT_REVIEWED' END, CASE WHEN st = 'REJECTED' AND NOT noted THEN 'NO_REJECT_REASON' END,
   CASE WHEN st = 'APPROVED' AND v = '' THEN 'MISSING_DECISION' END, CASE WHEN v = 'BAD-VAR' THEN 'BAD_VARIABLE' END, CASE WHEN v <> '' AND t = 'ODD' THEN 'BAD_ANNOT_TYPE' END,
-  CASE WHEN v IN ('MHTERM', 'DSTERM', 'AGE') AND t = 'NOTE' THEN 'TYPE_MISMATCH' END, CASE WHEN v = 'DSTERM' THEN 'DOMAIN_MISMATCH' WHEN v = 'BAD-VAR' AND false THEN '' END, CASE WHEN bad_color THEN 'BAD_COLOR' END,
+  CASE WHEN v IN ('MHTERM', 'DSTERM', 'AGE') AND t = 'NOTE' THEN 'TYPE_MISMATCH' END, CASE WHEN v = 'DSTERM' THEN 'DOMAIN_MISMATCH' END, CASE WHEN bad_color THEN 'BAD_COLOR' END,
   CASE WHEN size IN ('big', '30') THEN 'BAD_FONT_SIZE' END, CASE WHEN place = 'nowhere' THEN 'BAD_PLACEMENT' END, CASE WHEN st = 'APPROVED' AND NOT has_color THEN 'MISSING_COLOR' END, CASE WHEN g.k IS NULL THEN 'MISSING_GEOMETRY' END,
-  CASE WHEN g.k % 23 > 20 THEN 'BAD_GEOMETRY' END], lambda x: x IS NOT NULL) AS codes FROM s LEFT JOIN g USING (row_id)),
-e AS (SELECT *, len(list_filter(codes, lambda x: x NOT IN ('NOT_REVIEWED', 'NO_REJECT_REASON', 'TYPE_MISMATCH', 'DOMAIN_MISMATCH'))) = 0 AS ok FROM c)
+  CASE WHEN g.k % 23 > 20 THEN 'BAD_GEOMETRY' END], lambda x: x IS NOT NULL) AS codes FROM s LEFT JOIN g USING (row_id) LEFT JOIN b USING (row_id)),
+e AS (SELECT *, len(list_filter(codes, lambda x: x NOT IN ('NOT_REVIEWED', 'NO_REJECT_REASON', 'TYPE_MISMATCH', 'DOMAIN_MISMATCH', 'FORM_RENAMED'))) = 0 AS ok FROM c),
+r AS (SELECT *, CASE WHEN ok AND st = 'APPROVED' THEN 'HUMAN_APPROVED' WHEN st = 'REJECTED' THEN 'HUMAN_REJECTED' END AS trust, CASE WHEN size = '8.0' OR size = '30' THEN size::DOUBLE ELSE 8 END AS pt,
+        CASE WHEN gk IS NULL OR gk % 23 > 20 THEN 0 ELSE gk % 5 / 100 END AS dx, CASE WHEN gk IS NULL OR gk % 23 > 20 THEN 0 ELSE gk % 7 / 100 END AS dy, bk % 60 * 10 AS y0 FROM e WHERE bk IS NOT NULL AND ((ok AND st = 'APPROVED') OR st = 'REJECTED')),
+m AS (SELECT *, CASE WHEN trust = 'HUMAN_APPROVED' THEN v ELSE 'MHTERM' END AS drawn FROM r)
 """
 SQL = {
     "repeated_lines": LINES + r""", k AS (SELECT lang, page, trim(regexp_replace(regexp_replace(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS line_text, round_even((y0 + y1) / 6, 0)::BIGINT AS line_y FROM l),
@@ -46,6 +53,25 @@ SELECT g.page, g.ord, coalesce((SELECT string_agg(DISTINCT kind, ',' ORDER BY ki
 SELECT page, ord, owner FROM r QUALIFY row_number() OVER (PARTITION BY page, ord ORDER BY v >= 0.5 DESC, CASE WHEN v >= 0.5 THEN v ELSE y0 END DESC, owner) = 1""",
     "validate_rows": _SHEET + "SELECT k AS ord, ok, ok AND st = 'APPROVED' AS ready, array_to_string(codes, ',') AS codes FROM e",
     "import_report": _SHEET + "SELECT code, count(*) AS n FROM (SELECT unnest(codes) AS code FROM e) GROUP BY 1",
+    "import_totals": _SHEET + """, i AS (SELECT unnest(codes) AS code FROM e UNION ALL SELECT 'MISSING_ROW' FROM b WHERE row_id NOT IN (SELECT row_id FROM o))
+SELECT (SELECT count(*) FROM e) AS rows, (SELECT count(*) FROM e WHERE ok AND st = 'APPROVED') AS approved, (SELECT count(*) FROM e WHERE NOT ok) AS blocked,
+       count(*) FILTER (code NOT IN ('NOT_REVIEWED', 'NO_REJECT_REASON', 'TYPE_MISMATCH', 'DOMAIN_MISMATCH', 'FORM_RENAMED')) AS errors, count(*) FILTER (code IN ('NOT_REVIEWED', 'NO_REJECT_REASON', 'TYPE_MISMATCH', 'DOMAIN_MISMATCH', 'FORM_RENAMED')) AS warnings FROM i""",
+    "missing_sheets": """SELECT 'Annotations' AS "column", 'ERROR' AS severity, 'MISSING_SHEET' AS code""",
+    "review_copy": _SHEET + ", l AS (SELECT row_id, arg_max({'n': len(codes), 'ok': ok}, k) AS last FROM e GROUP BY row_id) SELECT k AS ord, last.n::INT AS parts, last.n = 0 AS clean, NOT last.ok AS blocked FROM e JOIN l USING (row_id)",
+    "learned_annotations": _SHEET + """SELECT 'p' || page || 'r' || row_id AS annotation_id, drawn AS text, CASE WHEN t <> '' THEN t WHEN v = 'BAD-VAR' THEN 'NOTE' ELSE 'VARIABLE' END AS annot_type, drawn AS variable, 'Medical History' AS form_name,
+  round_even(160 + dx * 595, 2) AS x0, round_even(y0 + 5 + dy * 842 - pt, 2) AS y0, round_even(160 + dx * 595 + length(drawn) * pt * 0.55, 2) AS x1, round_even(y0 + 5 + dy * 842 + pt, 2) AS y1 FROM m""",
+    "learned_links": _SHEET + "SELECT 'reviewed' AS doc_id, page::INT AS page, row_id AS field_id, 1.0::DOUBLE AS link_score, trust, trust = 'HUMAN_REJECTED' AS rejected FROM m",
+    "learned_fields": _SHEET + "SELECT 'reviewed' AS doc_id, CASE WHEN row_id IN (SELECT row_id FROM m) THEN 'Medical History' ELSE form END AS form_name, count(*) AS n FROM b GROUP BY ALL",
+    "write_reasons": _SHEET + """, w AS (SELECT CASE WHEN NOT ok THEN 'blocked by validation' WHEN st <> 'APPROVED' THEN 'status is ' || CASE WHEN st = '' THEN 'blank' ELSE st END || ', not APPROVED' WHEN gk % 9 NOT BETWEEN 1 AND 5 THEN 'page ' || (gk % 9) || ' is not in the document' END AS reason FROM e)
+SELECT reason, count(*) AS n FROM w WHERE reason IS NOT NULL GROUP BY reason""",
+    "placement_anchored": """WITH k AS (
+  SELECT p_partkey AS row_id, CASE WHEN p_size % 3 > 0 THEN p_size % 3 * 4 ELSE 8 END AS pt, length(p_brand) AS n, p_partkey % 6 AS pl, p_partkey % 5 AS f, p_partkey % 20 / 20 * 595 AS x, p_size % 50 / 50 * 842 AS y, p_partkey % 4 / 100 * 595 AS dx, p_partkey % 3 / 100 * 842 AS dy FROM part),
+s AS (SELECT *, n * pt * 0.55::DOUBLE + 8 AS w, pt * 1.35::DOUBLE + 4 AS h, x - 29.75 AS fx0, x + 29.75 AS fx1, y - 8.42 AS fy0, y + 8.42 AS fy1 FROM k),
+p AS (SELECT *, CASE pl WHEN 1 THEN fx0 - abs(dx) - w WHEN 2 THEN fx0 WHEN 3 THEN fx0 WHEN 4 THEN x - w / 2 ELSE fx1 + dx END AS px, CASE pl WHEN 2 THEN fy0 - abs(dy) - h / 2 WHEN 3 THEN fy1 + abs(dy) + h / 2 WHEN 4 THEN y ELSE y + dy END AS py FROM s),
+c AS (SELECT *, px AS ox0, px + w AS ox1, py - h / 2 AS oy0, py + h / 2 AS oy1 FROM p),
+d AS (SELECT *, greatest(0, ox1 - 593) AS l, greatest(0, oy1 - 840) AS u FROM c), e AS (SELECT *, ox0 - l AS x0, ox1 - l AS x1, oy0 - u AS y0, oy1 - u AS y1 FROM d)
+SELECT row_id, round_even(CASE WHEN x0 < 2 THEN 2 ELSE x0 END, 2)::DOUBLE AS x0, round_even(CASE WHEN y0 < 2 THEN 2 ELSE y0 END, 2)::DOUBLE AS y0, round_even(CASE WHEN x0 < 2 THEN greatest(3, least(x1 + 2 - x0, 593)) ELSE x1 END, 2)::DOUBLE AS x1,
+  round_even(CASE WHEN y0 < 2 THEN y1 + 2 - y0 ELSE y1 END, 2)::DOUBLE AS y1, ((l > 0)::INT + (x0 < 2)::INT + (u > 0)::INT + (y0 < 2)::INT + (f = 2)::INT) AS notes, ['helv', 'hebo', 'helv', 'helv', 'tiro'][f + 1] AS font FROM e""",
     "missing_rows": _SHEET + "SELECT 'r' || k AS row_id, 'MISSING_ROW' AS code FROM o WHERE 'r' || k NOT IN (SELECT row_id FROM o)",
     "upsert_replace": FACTS + "SELECT file_name AS path, count(*) AS n, min(CASE WHEN regexp_matches(file_name, '[05]$') THEN 'NEW' || variable ELSE variable END) AS first_variable FROM facts GROUP BY 1",
     "placement_clamp": """WITH b AS (SELECT p_partkey AS id, (p_size * 14 - 40)::DOUBLE AS a0, (p_partkey % 90 * 10 - 20)::DOUBLE AS b0, (p_size * 14 - 40 + p_partkey % 7 * 100 + 30)::DOUBLE AS a1, (p_partkey % 90 * 10 - 5)::DOUBLE AS b1 FROM part),
