@@ -10,10 +10,13 @@ import json
 from collections.abc import Callable, Iterable
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions.markup import parse_appearance
+from ..functions.text import clean
 
 BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
 TABLES = {
@@ -76,10 +79,40 @@ def decode_files(spark: SparkSession, path: str, decoder: Callable[[str, bytes],
             t, r = zip(*found, strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(t, pa.string()), pa.array(r, pa.string())], ["table", "row"])
 
-    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "table string, row string")
+    rows = open_files(spark, path).mapInArrow(run, "table string, row string")
     return {name: rows.filter(F.col("table") == name).select(F.from_json("row", schema).alias("r")).select("r.*") for name, schema in TABLES.items()}
 
 
+def open_files(spark: SparkSession, path: str) -> DataFrame:
+    """Path and bytes of the files at ``path``; raises if there is none.
+
+    A file whose trailer names an encryption dictionary raises when its row is read: decoders get
+    plain files only.
+    """
+    try:
+        files = spark.read.format("binaryFile").load(path)
+    except AnalysisException as e:
+        raise FileNotFoundError(path) from e
+    tail = F.decode(F.substring("content", -4096, 4096), "ISO-8859-1")
+    locked = F.raise_error(F.concat(F.col("path"), F.lit(" is encrypted"))).cast("binary")
+    return files.select("path", F.when(tail.contains("/Encrypt"), locked).otherwise(F.col("content")).alias("content"))
+
+
+def annotation_layer(raw: DataFrame, defaults: DataFrame) -> DataFrame:
+    """Annotations with their text, colour and style from what a decoder finds.
+
+    ``raw``: ``content``, ``appearance_text``, ``appearance`` (the annotation's own default appearance),
+    ``stroke`` and ``fill`` colours.  ``defaults``: ``doc_id`` and ``form_appearance``, which annotations
+    without an appearance of their own inherit.  Text that was typed wins over text that is drawn.
+    """
+    rows = raw.join(defaults.select("doc_id", "form_appearance"), "doc_id", "left")
+    content = clean(F.col("content"))
+    style = parse_appearance(F.coalesce(F.nullif("appearance", F.lit("")), "form_appearance", F.lit("")))
+    colour = F.when(F.size("stroke") > 0, F.col("stroke")).when(F.size("fill") > 0, F.col("fill"))
+    rows = rows.withColumns({"content": content, "text": F.when(content != "", content).otherwise(clean(F.col("appearance_text"))), "_style": style, "color": F.transform(colour, lambda c: F.bround(c, 3))})
+    return rows.select("*", "_style.text_color", "_style.font_name", "_style.font_size").drop("_style", "form_appearance", "appearance", "appearance_text", "stroke", "fill")
+
+
 def split_drawings(drawings: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rules and controls among vector drawings (``bbox``, ``curved``)."""
     rows = drawings.join(pages.select("doc_id", "page", "width", "height"), ["doc_id", "page"])
