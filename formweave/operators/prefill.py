@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import similarity
+from ..functions.similarity import WEIGHTS, similarity, stems
 from ..functions.text import normalize
 from .corpus import APPROVED, GEOMETRIC, accepted, facts, trust_rank
 
@@ -62,16 +62,24 @@ def exact_winners(rows: DataFrame, t: Tunables = DEFAULTS, first_row_parity: boo
 def consensus(rows: DataFrame, fields: DataFrame, t: Tunables = DEFAULTS) -> DataFrame:
     """Labels as other forms use them: a candidate if all agree, a zero with the finding if not.
 
-    Per label and form the facts are folded first, so the join sees a row per form that uses the
-    label, however often.
+    Facts are folded per label and form and then per label, with what is needed to leave a form's own
+    use out again: which form is the only one with a variable, and the two forms that came first.
+    So a label that many forms share costs a row per form, not a pair of forms.
     """
     named = _form(rows).filter(F.coalesce("variable", F.lit("")) != "")
     first = F.min(F.struct("ord", "variable", "annotation_text", "annot_type", _source().alias("source")))
-    by_form = named.groupBy("normalized_text", "form_key").agg(F.collect_set("variable").alias("vars"), F.collect_set("form_name").alias("names"), first.alias("first"))
+    by_form = named.groupBy("normalized_text", "form_key").agg(F.collect_set("variable").alias("vars"), F.countDistinct("form_name").alias("names"), first.alias("first"))
+    used = by_form.select("normalized_text", "form_key", F.explode("vars").alias("v")).groupBy("normalized_text", "v").agg(F.count(F.lit(1)).alias("n"), F.min("form_key").alias("sole"))
+    used = used.groupBy("normalized_text").agg(F.array_sort(F.collect_list(F.struct("v", "n", "sole"))).alias("used"))
+    early = by_form.withColumn("k", F.row_number().over(Window.partitionBy("normalized_text").orderBy("first"))).filter("k <= 2")
+    early = early.groupBy("normalized_text").agg(F.array_sort(F.collect_list(F.struct("k", F.col("form_key").alias("of"), "first"))).alias("early"))
+    total = by_form.groupBy("normalized_text").agg(F.sum("names").alias("total"))
+    own = by_form.select("normalized_text", "form_key", F.col("names").alias("own"))
     keys = fields.select("form_key", "normalized_text").distinct()
-    joined = keys.join(by_form.withColumnRenamed("form_key", "_other"), "normalized_text").filter(F.col("_other") != F.col("form_key"))
-    merged = joined.groupBy("form_key", "normalized_text").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("vars")))).alias("vars"), F.size(F.array_distinct(F.flatten(F.collect_list("names")))).alias("forms"), F.min("first").alias("first"))
+    joined = keys.join(used.join(early, "normalized_text").join(total, "normalized_text"), "normalized_text").join(own, ["normalized_text", "form_key"], "left")
+    me = F.col("form_key")
+    merged = joined.select("form_key", "normalized_text", F.transform(F.filter("used", lambda x: (x.n > 1) | (x.sole != me)), lambda x: x.v).alias("vars"), (F.col("total") - F.coalesce("own", F.lit(0))).alias("forms"),
+                           F.get(F.filter("early", lambda x: x.of != me), F.lit(0)).first.alias("first")).filter("forms > 0")
     split = F.size("vars") > 1
     keep = lambda c: F.when(split, F.lit("")).otherwise(F.col(f"first.{c}"))
     says = F.when(split, F.concat(F.lit("label maps to ["), F.array_join(F.transform("vars", lambda v: F.concat(F.lit("'"), v, F.lit("'"))), ", "),
@@ -106,12 +114,17 @@ def domain_pattern(rows: DataFrame, fields: DataFrame, t: Tunables = DEFAULTS) -
 def fuzzy(rows: DataFrame, fields: DataFrame, t: Tunables = DEFAULTS) -> DataFrame:
     """The nearest wording within the same form, above the floor.
 
-    Joins on the form, over its distinct labels: each pair of labels is compared once.
+    Joins on the form over its distinct labels.  Labels without a common stem reach at most the weight
+    of the sequence ratio; above that floor only labels that share a stem are compared.
     """
     named = _form(rows).filter(F.coalesce("variable", F.lit("")) != "")
     labels = named.groupBy("form_key", F.col("normalized_text").alias("seen")).agg(F.min(F.struct("ord", "variable", "annotation_text", "annot_type", _source().alias("source"), "field_text")).alias("first"))
     keys = fields.select("form_key", "normalized_text").distinct()
-    scored = keys.join(labels, "form_key").withColumn("sim", similarity(F.col("normalized_text"), F.col("seen"))).filter(F.col("sim") > t.fuzzy_floor)
+    pairs = keys.join(labels.select("form_key", "seen"), "form_key")
+    if t.fuzzy_floor >= WEIGHTS[0]:
+        stem = lambda df, c: df.select("form_key", c, F.explode(stems(F.col(c))).alias("stem"))
+        pairs = stem(keys, "normalized_text").join(stem(labels, "seen"), ["form_key", "stem"]).select("form_key", "normalized_text", "seen").distinct()
+    scored = pairs.withColumn("sim", similarity(F.col("normalized_text"), F.col("seen"))).filter(F.col("sim") > t.fuzzy_floor).join(labels, ["form_key", "seen"])
     order = Window.partitionBy("form_key", "normalized_text").orderBy(F.desc("sim"), "first.ord")
     best = scored.withColumn("_k", F.row_number().over(order)).filter("_k = 1")
     return best.select("form_key", "normalized_text", F.lit(FUZZY).alias("tier"), F.bround(0.5 + 0.35 * (F.col("sim") - t.fuzzy_floor) / (1 - t.fuzzy_floor), 3).alias("confidence"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import token_part
 from ..operators import corpus, prefill, style
+from ..sources.scratch import scratch_dir
 from .adapters import facts
 
 
@@ -24,8 +25,12 @@ def _keys(spark, sf):
 
 
 def _tiers(spark, sf, with_fuzzy=True):
-    f = facts(spark, sf)
-    return prefill.prefill(_fields(spark, sf), corpus.accepted(f), corpus.rejected_suggestions(f), with_fuzzy=with_fuzzy)
+    """The tiers read the facts several times: their columns are stored first."""
+    at = scratch_dir(spark, "facts")
+    facts(spark, sf).select("file_name", "form_name", "domain", "field_key", "field_text", "normalized_text", "annotation_text", "annot_type", "variable", "link_score", "trust", "rejected", "ord").write.parquet(at)
+    f = spark.read.parquet(at)
+    blank = f.select(F.lit("blank").alias("doc_id"), F.col("field_key").alias("field_id"), "form_name", F.col("field_text").alias("text"), "domain").distinct()
+    return prefill.prefill(blank, corpus.accepted(f), corpus.rejected_suggestions(f), with_fuzzy=with_fuzzy)
 
 
 def kb_stats(spark, sf):
