@@ -97,6 +97,6 @@ def clamp(b: Column, page_width: Column, page_height: Column) -> Column:
                     F.bround(F.when(cut, F.greatest(F.lit(EDGE + 1), F.least(x1 + (EDGE - x0), right))).otherwise(x1), 2).alias("x1"),
                     F.bround(F.when(high, y1 + EDGE - y0).otherwise(y1), 2).alias("y1"))
     notes = F.array_compact(F.array(
-        F.when(left_by > 0, F.format_string("moved %.0fpt left to stay on the page", left_by)), F.when(cut, F.lit("truncated to the page width")),
-        F.when(up_by > 0, F.format_string("moved %.0fpt up to stay on the page", up_by)), F.when(high, F.lit("moved down to stay on the page"))))
+        F.when(left_by > 0, F.format_string("%.0f points further left, to fit the page", left_by)), F.when(cut, F.lit("cut at the page's width")),
+        F.when(up_by > 0, F.format_string("%.0f points higher, to fit the page", up_by)), F.when(high, F.lit("lowered to the upper edge"))))
     return F.struct(rect.alias("rect"), notes.alias("notes"))

@@ -67,30 +67,30 @@ def classify(text: Column, first: Column | None = None) -> Column:
     lead = _found(F.trim(F.element_at(F.split(t, " when "), 1)), PURE_VARIABLE, 2)
     supp_variable = F.coalesce(lead, F.upper(_found(t, SUPP_VARIABLE, 1)))
     supp = _statement("SUPP_QUALIFIER", F.when(qnam.isNotNull(), STRUCTURAL).otherwise(LIKELY),
-                      _evidence("mentions SUPP/QNAM", F.concat(F.lit("supp domain "), supp_domain), F.concat(F.lit("QNAM="), qnam), F.concat(F.lit("qualifier variable "), supp_variable)),
+                      _evidence("names a supplemental qualifier", F.concat(F.lit("supplemental domain "), supp_domain), F.concat(F.lit("qualifier "), qnam), F.concat(F.lit("its variable "), supp_variable)),
                       domain=supp_domain, qnam=qnam, variable=supp_variable)
 
     owner, left, right = _found(t, ASSIGNMENT, 1), _found(t, ASSIGNMENT, 2), F.trim(_found(t, ASSIGNMENT, 3))
     known = left.isin(DOMAINS)
-    code_note = F.concat(F.lit("two-letter left side "), left, F.when(known, " (CDISC domain)").otherwise(""))
-    name = _statement("DOMAIN_HEADER", F.when(known, STRUCTURAL).otherwise(LIKELY), _evidence(code_note, "right side is a form name"), domain=left, label=right)
-    topmost = _statement("DOMAIN_HEADER", AMBIGUOUS, _evidence(code_note, "all-caps right side, but first annotation on the page"), domain=left, label=right)
-    code = _statement("CONSTANT_ASSIGNMENT", F.when(known, AMBIGUOUS).otherwise(LIKELY), _evidence(code_note, "code-shaped right side, not the page's first annotation"), variable=left, value=_unquote(right))
-    qualified = _statement("CONSTANT_ASSIGNMENT", STRUCTURAL, _evidence(F.concat(F.lit("qualified variable "), owner, F.lit("."), left, F.lit(" assigned a constant"))), domain=owner, variable=left, value=_unquote(right))
-    constant = _statement("CONSTANT_ASSIGNMENT", STRUCTURAL, _evidence(F.concat(F.lit("variable "), left, F.lit(" assigned constant '"), right, F.lit("'"))), variable=left, value=_unquote(right))
+    code_note = F.concat(left, F.lit(" before the sign"), F.when(known, ", a known domain").otherwise(""))
+    name = _statement("DOMAIN_HEADER", F.when(known, STRUCTURAL).otherwise(LIKELY), _evidence(code_note, "a name after it"), domain=left, label=right)
+    topmost = _statement("DOMAIN_HEADER", AMBIGUOUS, _evidence(code_note, "capitals after it in the first annotation of the page"), domain=left, label=right)
+    code = _statement("CONSTANT_ASSIGNMENT", F.when(known, AMBIGUOUS).otherwise(LIKELY), _evidence(code_note, "a code after it in a later annotation"), variable=left, value=_unquote(right))
+    qualified = _statement("CONSTANT_ASSIGNMENT", STRUCTURAL, _evidence(F.concat(owner, F.lit("."), left, F.lit(" set to a constant"))), domain=owner, variable=left, value=_unquote(right))
+    constant = _statement("CONSTANT_ASSIGNMENT", STRUCTURAL, _evidence(F.concat(left, F.lit(" set to "), right)), variable=left, value=_unquote(right))
     assignment = (F.when(owner.isNotNull(), qualified).when(F.length(left) != 2, constant)
                   .when(right.rlike("[a-z]") | right.contains(" "), name).when(known & first, topmost).otherwise(code))
 
     wording = _found(t, DERIVATION, 1)
-    derivation = _statement("DERIVATION_RULE", LIKELY, _evidence(F.concat(F.lit("derivation wording '"), wording, F.lit("'"))),
+    derivation = _statement("DERIVATION_RULE", LIKELY, _evidence(F.concat(F.lit("speaks of a derivation: "), wording)),
                             variables=F.array_sort(F.array_distinct(F.regexp_extract_all(t, F.lit(rf"\b({TOKEN})\b"), 1))))
     own, bare = _found(t, PURE_VARIABLE, 1), _found(t, PURE_VARIABLE, 2)
     variable = _statement("VARIABLE", F.when(own.isNotNull(), STRUCTURAL).otherwise(LIKELY),
-                          _evidence(F.concat(F.lit("bare variable token "), bare), F.concat(F.lit("qualified by domain "), own)), variable=bare, domain=own)
-    return (F.when(t.rlike(NOT_SUBMITTED), _statement("NOT_SUBMITTED", STRUCTURAL, _evidence("matches [NOT SUBMITTED]")))
-            .when(page.isNotNull(), _statement("CROSS_REFERENCE", STRUCTURAL, _evidence(F.concat(F.lit("see-page pointer to page "), page)), target_page=page.try_cast("int")))
+                          _evidence(F.concat(F.lit("a variable alone: "), bare), F.concat(F.lit("of domain "), own)), variable=bare, domain=own)
+    return (F.when(t.rlike(NOT_SUBMITTED), _statement("NOT_SUBMITTED", STRUCTURAL, _evidence("says that nothing is submitted")))
+            .when(page.isNotNull(), _statement("CROSS_REFERENCE", STRUCTURAL, _evidence(F.concat(F.lit("points to page "), page)), target_page=page.try_cast("int")))
             .when(t.rlike(SUPP), supp).when(left.isNotNull(), assignment).when(wording.isNotNull(), derivation).when(bare.isNotNull(), variable)
-            .otherwise(_statement("NOTE", FALLBACK, _evidence("no markup pattern matched; kept as prose"))))
+            .otherwise(_statement("NOTE", FALLBACK, _evidence("plain text"))))
 
 
 def statements(text: Column) -> Column:

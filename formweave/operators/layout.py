@@ -209,14 +209,14 @@ def assign_roles(groups: DataFrame, controls: DataFrame, bands: DataFrame) -> Da
     asks, answers = hint == "QUESTION_ZONE", hint == "RESPONSE_ZONE"
     points = lambda *pairs: sum((F.when(c, v).otherwise(0.0) for c, v in pairs), F.lit(0.0))
     question, response = points((asks, 0.5), (ended, 0.3), (to_right, 0.3)), points((answers, 0.5), (own, 0.4), (short, 0.1))
-    why = F.array_compact(F.array(F.when(asks, "in question zone"), F.when(answers, "in response zone"), F.when(ended, "ends with colon/question mark"), F.when(to_right, "control to the right"),
-                                  F.when(own, "own row-aligned control"), F.when(short, "short label")))
+    why = F.array_compact(F.array(F.when(asks, "lies where questions stand"), F.when(answers, "lies where answers stand"), F.when(ended, "ends like a question"), F.when(to_right, "an answer box follows on its row"),
+                                  F.when(own, "has an answer box in its band"), F.when(short, "few words")))
     spans = F.size(F.filter("bands", lambda x: G.in_band(b, x.x0, x.x1, 0.2))) > 1
     heading = (F.col("bold") | (F.col("size") > F.col("_median") + SIZE_TOL)) & ((F.size("bands") < 2) | spans)
     tagged = lambda role, confidence, evidence: F.struct(F.lit(role).alias("role"), confidence.cast("double").alias("role_confidence"), evidence.alias("role_evidence"))
-    margin = lambda role: tagged(role, F.lit(0.9), F.array(F.concat(F.lit("region="), F.lower("region"))))
-    verdict = (F.when(F.col("markup_only"), tagged("UNKNOWN", F.lit(0.0), F.array(F.lit("annotation markup")))).when(F.col("region") == "HEADER", margin("PAGE_HEADER")).when(F.col("region") == "FOOTER", margin("FOOTER"))
-               .when(heading, tagged("SECTION_HEADER", F.lit(0.7), F.concat(why, F.array(F.lit("bold/large, spans columns")))))
+    margin = lambda role: tagged(role, F.lit(0.9), F.array(F.concat(F.lit("in the "), F.lower("region"))))
+    verdict = (F.when(F.col("markup_only"), tagged("UNKNOWN", F.lit(0.0), F.array(F.lit("markup, not page text")))).when(F.col("region") == "HEADER", margin("PAGE_HEADER")).when(F.col("region") == "FOOTER", margin("FOOTER"))
+               .when(heading, tagged("SECTION_HEADER", F.lit(0.7), F.concat(why, F.array(F.lit("set off by weight or size")))))
                .when(F.greatest(question, response) == 0, tagged("UNKNOWN", F.lit(0.0), why)).when(question >= response, tagged("QUESTION", F.bround(F.least(question, F.lit(1.0)), 2), why))
                .otherwise(tagged("RESPONSE_OPTION", F.bround(F.least(response, F.lit(1.0)), 2), why)))
     return rows.withColumn("_v", verdict).select("*", "_v.*").drop("_v", "_band", "_controls", "_median", "bands")

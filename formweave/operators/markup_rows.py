@@ -31,8 +31,8 @@ def extract_annotations(annotations: DataFrame, page_forms: DataFrame | None = N
     whole = F.struct("part_text", "annot_type", "confidence", *_PARSED, "evidence")
     best = parts.groupBy(*PAGE, "ord").agg(F.max_by(whole, F.struct("confidence", -F.col("part"))).alias("best"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("part", whole.alias("s")))).alias("parts"))
     out = rows.join(best, [*PAGE, "ord"], "left")
-    more = F.when(F.col("n") > 1, F.array(F.concat(F.col("n").cast("string"), F.lit(" statements in one box"))))
-    evidence = F.when(F.col("n").isNull(), F.array(F.lit("empty annotation"))).otherwise(F.concat("best.evidence", F.coalesce(more, F.array().cast("array<string>"))))
+    more = F.when(F.col("n") > 1, F.array(F.concat(F.col("n").cast("string"), F.lit(" statements together"))))
+    evidence = F.when(F.col("n").isNull(), F.array(F.lit("no text"))).otherwise(F.concat("best.evidence", F.coalesce(more, F.array().cast("array<string>"))))
     out = out.select("*", F.coalesce("best.annot_type", F.lit("NOTE")).alias("annot_type"), F.coalesce("best.confidence", F.lit(0.0)).alias("type_confidence"), *(F.col(f"best.{c}").alias(c) for c in _PARSED), evidence.alias("type_evidence"),
                      F.coalesce("n", F.lit(0)).cast("int").alias("statements"), F.to_json("best").alias("parsed"), F.transform("parts", lambda p: p.s).alias("statement_list")).drop("best", "n", "parts")
     if page_forms is None:

@@ -56,7 +56,7 @@ def exact_winners(rows: DataFrame, t: Tunables = DEFAULTS, first_row_parity: boo
     return (_form(rows).withColumn("_k", F.row_number().over(order)).filter("_k = 1")
             .select("form_key", "normalized_text", F.lit(EXACT).alias("tier"), F.when(approved, t.approved).otherwise(t.exact).alias("confidence"), F.coalesce("variable", F.lit("")).alias("variable"),
                     "annotation_text", "annot_type", _source().alias("source"),
-                    F.array(F.concat(F.when(approved, "approved by a reviewer on ").otherwise("(form, field_text) seen in "), "file_name")).alias("evidence")))
+                    F.array(F.concat(F.when(approved, "a reviewer approved it in ").otherwise("same form and label in "), "file_name")).alias("evidence")))
 
 
 def consensus(rows: DataFrame, fields: DataFrame, t: Tunables = DEFAULTS) -> DataFrame:
@@ -82,9 +82,9 @@ def consensus(rows: DataFrame, fields: DataFrame, t: Tunables = DEFAULTS) -> Dat
                            F.get(F.filter("early", lambda x: x.of != me), F.lit(0)).first.alias("first")).filter("forms > 0")
     split = F.size("vars") > 1
     keep = lambda c: F.when(split, F.lit("")).otherwise(F.col(f"first.{c}"))
-    says = F.when(split, F.concat(F.lit("label maps to ["), F.array_join(F.transform("vars", lambda v: F.concat(F.lit("'"), v, F.lit("'"))), ", "),
-                                  F.lit("] depending on the form - the form is load-bearing, so no cross-form suggestion")))
-    says = says.otherwise(F.concat(F.lit("same label maps to "), F.element_at("vars", 1), F.lit(" in all "), F.col("forms").cast("string"), F.lit(" forms that use it")))
+    says = F.when(split, F.concat(F.lit("other forms give this label ["), F.array_join(F.transform("vars", lambda v: F.concat(F.lit("'"), v, F.lit("'"))), ", "),
+                                  F.lit("], so no form speaks for another")))
+    says = says.otherwise(F.concat(F.lit(""), F.element_at("vars", 1), F.lit(" in each of the "), F.col("forms").cast("string"), F.lit(" other forms with this label")))
     return (merged.filter(split | (F.col("forms") >= t.consensus_forms))
             .select("form_key", "normalized_text", F.lit(CONSENSUS).alias("tier"), F.when(split, 0.0).otherwise(F.bround(F.least(F.lit(0.85), 0.55 + 0.05 * F.col("forms")), 3)).alias("confidence"),
                     keep("variable").alias("variable"), keep("annotation_text").alias("annotation_text"), keep("annot_type").alias("annot_type"), keep("source").alias("source"), F.array(says).alias("evidence")))
@@ -108,7 +108,7 @@ def domain_pattern(rows: DataFrame, fields: DataFrame, t: Tunables = DEFAULTS) -
     return (keys.join(single, "normalized_text")
             .select("form_key", "normalized_text", F.lit(PATTERN).alias("tier"), F.bround(F.least(F.lit(0.85), 0.6 + 0.05 * count), 3).alias("confidence"), made.alias("variable"), made.alias("annotation_text"),
                     F.lit("VARIABLE").alias("annot_type"), F.concat(F.lit("convention "), "suffix", F.lit(" in "), named).alias("source"),
-                    F.array(F.concat(F.lit("'"), "normalized_text", F.lit("' became "), "suffix", F.lit(" in "), count.cast("string"), F.lit(" domains ("), named, F.lit("); this form is "), "domain")).alias("evidence")))
+                    F.array(F.concat(F.lit("'"), "normalized_text", F.lit("' ends in "), "suffix", F.lit(" in "), count.cast("string"), F.lit(" domains ("), named, F.lit("); here the domain is "), "domain")).alias("evidence")))
 
 
 def fuzzy(rows: DataFrame, fields: DataFrame, t: Tunables = DEFAULTS) -> DataFrame:
@@ -129,7 +129,7 @@ def fuzzy(rows: DataFrame, fields: DataFrame, t: Tunables = DEFAULTS) -> DataFra
     best = scored.withColumn("_k", F.row_number().over(order)).filter("_k = 1")
     return best.select("form_key", "normalized_text", F.lit(FUZZY).alias("tier"), F.bround(0.5 + 0.35 * (F.col("sim") - t.fuzzy_floor) / (1 - t.fuzzy_floor), 3).alias("confidence"),
                        *(F.col(f"first.{c}").alias(c) for c in ("variable", "annotation_text", "annot_type", "source")),
-                       F.array(F.format_string("same form; wording %.2f similar to '%s'", F.col("sim"), F.col("first.field_text"))).alias("evidence"))
+                       F.array(F.format_string("likeness %.2f to '%s' in this form", F.col("sim"), F.col("first.field_text"))).alias("evidence"))
 
 
 def form_domains(rows: DataFrame, forms: DataFrame | None = None) -> DataFrame:
@@ -153,7 +153,7 @@ def suppress_rejected(candidates: DataFrame, rejected: DataFrame) -> DataFrame:
     key = F.concat_ws("|", "form_key", "normalized_text")
     joined = candidates.withColumn("field_key", key).join(no, ["field_key", "annotation_text"], "left")
     return (joined.withColumn("confidence", F.when(F.col("_no"), 0.0).otherwise(F.col("confidence")))
-            .withColumn("evidence", F.when(F.col("_no"), F.concat("evidence", F.array(F.lit("a reviewer rejected this suggestion previously")))).otherwise(F.col("evidence"))).drop("_no", "field_key"))
+            .withColumn("evidence", F.when(F.col("_no"), F.concat("evidence", F.array(F.lit("a reviewer has turned this down before")))).otherwise(F.col("evidence"))).drop("_no", "field_key"))
 
 
 def status(tier, confidence, t: Tunables = DEFAULTS):
@@ -182,7 +182,7 @@ def prefill(fields: DataFrame, rows: DataFrame, rejected: DataFrame | None = Non
     keys = keyed.select("form_key", "normalized_text", "domain").distinct()
     exact = keys.join(exact_winners(rows, t), ["form_key", "normalized_text"]).select("form_key", "normalized_text", "domain", *_CANDIDATE)
     by_key = lambda c: keys.join(c, ["form_key", "normalized_text"]).select("form_key", "normalized_text", "domain", *_CANDIDATE)
-    pattern = domain_pattern(rows, keys, t).withColumn("domain", F.regexp_extract(F.element_at("evidence", 1), "this form is (.*)$", 1)).select("form_key", "normalized_text", "domain", *_CANDIDATE)
+    pattern = domain_pattern(rows, keys, t).withColumn("domain", F.regexp_extract(F.element_at("evidence", 1), "here the domain is (.*)$", 1)).select("form_key", "normalized_text", "domain", *_CANDIDATE)
     found = exact.unionByName(by_key(consensus(rows, keys, t))).unionByName(pattern)
     if with_fuzzy:
         found = found.unionByName(by_key(fuzzy(rows, keys, t)))
@@ -192,7 +192,7 @@ def prefill(fields: DataFrame, rows: DataFrame, rejected: DataFrame | None = Non
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("order"), rank.alias("rank"), *_CANDIDATE)))
     grouped = found.groupBy("form_key", "normalized_text", "domain").agg(ordered.alias("all"))
     nothing = F.struct(F.lit(0.0).alias("order"), F.lit(len(_TIERS)).cast("long").alias("rank"), F.lit(NONE).alias("tier"), F.lit(0.0).alias("confidence"), F.lit("").alias("variable"), F.lit("").alias("annotation_text"),
-                       F.lit("").alias("annot_type"), F.lit("").alias("source"), F.array(F.lit("no field in the corpus reaches this label")).alias("evidence"))
+                       F.lit("").alias("annot_type"), F.lit("").alias("source"), F.array(F.lit("nothing like it in the corpus")).alias("evidence"))
     out = (keyed.join(grouped, ["form_key", "normalized_text", "domain"], "left").withColumn("best", F.coalesce(F.element_at("all", 1), nothing))
            .withColumn("alternates", F.coalesce(F.slice("all", F.lit(2), F.greatest(F.size("all"), F.lit(1))), F.array().cast(grouped.schema["all"].dataType))).withColumn("status", status(F.col("best.tier"), F.col("best.confidence"), t)))
     other = aliases(rows).select("form_key", F.col("variable").alias("_v"), "labels")

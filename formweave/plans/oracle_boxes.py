@@ -62,7 +62,7 @@ SELECT (SELECT count(*) FROM e) AS rows, (SELECT count(*) FROM e WHERE ok AND st
   round_even(160 + dx * 595, 2) AS x0, round_even(y0 + 5 + dy * 842 - pt, 2) AS y0, round_even(160 + dx * 595 + length(drawn) * pt * 0.55, 2) AS x1, round_even(y0 + 5 + dy * 842 + pt, 2) AS y1 FROM m""",
     "learned_links": _SHEET + "SELECT 'reviewed' AS doc_id, page::INT AS page, row_id AS field_id, 1.0::DOUBLE AS link_score, trust, trust = 'HUMAN_REJECTED' AS rejected FROM m",
     "learned_fields": _SHEET + "SELECT 'reviewed' AS doc_id, CASE WHEN row_id IN (SELECT row_id FROM m) THEN 'Medical History' ELSE form END AS form_name, count(*) AS n FROM b GROUP BY ALL",
-    "write_reasons": _SHEET + """, w AS (SELECT CASE WHEN NOT ok THEN 'blocked by validation' WHEN st <> 'APPROVED' THEN 'status is ' || CASE WHEN st = '' THEN 'blank' ELSE st END || ', not APPROVED' WHEN gk % 9 NOT BETWEEN 1 AND 5 THEN 'page ' || (gk % 9) || ' is not in the document' END AS reason FROM e)
+    "write_reasons": _SHEET + """, w AS (SELECT CASE WHEN NOT ok THEN 'has errors' WHEN st <> 'APPROVED' THEN 'left at ' || CASE WHEN st = '' THEN 'blank' ELSE st END || ', so not drawn' WHEN gk % 9 NOT BETWEEN 1 AND 5 THEN 'page ' || (gk % 9) || ' does not exist' END AS reason FROM e)
 SELECT reason, count(*) AS n FROM w WHERE reason IS NOT NULL GROUP BY reason""",
     "placement_anchored": """WITH k AS (
   SELECT p_partkey AS row_id, CASE WHEN p_size % 3 > 0 THEN p_size % 3 * 4 ELSE 8 END AS pt, length(p_brand) AS n, p_partkey % 6 AS pl, p_partkey % 5 AS f, p_partkey % 20 / 20 * 595 AS x, p_size % 50 / 50 * 842 AS y, p_partkey % 4 / 100 * 595 AS dx, p_partkey % 3 / 100 * 842 AS dy FROM part),

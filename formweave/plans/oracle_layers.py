@@ -1,9 +1,8 @@
 """DuckDB SQL for the queries over extracted layers made from parts."""
 
-from .oracle_text import CLASSIFY, STRINGS
+from .oracle_text import CLASSIFY, STRINGS, filled
 
-_LISTED = r"""NOT contains(text, '=') AND regexp_matches(text, '^\s*[A-Z][A-Z0-9]{1,7}(?:\.[A-Z][A-Z0-9]{1,7})?(?:\s*[,/|]\s*|\s+)[A-Z][A-Z0-9]{1,7}(?:\.[A-Z][A-Z0-9]{1,7})?.*$')
-  AND len(list_filter(string_split_regex(text, '\s*[,/|]\s*|\s+'), lambda w: w <> '' AND NOT regexp_matches(w, '^\s*(?:([A-Z]{2})\.)?([A-Z][A-Z0-9]{1,7})\s*$'))) = 0"""
+_LISTED = filled("NOT contains(text, '=') AND regexp_matches(text, <VARIABLE_LIST>) AND len(list_filter(string_split_regex(text, <SEPARATOR>), lambda w: w <> '' AND NOT regexp_matches(w, <PURE_VARIABLE>))) = 0")
 PARTS = STRINGS.replace("\ns AS (", "\nwhole AS (") + rf""", marks AS (SELECT id, id // 7 AS page, trim(text) AS text, text AS raw, row_number() OVER (PARTITION BY id // 7 ORDER BY id) AS nth FROM whole),
 cut AS (SELECT id, page, nth, raw, CASE WHEN {_LISTED} THEN list_filter(string_split_regex(text, '\s*[,/|]\s*|\s+'), lambda w: w <> '') ELSE [text] END AS parts FROM marks),
 s AS (SELECT id * 100 + i - 1 AS id, nth = 1 AS first, parts[i] AS text FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM cut))
