@@ -18,6 +18,9 @@ classes join.  Jaccard distance is a metric on sets.
   nearest pivot and, by the triangle inequality, to every pivot within ``d(nearest) + 2 (1 - t)``.  Regions of
   few members, or that do not shrink, are joined exactly, in blocks of bounded size.  Distances there are those of
   hashed count vectors, under which no two sets are farther apart than their Jaccard distance.
+  Pairs of large regions come in lots by a hash of the pair: the links of a lot make components before
+  the next, and pairs inside a component are left out, so that a region of near copies, which the
+  first lot joins, never gives all its pairs.
 * Exactness.  Pairs that pass are verified on their whole sets; pairs inside a component found so
   far are not needed for components, all others are kept.  Class names are 64-bit digests; names
   that two sets share are found by a second digest, and those classes take it as their name.
@@ -39,6 +42,8 @@ SKETCH_BITS, CELL_BITS, SMALL = 18, 9, 48
 CELLS, FULL = 1 << CELL_BITS, 255
 #: Members of a region that are joined as they are, and rows of a block of a larger one.
 JOINED, BLOCK, RUN = 256, 1024, 4096
+#: Lots of a large region's pairs, as shares of a pair's hash; regions of at most ``WHOLE`` members have one.
+LOTS, WHOLE = ((0.0, 1 / 32), (1 / 32, 1 / 4), (1 / 4, 1.0)), 32
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -175,10 +180,11 @@ def named_rows(rows: DataFrame, bits: int = 64, limit: int = 100_000) -> tuple[D
 def regions(docs: DataFrame, words: int, num: int, den: int, levels: np.ndarray, name: Names, hot: int) -> DataFrame:
     """Each class in all its regions: ``key``, ``run``, ``sid``, ``n``, ``pos``.
 
-    ``run`` is -1; regions whose n-gram occurs in more than ``hot`` documents are dealt over runs from 0.
+    ``run`` is -1; regions whose n-gram occurs in clearly more than ``hot`` documents are dealt over runs from
+    0, of about ``hot`` rows each.
     """
     shared = docs.sparkSession.sparkContext.broadcast(levels)  # fixed size
-    shares, bar = shares_of(docs.sparkSession), int(np.log2(hot + 1)) + 1
+    shares, base = shares_of(docs.sparkSession), int(np.log2(hot))
 
     def run(batches):
         import pyarrow as pa
@@ -197,7 +203,8 @@ def regions(docs: DataFrame, words: int, num: int, den: int, levels: np.ndarray,
                 p = prefix_length(len(s), num, den)
                 order = level[_bucket(s)] | (s >> np.uint64(6))
                 first = np.sort(np.partition(order, p - 1)[:p] if p < len(order) else order)
-                run = np.where(first >> np.uint64(58) >= bar, sid % shares, -1).astype(np.int32)
+                many = (first >> np.uint64(58)).astype(np.int64) - base
+                run = np.where(many > 0, sid % np.minimum(shares, 1 << np.clip(many, 0, 40)), -1).astype(np.int32)
                 for c, x in zip(cols, (first.view(np.int64), run, np.full(p, sid, np.int64), np.full(p, len(s), np.int32), np.arange(p, dtype=np.int32)), strict=True):
                     c.append(x)
                 size += p
@@ -316,40 +323,40 @@ def leader_pairs(leaders: DataFrame, num: int, den: int) -> DataFrame:
     return leaders.join(first, "key").filter((F.col("a") != f.a) & (F.least(n - F.col("pos"), f.n - f.pos) >= need)).select(F.col("f.a").alias("a"), F.col("a").alias("b"))
 
 
-def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int, name: Names) -> DataFrame:
-    """``members`` (the whole set) and ``cells`` of the classes in ``wanted`` (``sid``), one row each, from one
-    document of each class; stored."""
+def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int, name: Names, whole: bool) -> DataFrame:
+    """``members`` (the whole set) or else ``cells`` of the classes in ``wanted`` (``sid``), one row each, from
+    one document of each class; stored."""
+    column, content = ("members", lambda s: s) if whole else ("cells", cells_of)
     ids = written(wanted.join(classes.filter("rep IS NOT NULL"), "sid").select(F.col("rep").alias("_id")).distinct(), "wanted-ids")
 
     def run(batches):
         import pyarrow as pa
 
+        def taken(found):
+            a, b = zip(*found, strict=True) if found else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.binary())], ["sid", column])
+
         for batch in batches:
             found, size = [], 0
             for text in batch.column(0).to_pylist():
                 s = shingles(text, words)
                 if len(s):
-                    found.append((name(s), s.tobytes(), cells_of(s).tobytes()))
+                    found.append((name(s), content(s).tobytes()))
                     size += len(s)
                 if size > 500_000:
-                    yield _set_batch(pa, found)
+                    yield taken(found)
                     found, size = [], 0
-            yield _set_batch(pa, found)
+            yield taken(found)
 
     near = F.broadcast(ids) if ids.count() <= 1_000_000 else ids  # rows of 8 bytes; beyond that a shuffled join
-    rows = docs.join(near, docs.doc_id == F.col("_id"), "left_semi").select("text").mapInArrow(run, "sid long, members binary, cells binary")
-    found = written(rows, "class-sets")
+    rows = docs.join(near, docs.doc_id == F.col("_id"), "left_semi").select("text").mapInArrow(run, f"sid long, {column} binary")
+    found = written(rows, f"class-{column}")
     # rows that repeat an id give their class more than once, or classes not asked for, which join with nothing
     if found.select("sid").groupBy("sid").count().filter("count > 1").limit(1).count():
-        found = written(found.groupBy("sid").agg(F.max("members").alias("members"), F.max("cells").alias("cells")), "class-sets")
+        found = written(found.groupBy("sid").agg(F.max(column).alias(column)), f"class-{column}")
     return found
 
 
-def _set_batch(pa, found: list[tuple]):
-    a, b, c = zip(*found, strict=True) if found else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.binary()), pa.array(c, pa.binary())], ["sid", "members", "cells"])
-
-
 def shared_shares(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums of the smaller and of the larger counts of two vectors, row by row; where a count is full, (1, 1):
     nothing is known."""
@@ -395,15 +402,28 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return pairs.join(one, "b").join(two, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def cross_pairs(one: dict, two: dict, num: int, den: int) -> list[tuple[int, int]]:
-    """Pairs (smaller name first) of a row of each table that lie in different components and pass all bounds."""
+def lot_of(s: int, t: np.ndarray) -> np.ndarray:
+    """A number from 0 to 1 for each pair, the same for either order."""
+    mixed = (np.array([s]).astype(np.uint64) * _A ^ t.astype(np.uint64) * _A) * _B
+    return ((mixed ^ (mixed >> np.uint64(31))) * _A >> np.uint64(40)).astype(np.float64) / (1 << 24)
+
+
+def cross_pairs(one: dict, two: dict, num: int, den: int, lot: tuple[float, float]) -> list[tuple[int, int]]:
+    """Pairs (smaller name first) of a row of each table that lie in different components, belong to the
+    lot and pass all bounds; regions of few members have but one lot, which is the first."""
     out = []
+    whole = max(len(one["sid"]), len(two["sid"])) <= WHOLE
+    if whole and lot[0] > 0:
+        return out
     order = np.argsort(two["n"], kind="stable")
     sid, n, pos, comp, cells = (two[c][order] for c in ("sid", "n", "pos", "comp", "cells"))
     for s, m, p, c, x in zip(one["sid"].tolist(), one["n"].tolist(), one["pos"].tolist(), one["comp"].tolist(), one["cells"], strict=True):
         # partners are at least num / den and at most den / num times as large
         a, b = np.searchsorted(n, -(-num * m // den)), np.searchsorted(n, den * m // num, side="right")
         y = a + np.flatnonzero((comp[a:b] != c) & may_link(m, n[a:b], p, pos[a:b], num, den))
+        if not whole:
+            h = lot_of(s, sid[y])
+            y = y[(h >= lot[0]) & (h < lot[1])]
         for k in range(0, len(y), 4096):
             some = y[k:k + 4096]
             low, high = shared_shares(cells[some], x)
@@ -425,13 +445,13 @@ def _pair_table(pa, pairs: list[tuple[int, int]]):
     return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
 
-def joined_regions(members: DataFrame, num: int, den: int) -> DataFrame:
+def joined_regions(members: DataFrame, num: int, den: int, lot: tuple[float, float]) -> DataFrame:
     """Pairs across components within regions of at most ``JOINED`` members each."""
     def run(table):
         import pyarrow as pa
 
         rows = _table(table)
-        return _pair_table(pa, cross_pairs(rows, rows, num, den))
+        return _pair_table(pa, cross_pairs(rows, rows, num, den, lot))
 
     return members.select("key", *(x.split()[0] for x in MEMBER.split(", "))).groupBy("key").applyInArrow(run, "a long, b long")
 
@@ -470,7 +490,7 @@ def split_regions(members: DataFrame, num: int, den: int, depth: int, pivots: in
     return met.mapInArrow(run, "parent long, key long, " + MEMBER)
 
 
-def block_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
+def block_pairs(members: DataFrame, num: int, den: int, lot: tuple[float, float]) -> DataFrame:
     """Pairs across components in regions that do not shrink, by blocks of bounded size.
 
     Members of a region's largest component meet all others but not each other, so work grows with
@@ -480,8 +500,8 @@ def block_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
     sizes = each.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("inner"), F.sum("c").alias("all"))
     sizes = sizes.select("key", "main", F.ceil((F.col("all") - F.col("inner")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("inner") / RUN).cast("int").alias("runs"))
     rows = spread(members, sizes, ["key"], "sid")
-    inner, lot = F.col("comp") == F.col("main"), F.xxhash64("sid")
-    own = F.when(inner, F.pmod(lot, F.col("runs"))).otherwise(F.pmod(lot, F.col("blocks"))).cast("int")
+    inner, mixed = F.col("comp") == F.col("main"), F.xxhash64("sid")
+    own = F.when(inner, F.pmod(mixed, F.col("runs"))).otherwise(F.pmod(mixed, F.col("blocks"))).cast("int")
     place = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"))
     blocks, runs = F.sequence(F.lit(0), F.col("blocks") - 1), F.sequence(F.lit(0), F.col("runs") - 1)
     rows = rows.withColumn("_own", own)
@@ -495,31 +515,32 @@ def block_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
         rows = _table(table)
         side = table.column("inner").to_numpy()
         part = lambda mask: {c: x[mask] for c, x in rows.items()}
-        pairs = cross_pairs(part(~side), part(side), num, den) if side.any() else cross_pairs(rows, rows, num, den)
+        pairs = cross_pairs(part(~side), part(side), num, den, lot) if side.any() else cross_pairs(rows, rows, num, den, lot)
         return _pair_table(pa, pairs)
 
     return dealt.groupBy("key", "kind", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def region_pairs(members: DataFrame, num: int, den: int, joined: int = JOINED) -> list[DataFrame]:
-    """Pairs across components in regions that links have not made one component, by rounds.
+def region_pairs(members: DataFrame, cells: DataFrame, num: int, den: int, lot: tuple[float, float] = (0.0, 1.0), joined: int = JOINED) -> list[DataFrame]:
+    """Pairs of a lot across components in regions that links have not made one component, by rounds.
 
-    ``members``: ``key``, the columns of ``MEMBER`` and the ``size`` of the region, stored; a round splits
-    the regions of more than ``joined`` members, and every region loses three tenths of its members
-    by a round, or is joined by blocks.
+    ``members``: ``key``, ``sid``, ``n``, ``pos``, ``comp`` and the ``size`` of the region, stored; ``cells`` by ``sid``.  A
+    round splits the regions of more than ``joined`` members, and every region loses three tenths of
+    its members by a round, or is joined by blocks.
     """
     out, rows, depth = [], members, 0
+    held = lambda df: df.join(cells, "sid")
     while True:
-        out.append(written(joined_regions(rows.filter(F.col("size") <= joined), num, den), "region-pairs"))
+        out.append(written(joined_regions(held(rows.filter(F.col("size") <= joined)), num, den, lot), "region-pairs"))
         large = rows.filter(F.col("size") > joined)
         if large.limit(1).count() == 0:
             return out
-        cells = written(split_regions(large, num, den, depth), "voronoi")
-        most = cells.groupBy("parent", "key").agg(F.count(F.lit(1)).alias("c")).groupBy("parent").agg(F.max("c").alias("most"))
+        parts = written(split_regions(held(large), num, den, depth).drop("cells"), "voronoi")
+        most = parts.groupBy("parent", "key").agg(F.count(F.lit(1)).alias("c")).groupBy("parent").agg(F.max("c").alias("most"))
         before = large.groupBy("key").agg(F.first("size").alias("before"))
         stuck = written(most.join(before, most.parent == before.key).filter(F.col("most") >= 0.7 * F.col("before")).select("key"), "stuck-regions")
-        out.append(written(block_pairs(spread(large, stuck, ["key"], "sid").drop("size"), num, den), "block-pairs"))
-        left = cells.join(stuck.select(F.col("key").alias("parent")), "parent", "left_anti").drop("parent")
+        out.append(written(block_pairs(held(spread(large, stuck, ["key"], "sid").drop("size")), num, den, lot), "block-pairs"))
+        left = parts.join(stuck.select(F.col("key").alias("parent")), "parent", "left_anti").drop("parent")
         rows = written(open_regions(left), "open-regions")
         depth += 1
 
@@ -588,19 +609,22 @@ def linked(docs: DataFrame, words: int, num: int, den: int, bits: int = 64, join
     pairs = met.filter("kind = 0").select("a", "b").unionByName(leader_pairs(met.filter("kind = 2").drop("b"), num, den)).distinct()
     members = met.filter("kind = 1").select("key", F.col("a").alias("sid"), "n", "pos").distinct()
     pairs, members = written(pairs, "pairs"), written(members, "members")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("sid"))
-    sets = sets_of(base, classes, written(ends.unionByName(members.select("sid")).distinct(), "wanted"), words, name)
-    cells = sets.select("sid", "cells")
-    near = written(close_pairs(pairs, cells, num, den), "close-pairs")
-    links = written(verified(near, sets, num, den), "links")
-
-    labels = components(links)
-    placed = members.join(labels.select(F.col("id").alias("sid"), F.col("label").alias("found")), "sid", "left").select("key", "sid", "n", "pos", F.coalesce("found", "sid").alias("comp"))
-    placed = written(placed, "placed")
-    left = written(open_regions(placed).join(cells, "sid"), "open-regions")
-    more = reduce(DataFrame.unionByName, region_pairs(left, num, den, joined)).distinct()
-    more = written(more.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "more-pairs")
-    return rows, classes, links.unionByName(written(verified(more, sets, num, den), "more-links")), name
+    ends = lambda p: written(p.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "ends")
+    wanted = written(ends(pairs).unionByName(members.select("sid")).distinct(), "wanted")
+    cells = sets_of(base, classes, wanted, words, name, whole=False)
+    whole = lambda near, tag: written(verified(near, sets_of(base, classes, ends(near), words, name, whole=True), num, den), tag)
+    links = whole(written(close_pairs(pairs, cells, num, den), "close-pairs"), "links")
+    tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for lot in LOTS:
+        labels = components(links).select(F.col("id").alias("sid"), F.col("label").alias("found"))
+        placed = members.join(labels, "sid", "left").select("key", "sid", "n", "pos", F.coalesce("found", "sid").alias("comp"))
+        rows_of = written(open_regions(written(placed, "placed")).filter(F.col("size") > (WHOLE if lot[0] else 0)), "open-regions")
+        if rows_of.limit(1).count() == 0:
+            break
+        more = reduce(DataFrame.unionByName, region_pairs(rows_of, cells, num, den, lot, joined)).distinct()
+        more = written(more.join(tested, ["a", "b"], "left_anti"), "more-pairs")
+        links = links.unionByName(whole(more, "more-links"))
+    return rows, classes, links, name
 
 
 def to_rows(rows: DataFrame, by_class: DataFrame) -> DataFrame:

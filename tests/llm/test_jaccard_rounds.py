@@ -35,15 +35,24 @@ def test_rounds_and_blocks_lose_no_pair(spark, joined):
     rng = np.random.default_rng(2)
     sets = sets_near(rng)
     comp = rng.integers(0, 40, len(sets))
-    rows = [(1, i, len(s), 0, int(c), jaccard.cells_of(s).tobytes(), len(sets)) for i, (s, c) in enumerate(zip(sets, comp, strict=True))]
-    members = spark.createDataFrame(rows, "key long, " + jaccard.MEMBER + ", size long")
-    got = {tuple(r) for df in jaccard.region_pairs(members, 85, 100, joined) for r in df.collect()}
+    rows = [(1, i, len(s), 0, int(c), len(sets)) for i, (s, c) in enumerate(zip(sets, comp, strict=True))]
+    members = spark.createDataFrame(rows, "key long, sid long, n int, pos int, comp long, size long")
+    cells = spark.createDataFrame([(i, jaccard.cells_of(s).tobytes()) for i, s in enumerate(sets)], "sid long, cells binary")
+    lots = jaccard.LOTS if joined > 6 else [(0.0, 1.0)]
+    got = {tuple(r) for lot in lots for df in jaccard.region_pairs(members, cells, 85, 100, lot, joined) for r in df.collect()}
     for a, b in itertools.combinations(range(len(sets)), 2):
         common = len(np.intersect1d(sets[a], sets[b]))
         if comp[a] != comp[b] and 100 * common >= 85 * (len(sets[a]) + len(sets[b]) - common):
             assert (a, b) in got
 
 
+def test_lots_part_all_pairs():
+    ids = np.random.default_rng(1).integers(-2**63, 2**63, 2000)
+    h = np.concatenate([jaccard.lot_of(int(s), ids) for s in ids[:20]])
+    assert h.min() >= 0 and h.max() < 1 and abs((h < 1 / 32).mean() - 1 / 32) < 0.01
+    assert jaccard.lot_of(int(ids[0]), ids[1:2]) == jaccard.lot_of(int(ids[1]), ids[:1])
+
+
 def test_full_counts_tell_nothing():
     some = np.arange(300, dtype=np.uint64)  # all in one cell
     assert jaccard.cells_of(some).max() == jaccard.FULL
