@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import bounded_batches, shares_of, spread, without, written
+from .store import bounded_batches, matched, shares_of, spread, without, written
 
 SKETCH_BITS, CELL_BITS, SMALL = 18, 9, 48
 CELLS, FULL = 1 << CELL_BITS, 255
@@ -548,7 +548,7 @@ def region_pairs(members: DataFrame, cells: DataFrame, num: int, den: int, lot:
 def open_regions(members: DataFrame) -> DataFrame:
     """Members of regions of more than one component, with the region's ``size``."""
     state = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    return spread(members, state.filter("lo <> hi").select("key", "size"), ["key"], "sid")
+    return matched(members, written(state.filter("lo <> hi").select("key", "size"), "open-keys"), ["key"], "sid")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -560,11 +560,11 @@ def components(edges: DataFrame) -> DataFrame:
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     while True:
-        # a vertex of many edges, or the label of a giant component, is one key: its rows are dealt over runs
-        near = spread(both, labels.select(F.col("id").alias("b"), "label"), ["b"], "a").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
+        # a vertex of many edges, or the label of a giant component, is one key: few labels are broadcast, else its rows are dealt over runs
+        near = matched(both, labels.select(F.col("id").alias("b"), "label"), ["b"], "a").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         stepped = written(labels.join(near, "id").select("id", F.col("label").alias("was"), F.least("label", "near").alias("label")), "labels")
         target = stepped.select(F.col("id").alias("label"), F.col("label").alias("next"))
-        jumped = written(spread(stepped, target, ["label"], "id").select("id", "was", F.col("next").alias("label")), "labels")
+        jumped = written(matched(stepped, target, ["label"], "id").select("id", "was", F.col("next").alias("label")), "labels")
         labels = jumped.select("id", "label")
         if jumped.filter("label <> was").limit(1).count() == 0:
             return labels
