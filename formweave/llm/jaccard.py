@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import bounded_batches, matched, shares_of, spread, without, written
+from .workers import held
 
 SKETCH_BITS, CELL_BITS, SMALL = 18, 9, 48
 CELLS, FULL = 1 << CELL_BITS, 255
@@ -59,15 +60,12 @@ class _Words(dict):
         return h
 
 
-_WORDS = _Words()
-
-
 def shingles(text: str | None, words: int) -> np.ndarray:
     """Sorted distinct hashes of the n-grams; the whole sequence if shorter; none without words."""
     parts = (text or "").encode().lower().split()  # bytes: A-Z and the six ASCII blanks only
     if not parts:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, parts), np.uint64, len(parts))
+    h = np.fromiter(map(held("words", _Words).__getitem__, parts), np.uint64, len(parts))
     width = min(words, len(parts))
     count = len(parts) - width + 1
     out = np.full(count, width, np.uint64)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .labelled import fold, sample
 from .store import bounded_batches
+from .workers import held
 
 BITS = 18
 _FORMS = [(re.compile(r"[^\W\d_]+"), lambda m: "a" if m[0].islower() else "A" if m[0].isupper() else "Aa" if m[0][1:].islower() else "aA"),
@@ -44,15 +45,12 @@ class _Shapes(dict):
         return code
 
 
-_SHAPES = _Shapes()
-
-
 def features(text: str) -> np.ndarray:
     """Sorted distinct feature numbers below ``2 ** BITS``; empty for a text without words."""
     words = text.split()
     if not words:
         return np.zeros(0, np.uint32)
-    h = np.fromiter(map(_SHAPES.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(held("shapes", _Shapes).__getitem__, words), np.uint64, len(words))
     h[1:] |= np.fromiter(map(operator.eq, words[1:], words), bool, len(words) - 1).astype(np.uint64)
     a = np.uint64(0x9E3779B97F4A7C15)
     h = h * a

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .labelled import fold, sample
 from .store import bounded_batches, written
+from .workers import held
 
 #: What a sign may stand for in leetspeak.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
@@ -290,13 +291,8 @@ def curve(x: np.ndarray, y: np.ndarray) -> list[float]:
     return [max(float(beta[0]), 0.0), max(float(beta[1]), 0.0), min(float(beta[2]), 0.0) / 100, float(beta[3])]
 
 
-_LAST: list = [None, None]
-
-
 def _scorer(key, model: dict) -> Scorer:
-    if _LAST[0] != key:
-        _LAST[:] = [key, Scorer(model["grams"], model["weights"])]
-    return _LAST[1]
+    return held(key, lambda: Scorer(model["grams"], model["weights"]))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> dict:
