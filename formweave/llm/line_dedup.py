@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import matched, spread, written
+from .store import drop_dir, matched, spread, written, written_at
 
 FIELD = "<*>"
 DOC, LINE, PLACE, TEMPLATE = ["d1", "d2"], ["l1", "l2"], ["k1", "k2"], ["x", "y"]
@@ -32,7 +32,8 @@ def masked(line: Column) -> Column:
     Tokens are what the characters of [\x20\x09-\x0D] part.  Most lines are so already.
     """
     plain = F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
-    return F.when(line.rlike(r"[0-9\x09-\x0D]|  |^ | $"), F.regexp_replace(plain, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*", FIELD)).otherwise(line)
+    other = line.contains("  ") | line.startswith(" ") | line.endswith(" ") | line.rlike(r"[0-9\x09-\x0D]")
+    return F.when(other, F.regexp_replace(plain, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*", FIELD)).otherwise(line)
 
 
 def names(columns: list[str], *values: Column) -> list[Column]:
@@ -48,26 +49,30 @@ def leaf_of(tokens: Column, depth: int) -> Column:
 
 def _lines(docs: DataFrame, text: str, depth: int) -> DataFrame:
     """``d1``, ``d2`` (the text), ``at``, ``l1``, ``l2`` (the line), ``tokens`` and ``leaf`` of all lines that have tokens."""
-    rows = docs.select(*names(DOC, F.col(text)), F.posexplode(F.split(F.col(text), "\n", -1)).alias("at", "line")).filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    tokens = masked(F.col("line"))
-    return rows.select(*DOC, "at", *names(LINE, tokens), tokens.alias("tokens"), F.xxhash64(leaf_of(tokens, depth)).alias("leaf"))
+    named = docs.select(*names(DOC, F.col(text)), F.split(F.col(text), "\n", -1).alias("lines"))  # once a text, below the lines; "outer" lets Spark add no filter, which would split again
+    rows = named.select(*DOC, F.posexplode_outer("lines").alias("at", "line")).filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    tokens = F.col("tokens")
+    return rows.select(*DOC, "at", masked(F.col("line")).alias("tokens")).select(*DOC, "at", *names(LINE, tokens), "tokens", F.xxhash64(leaf_of(tokens, depth)).alias("leaf"))
 
 
 def recurring_lines(docs: DataFrame, text: str = "text", depth: int = 2, min_docs: int = 3) -> DataFrame:
     """``d1``, ``d2`` and ``at`` (from 0) of every line of every distinct text whose template recurs."""
     count = F.count(F.lit(1))
-    lines = written(_lines(docs, text, depth).select(*DOC, "at", *LINE, "leaf").distinct(), "lines")
+    every, every_at = written_at(_lines(docs, text, depth), "masked-lines", "lz4")
+    lines = written(every.select(*DOC, "at", *LINE, "leaf").distinct(), "lines")
 
     # lines with the number of their documents, in leaves that may hold a constant
     counted = written(lines.select(*LINE, "leaf", *DOC).distinct().groupBy(*LINE, "leaf").agg(count.alias("docs")), "line-counts")
     leaves = written(counted.groupBy("leaf").agg(F.sum("docs").alias("all")).filter(F.col("all") >= min_docs).select("leaf"), "leaves")
     opened = matched(counted, leaves, ["leaf"], "l1").select(*LINE, "docs")
-    found = matched(_lines(docs, text, depth).select(*LINE, "tokens", "leaf"), leaves, ["leaf"], "l1")
+    found = matched(every.select(*LINE, "tokens", "leaf"), leaves, ["leaf"], "l1")
     known = written(found.groupBy(*LINE).agg(F.min("tokens").alias("tokens")).join(opened, LINE), "open-lines")
+    drop_dir(docs.sparkSession, every_at)
 
     # constants of each position of a leaf, and the template that they leave of a line
     path = leaf_of(F.col("tokens"), depth)
-    placed = known.select(*LINE, "docs", F.substring_index(path, " ", 1).cast("int").alias("n"), *names(["p1", "p2"], path), F.posexplode(F.split("tokens", " ")).alias("pos", "token"))
+    placed = known.select(*LINE, "docs", F.substring_index(path, " ", 1).cast("int").alias("n"), *names(["p1", "p2"], path), F.split("tokens", " ").alias("parts"))  # once a line, below the tokens
+    placed = placed.select(*LINE, "docs", "n", "p1", "p2", F.posexplode_outer("parts").alias("pos", "token"))
     place = (F.xxhash64(p, F.col("pos"), F.col("token")).alias(k) for p, k in zip(("p1", "p2"), PLACE, strict=True))
     places = placed.filter(F.col("token") != FIELD).select(*LINE, "docs", "n", *place)
     constants = written(places.groupBy(*PLACE).agg(F.sum("docs").alias("all")).filter(F.col("all") >= min_docs).select(*PLACE), "constants")
@@ -102,7 +107,8 @@ def line_dedup(docs: DataFrame, text: str = "text", depth: int = 2, min_docs: in
     rows = docs.select(*some, *names(key, F.col(text)), F.xxhash64(*some).alias("_ld_by"))
     total = gone.agg(F.sum(F.size("_ld_gone"))).first()[0] or 0  # lines to drop: few are broadcast
     met = rows.join(F.broadcast(gone), key, "left") if total <= 2_000_000 else spread(rows, gone, key, "_ld_by", "left")
-    parts = F.split(F.col(text), "\n", -1)
+    met = met.withColumn("_ld_parts", F.split(F.col(text), "\n", -1))  # a column of its own: not split again for each line that stays
+    parts = F.col("_ld_parts")
     stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_ld_gone"))
     clean = F.when(F.col("_ld_gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
     out = [clean.alias(text) if c == text else F.col(c) for c in some]
