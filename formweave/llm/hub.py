@@ -4,9 +4,9 @@ In the vocabulary's pattern a single blank between two characters that are not w
 a new pre-token, and a single line feed there is one of its own.  Most texts have no other white
 space: Arrow cuts those at blanks and line feeds and numbers the distinct pieces.  Pieces of Latin
 letters and signs are two pre-tokens, others are cut by the pattern; new pre-tokens go to the
-library's own BPE model, spelt in the vocabulary's letters, one word each; and the ids of all texts are gathered from
-that table.  All other texts,
-and all texts if the file is of another kind, go to the library's tokenizer as they are.
+library's own BPE model, spelt in the vocabulary's letters, one word each; and the ids of all texts
+are gathered from that table.  All other texts, and all texts if the file is of another kind, go to
+the library's tokenizer as they are.
 """
 
 from __future__ import annotations
