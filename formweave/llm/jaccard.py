@@ -13,10 +13,11 @@ classes join.  Jaccard distance is a metric on sets.
   sizes and positions that prunes most others.  Regions whose n-gram is frequent are dealt over
   runs, each with a leader, and the leaders join.
 * Recursion.  A region first joins all its classes to one representative (by linear work, however
-  large it is).  Regions that links have not made one component are then split by rounds, each
+  large it is).  Members that sizes and positions bar from all others of a large region leave it, and a
+  region inside an earlier one is joined there.  Regions that links have not made one component are then split by rounds, each
   a few joins of DataFrames: a region draws pivots from its members, a member goes to the
   nearest pivot and, by the triangle inequality, to every pivot within ``d(nearest) + 2 (1 - t)``.  Regions of
-  few members, or that do not shrink, are joined exactly, in blocks of bounded size.  Distances there are those of
+  few members, or of which a split would not spare half of the pairs, are joined exactly, in blocks of bounded size.  Distances there are those of
   hashed count vectors, under which no two sets are farther apart than their Jaccard distance.
   Pairs of large regions come in lots by a hash of the pair: the links of a lot make components before
   the next, and pairs inside a component are left out, so that a region of near copies, which the
@@ -455,7 +456,7 @@ def joined_regions(members: DataFrame, num: int, den: int, lot: tuple[float, flo
 
 
 def split_regions(members: DataFrame, num: int, den: int, depth: int, pivots: int = 8) -> DataFrame:
-    """Voronoi cells of each region: rows with ``parent`` (the region) and ``key`` (the cell).
+    """Each region's members, one row each, with their Voronoi cells as bits of ``met``.
 
     A member goes to the nearest of the pivots that its region draws, and by the triangle inequality
     to all within twice the threshold's distance of that.
@@ -463,29 +464,35 @@ def split_regions(members: DataFrame, num: int, den: int, depth: int, pivots: in
     draw = Window.partitionBy("key").orderBy(F.xxhash64("sid", F.lit(depth)), "sid")
     drawn = members.select("key", "sid", "cells", F.row_number().over(draw).alias("k")).filter(F.col("k") <= pivots)
     packed = drawn.groupBy("key").agg(F.collect_list("cells").alias("pivots"))
-    names = [x.split()[0] for x in MEMBER.split(", ")]
+    names = ["key", "size", "sid", "n", "pos", "comp"]
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            cells = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, CELLS)
-            keys = batch.column(0).to_numpy()
-            row, cell = [], []
-            for i, drawn in enumerate(batch.column(6).to_pylist()):
-                low, high = shared_shares(np.frombuffer(b"".join(drawn), np.uint8).reshape(-1, CELLS), cells[i])
+            cells, met = batch.column(len(names)).to_pylist(), []
+            for x, drawn in zip(cells, batch.column(len(names) + 1).to_pylist(), strict=True):
+                low, high = shared_shares(np.frombuffer(b"".join(drawn), np.uint8).reshape(-1, CELLS), np.frombuffer(x, np.uint8))
                 # a full count tells nothing: the member goes everywhere
                 far = np.where((low == 1) & (high == 1), 0.0, 1 - low / np.maximum(high, 1))
-                to = np.flatnonzero(far <= far.min() + 2 * (1 - num / den) + 1e-9)
-                row += [i] * len(to)
-                cell += [xxhash.xxh3_64_intdigest(int(keys[i]).to_bytes(8, "little", signed=True) + int(k).to_bytes(2, "little")) for k in to]
-            take = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(np.array(cell, np.uint64).view(np.int64)), *(batch.column(k).take(take) for k in range(1, 6))], ["parent", "key", *names])
+                met.append(sum(1 << k for k in np.flatnonzero(far <= far.min() + 2 * (1 - num / den) + 1e-9).tolist()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(names)], pa.array(met, pa.int32())], [*names, "met"])
 
-    met = spread(members.select("key", *names), packed, ["key"], "sid").select("key", *names, "pivots")
-    return met.mapInArrow(run, "parent long, key long, " + MEMBER)
+    met = spread(members.select(*names, "cells"), packed, ["key"], "sid").select(*names, "cells", "pivots")
+    return met.mapInArrow(run, "key long, size long, sid long, n int, pos int, comp long, met int")
+
+
+def unsplit_keys(split: DataFrame, pivots: int = 8) -> DataFrame:
+    """Regions whose cells would hold half of the region's pairs or more."""
+    counts = [F.sum(F.shiftright("met", k).bitwiseAND(F.lit(1))).cast("double") for k in range(pivots)]
+    inside = reduce(lambda x, y: x + y, (c * c for c in counts))
+    return split.groupBy("key").agg(inside.alias("inside"), F.first("size").cast("double").alias("all")).filter(2 * F.col("inside") >= F.col("all") * F.col("all")).select("key")
+
+
+def cells_apart(split: DataFrame, pivots: int = 8) -> DataFrame:
+    """A row for each member in each of its Voronoi cells, which are regions now."""
+    of = F.filter(F.sequence(F.lit(0), F.lit(pivots - 1)), lambda k: F.expr("met").bitwiseAND(F.pow(F.lit(2), k).cast("int")) != 0)
+    return split.withColumn("_cell", F.explode(of)).select(F.xxhash64("key", "_cell").alias("key"), "sid", "n", "pos", "comp")
 
 
 def block_pairs(members: DataFrame, num: int, den: int, lot: tuple[float, float]) -> DataFrame:
@@ -523,8 +530,8 @@ def region_pairs(members: DataFrame, cells: DataFrame, num: int, den: int, lot:
     """Pairs of a lot across components in regions that links have not made one component, by rounds.
 
     ``members``: ``key``, ``sid``, ``n``, ``pos``, ``comp`` and the ``size`` of the region, stored; ``cells`` by ``sid``.  A
-    round splits the regions of more than ``joined`` members, and every region loses three tenths of
-    its members by a round, or is joined by blocks.
+    round splits the regions of more than ``joined`` members: a split leaves less than half of a region's
+    pairs, and so twice its members at most, or the region is joined by blocks and no copies are made.
     """
     out, rows, depth = [], members, 0
     held = lambda df: df.join(cells, "sid")
@@ -533,13 +540,11 @@ def region_pairs(members: DataFrame, cells: DataFrame, num: int, den: int, lot:
         large = rows.filter(F.col("size") > joined)
         if large.limit(1).count() == 0:
             return out
-        parts = written(split_regions(held(large), num, den, depth).drop("cells"), "voronoi")
-        most = parts.groupBy("parent", "key").agg(F.count(F.lit(1)).alias("c")).groupBy("parent").agg(F.max("c").alias("most"))
-        before = large.groupBy("key").agg(F.first("size").alias("before"))
-        stuck = written(most.join(before, most.parent == before.key).filter(F.col("most") >= 0.7 * F.col("before")).select("key"), "stuck-regions")
+        split = written(split_regions(held(large), num, den, depth), "voronoi")
+        stuck = written(unsplit_keys(split), "stuck-regions")
         out.append(written(block_pairs(held(spread(large, stuck, ["key"], "sid").drop("size")), num, den, lot), "block-pairs"))
-        left = parts.join(stuck.select(F.col("key").alias("parent")), "parent", "left_anti").drop("parent")
-        rows = written(open_regions(left), "open-regions")
+        left = matched(split, stuck, ["key"], "sid", "left_anti")
+        rows = written(open_regions(written(cells_apart(left), "cells-apart")), "open-regions")
         depth += 1
 
 
@@ -549,6 +554,45 @@ def open_regions(members: DataFrame) -> DataFrame:
     return matched(members, written(state.filter("lo <> hi").select("key", "size"), "open-keys"), ["key"], "sid")
 
 
+def with_partners(members: DataFrame, num: int, den: int, small: int = SMALL) -> DataFrame:
+    """``members`` (``key``, ``sid``, ``n``, ``pos``; stored) without those of regions of more than ``small`` that sizes
+    and positions bar from all others of their region.
+
+    By :func:`may_link`, a set of ``n`` that meets its region at ``pos`` links with at most ``reach`` n-grams; so a
+    partner is no larger than the set's reach, and reaches the set.  Of all sets of about a size, the two
+    of largest reach tell whether one is such a partner.
+    """
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > small)
+    sizes = written(sizes, "large-keys")
+    reach = F.expr(f"cast(n - pos as bigint) * {num + den} div {num} - n")
+    large = matched(members, sizes, ["key"], "sid").withColumn("reach", reach).withColumn("band", F.floor(F.log2("n") * 32))
+    rank = F.row_number().over(Window.partitionBy("key", "band").orderBy(F.desc("reach"), "sid"))
+    best = large.withColumn("rank", rank).filter(F.col("rank") <= 2)
+    low = F.pow(F.lit(2.0), F.col("band") / 32) * (1 - 1e-9)  # no set of the band is smaller
+    tops = best.groupBy("key", "size").agg(F.collect_list(F.struct("sid", "reach", low.alias("low"))).alias("tops"))
+    # about a JOINED of rows to each copy of what is known of their region, which is bounded
+    runs = F.floor(F.col("size") / JOINED)
+    copies = tops.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), runs))).drop("size")
+    dealt = large.withColumn("_run", F.pmod(F.xxhash64("sid"), runs + 1))
+    met = F.exists("tops", lambda y: (y.sid != F.col("sid")) & (y.low <= F.col("reach")) & (y.reach >= F.col("n")))
+    kept = dealt.join(copies, ["key", "_run"]).filter(met).select("key", "sid", "n", "pos")
+    return matched(members, sizes.select("key"), ["key"], "sid", "left_anti").select("key", "sid", "n", "pos").unionByName(kept)
+
+
+def outer_regions(members: DataFrame) -> DataFrame:
+    """``members`` (with their region's ``size``) without the regions that lie inside an earlier one.
+
+    N-grams of a passage have the same texts in their regions, or fewer from n-gram to n-gram.  Where all members
+    of a region have the same region as the largest before it, all its pairs meet there at earlier
+    positions, so under weaker bounds.  Positions fall along such chains, so each ends in a region that stays.
+    """
+    before = Window.partitionBy("sid").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    seen = members.select("key", F.max(F.struct("size", "pos", "key")).over(before)["key"].alias("outer"))
+    of = seen.groupBy("key").agg(F.min("outer").alias("lo"), F.max("outer").alias("hi"), F.count("outer").alias("with"), F.count(F.lit(1)).alias("all"))
+    inner = written(of.filter("`with` = `all` AND lo = hi").select("key"), "inner-regions")
+    return matched(members, inner, ["key"], "sid", "left_anti")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``id`` and ``label`` (the smallest id of its component) of the ends of ``edges`` (a, b: ids).
 
@@ -607,6 +651,7 @@ def linked(docs: DataFrame, words: int, num: int, den: int, bits: int = 64, join
     pairs = met.filter("kind = 0").select("a", "b").unionByName(leader_pairs(met.filter("kind = 2").drop("b"), num, den)).distinct()
     members = met.filter("kind = 1").select("key", F.col("a").alias("sid"), "n", "pos").distinct()
     pairs, members = written(pairs, "pairs"), written(members, "members")
+    members = written(with_partners(members, num, den), "members")
     ends = lambda p: written(p.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "ends")
     wanted = written(ends(pairs).unionByName(members.select("sid")).distinct(), "wanted")
     cells = sets_of(base, classes, wanted, words, name, whole=False)
@@ -617,6 +662,9 @@ def linked(docs: DataFrame, words: int, num: int, den: int, bits: int = 64, join
         labels = components(links).select(F.col("id").alias("sid"), F.col("label").alias("found"))
         placed = members.join(labels, "sid", "left").select("key", "sid", "n", "pos", F.coalesce("found", "sid").alias("comp"))
         rows_of = written(open_regions(written(placed, "placed")).filter(F.col("size") > (WHOLE if lot[0] else 0)), "open-regions")
+        if not lot[0]:  # the same regions stand for those inside them in all lots
+            rows_of = written(outer_regions(rows_of), "outer-regions")
+            members = rows_of.select("key", "sid", "n", "pos")
         if rows_of.limit(1).count() == 0:
             break
         more = reduce(DataFrame.unionByName, region_pairs(rows_of, cells, num, den, lot, joined)).distinct()

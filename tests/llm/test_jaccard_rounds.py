@@ -68,3 +68,37 @@ def test_rows_that_go_have_a_kept_partner(spark):
     want = {i: c for i, _, c in brute_components(rows, 5, 4, 5)}
     assert {i for i, _ in kept if i is not None} == {i for i, c in want.items() if i is not None and i == c}
     assert sum(i is None for i, _ in kept) == 2
+
+
+def test_members_without_a_partner_leave_large_regions(spark):
+    rng = np.random.default_rng(5)
+    rows = [(key, key * 1000 + i, int(n), int(pos)) for key in (1, 2) for i, (n, pos) in enumerate(zip(rng.integers(20, 4000, 400), rng.integers(0, 1200, 400), strict=True)) if pos < n]
+    rows += [(3, 9001, 10, 9), (3, 9002, 500, 400)]  # a small region stays as it is
+    got = {tuple(r) for r in jaccard.with_partners(spark.createDataFrame(rows, "key long, sid long, n int, pos int"), 4, 5).collect()}
+    want = {x for x in rows if any(x[0] == y[0] and x[1] != y[1] and jaccard._may(x[1:], y[1:], 4, 5) for y in rows)}
+    assert want | set(rows[-2:]) <= got <= set(rows)
+    assert len(got) <= 1.1 * len(want) + 2 and len(want) < 0.6 * len(rows)
+
+
+def test_regions_inside_earlier_ones_are_joined_there(spark):
+    rng = random.Random(8)
+    rows = []
+    for sid in range(60):  # some n-grams in one order, with gaps
+        held = [k for k in range(30) if rng.random() < 0.9][:rng.randint(3, 25)] if sid < 20 else rng.sample(range(100, 140), 5)
+        rows += [(key, sid, 100, pos, sid) for pos, key in enumerate(sorted(held))]
+    members = jaccard.open_regions(spark.createDataFrame(rows, "key long, sid long, n int, pos int, comp long"))
+    meet = lambda rows: {(a.sid, b.sid, t) for _, of in itertools.groupby(sorted(rows, key=lambda r: r.key), lambda r: r.key) for a, b in itertools.permutations(list(of), 2) for t in (4, 20) if jaccard._may((a.sid, a.n, a.pos), (b.sid, b.n, b.pos), t, t + 1)}
+    all_rows, rest = members.collect(), jaccard.outer_regions(members).collect()
+    assert meet(rest) == meet(all_rows) and len(rest) < len(all_rows)
+
+
+def test_a_split_that_parts_nothing_makes_no_copies(spark, monkeypatch):
+    made, real = {}, jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df, tag, *a: made.setdefault(tag, []).append(out := real(df, tag, *a)) or out)
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 2**63, 3000).astype(np.uint64)) for _ in range(60)]  # the cells of long texts are all alike
+    rows = [(1, i, len(s), 0, i, len(sets)) for i, s in enumerate(sets)]
+    members = spark.createDataFrame(rows, "key long, sid long, n int, pos int, comp long, size long")
+    cells = spark.createDataFrame([(i, jaccard.cells_of(s).tobytes()) for i, s in enumerate(sets)], "sid long, cells binary")
+    jaccard.region_pairs(members, cells, 4, 5, joined=20)
+    assert [df.count() for df in made["voronoi"]] == [60] and made["stuck-regions"][0].count() == 1
