@@ -23,7 +23,7 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="formweave")
     p.add_argument("tables", help="folder of extracted tables")
     p.add_argument("--out", help="folder for the derived tables")
-    p.add_argument("--json", help="folder for one JSON object per document")
+    p.add_argument("--json", help="folder for one JSON object per document; beyond 256 pages it continues in further ones")
     p.add_argument("--db", help="knowledge base to store the documents in")
     p.add_argument("--template", help="folder to save the documents' templates in")
     p.add_argument("--apply-template", help="folder of saved templates to hold the documents against")
