@@ -44,6 +44,7 @@ entry AS (
     string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, count(DISTINCT note)::INT AS notes, arg_min(note, {{'p': page, 'o': ord}}) FILTER (note IS NOT NULL) AS note, min({{'f': page - off, 'p': page, 'o': ord}}) AS e_ord
   FROM field GROUP BY ALL)
 """
+WHOLE = STUDY.replace("split_part(text, ' ', 1) AS word FROM l WHERE ord < 20", "text AS word FROM l")
 APPLY = STUDY + """, blank AS (SELECT * FROM field WHERE doc_id = 's1'), e AS (SELECT * FROM entry WHERE doc_id = 's0'),
 exact AS (SELECT b.field_id, 'EXACT_KEY' AS method, 0.95 AS confidence, e.notes FROM blank b JOIN e USING (form_key, nt)),
 close AS (
@@ -88,7 +89,7 @@ SELECT annot_type, s.font_size, p.relative_label AS placement, n.samples FROM u
     "template_apply": APPLY + "SELECT * FROM applied",
     "template_loaded_apply": APPLY + "SELECT * FROM applied",
     "template_summary": APPLY + "SELECT CASE WHEN method = '' THEN 'UNMATCHED' ELSE method END AS method, count(*) AS n FROM applied GROUP BY 1",
-    "json_files": STUDY + """SELECT o.doc_id, o.doc_id || '.v1.pdf' AS file_name, count(*)::INT AS forms, (SELECT count(*) FROM field f WHERE f.doc_id = o.doc_id)::INT AS fields, (SELECT count(*) FROM w WHERE w.doc_id = o.doc_id AND ord % 6 = 0)::INT AS links,
+    "json_files": WHOLE + """SELECT o.doc_id, o.doc_id || '.v1.pdf' AS file_name, count(*)::INT AS forms, (SELECT count(*) FROM field f WHERE f.doc_id = o.doc_id)::INT AS fields, (SELECT count(*) FROM w WHERE w.doc_id = o.doc_id AND ord % 6 = 0)::INT AS links,
   (SELECT count(*) FROM w WHERE w.doc_id = o.doc_id AND ord % 6 = 0 AND page % 10 = 0)::INT AS rejected FROM first o GROUP BY o.doc_id""",
     "box_geometry": """WITH k AS (
   SELECT p_partkey AS id, round_even(least(p_partkey % 50 * 7 + 0.123::DOUBLE, p_size * 5), 2) AS x0, round_even(least(p_size * 3, p_partkey % 31 * 4 + 0.456::DOUBLE), 2) AS y0, round_even(greatest(p_partkey % 50 * 7 + 0.123::DOUBLE, p_size * 5), 2) AS x1, round_even(greatest(p_size * 3, p_partkey % 31 * 4 + 0.456::DOUBLE), 2) AS y1,

@@ -4,6 +4,8 @@ import json
 from collections import Counter
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 from formweave.sources import extracted
 
 
@@ -28,3 +30,20 @@ def test_long_documents_go_on_in_further_objects(spark, tmp_path):
     assert [(len(o["forms"]), len(o["links"])) for o in sorted(got, key=lambda o: o["part"]) if o["doc_id"] == "long"] == [(1, 0), (0, 0), (0, 0), (1, 1)]
     back = extracted.load_json(spark, at, found)
     assert sorted((r.doc_id, r.part, len(r.fields), [x.rejected for x in r.links]) for r in back.collect()) == sorted((o["doc_id"], o["part"], len(o["fields"]), [x["rejected"] for x in o["links"]]) for o in got)
+
+
+def test_study_of_files_has_whole_texts(spark, tmp_path):
+    """All lines are in the dump, also those after the 20th, and a line whose first word has no letter."""
+    import duckdb
+
+    from formweave.plans import oracle_study, study_queries
+
+    texts = {0: "\n".join(f"- line {i}" for i in range(45)), 1: "short", 2: None, 3: "\n" * 30 + "late\n--\n ™ \n é\n\n\n\u00a0\u3000", 10: "x\n" * 25}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("lang", F.lit("en")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, study_queries.json_files(spark, str(tmp_path)).collect()))
+    assert got == [("s0", "s0.v1.pdf", 1, 23, 8, 8), ("s1", "s1.v1.pdf", 1, 1, 1, 0), ("s2", "s2.v1.pdf", 2, 13, 5, 5), ("s3", "s3.v1.pdf", 1, 1, 1, 0)]
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
+        assert sorted(db.sql(oracle_study.SQL["json_files"]).fetchall()) == got
+    fields = study_queries._study(spark, str(tmp_path), whole=True)["fields"]
+    assert {r.text for r in fields.filter("page = 0").collect()} == {f"- line {i}" for i in range(0, 45, 2)}
