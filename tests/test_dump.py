@@ -47,3 +47,11 @@ def test_study_of_files_has_whole_texts(spark, tmp_path):
         assert sorted(db.sql(oracle_study.SQL["json_files"]).fetchall()) == got
     fields = study_queries._study(spark, str(tmp_path), whole=True)["fields"]
     assert {r.text for r in fields.filter("page = 0").collect()} == {f"- line {i}" for i in range(0, 45, 2)}
+
+
+def test_an_analysed_study_is_one_object(spark, study, tmp_path):
+    extracted.dump_json(study, str(tmp_path / "json"))
+    (only,) = objects(tmp_path / "json")
+    assert (len(only["forms"]), len(only["fields"]), len(only["links"])) == (4, 14, 9)
+    (back,) = extracted.load_json(spark, str(tmp_path / "json"), study).collect()
+    assert sorted(f.field_id for f in back.fields) == sorted(f["field_id"] for f in only["fields"])
